@@ -46,9 +46,12 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/deskline/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives lost executors, lineage ends."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(work_dir(df.sparkSession, "checkpoint"))
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, purpose: str = "cut") -> DataFrame:
+    """The result as a written table in the shared folder.
+
+    Computed once, survives lost executors and ends the lineage (a checkpoint
+    would compute it a second time unless it is cached as well).
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
