@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from deskline.constants import UNKNOWN_CATEGORY
 from deskline.functions.numbers import api_percent, view_percent
 
-_ALL = Window.partitionBy()  # only ever over rows already aggregated by category
+
+def _over_all(value: Column) -> Column:
+    """A total next to each row: only ever over rows already summed by category."""
+    return value.over(Window.partitionBy())
 
 
 def _is_correct() -> Column:
@@ -53,7 +56,7 @@ def category_counts(tickets: DataFrame) -> DataFrame:
 def category_distribution(tickets: DataFrame) -> DataFrame:
     """Share of each category among classified tickets, largest first."""
     counts = category_counts(tickets)
-    whole = F.sum("ticket_count").over(_ALL)
+    whole = _over_all(F.sum("ticket_count"))
     return counts.withColumn("percentage", view_percent(F.col("ticket_count"), whole)).orderBy(
         F.desc("ticket_count"), "category"
     )
@@ -62,7 +65,7 @@ def category_distribution(tickets: DataFrame) -> DataFrame:
 def api_distribution(tickets: DataFrame) -> DataFrame:
     """Share of each category among all tickets, unclassified ones included."""
     by_category = totals_by_category(tickets).select("category", F.col("tickets").alias("count"))
-    whole = F.greatest(F.sum("count").over(_ALL), F.lit(1))
+    whole = F.greatest(_over_all(F.sum("count")), F.lit(1))
     shared = by_category.withColumn("percentage", api_percent(F.col("count"), whole))
     return shared.where(F.col("category").isNotNull())
 
@@ -70,7 +73,7 @@ def api_distribution(tickets: DataFrame) -> DataFrame:
 def overview_figures(tickets: DataFrame) -> DataFrame:
     """One row with the ticket part of the overview."""
     by_category = totals_by_category(tickets)
-    shared = by_category.withColumn("whole", F.greatest(F.sum("tickets").over(_ALL), F.lit(1)))
+    shared = by_category.withColumn("whole", F.greatest(_over_all(F.sum("tickets")), F.lit(1)))
     entry = F.struct(
         F.col("category"),
         F.col("tickets").alias("count"),
@@ -101,7 +104,7 @@ def vector_stats(vectors: DataFrame) -> DataFrame:
     """Stored vectors per category and in all."""
     category = F.coalesce("category", F.lit(UNKNOWN_CATEGORY))
     counts = vectors.groupBy(category.alias("category")).agg(F.count("*").alias("count"))
-    return counts.withColumn("total", F.sum("count").over(_ALL))
+    return counts.withColumn("total", _over_all(F.sum("count")))
 
 
 def accuracy_by_period(tickets: DataFrame, period: str = "week") -> DataFrame:

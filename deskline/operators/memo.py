@@ -46,9 +46,15 @@ def misses(
     timed = timed.withColumn("bucket", F.floor(F.col("us") / F.lit(span)).cast("bigint"))
     filled = [r["bucket"] for r in timed.select("bucket").distinct().orderBy("bucket").toLocalIterator()]
     frequent = frequent_keys(requests, "key") if frequent is None else frequent
-    last = None if prior is None else _last_entries(prior, span)
-    if last is not None and filled:
-        last = cut(last.where(F.col("last_us") > F.lit(filled[0] * span - span)))
+    last = None
+    if prior is not None and filled:
+        # Older entries are gone before the first request.
+        since = F.timestamp_micros(F.lit((filled[0] - 1) * span)).cast(prior.schema["written_at"].dataType)
+        last = cut(
+            prior.where(F.col("written_at") > since)
+            .groupBy("key")
+            .agg(F.max(micros(F.col("written_at"))).alias("last_us"))
+        )
     found: DataFrame | None = None
     parts = []
     for bucket in filled:
@@ -69,10 +75,6 @@ def misses(
     return every.select("key", "ts", "request_id")
 
 
-def _last_entries(prior: DataFrame, span: int) -> DataFrame:
-    return prior.groupBy("key").agg(F.max(micros(F.col("written_at"))).alias("last_us"))
-
-
 def _newer(one: DataFrame, other: DataFrame) -> DataFrame:
     return one.unionByName(other).groupBy("key").agg(F.max("last_us").alias("last_us"))
 
@@ -182,11 +184,11 @@ def looked_up(
 
 
 def live_entries(entries: DataFrame, at: Column, ttl: int = MEMO_TTL_SECONDS) -> DataFrame:
-    """The last entry of each key, where it is still alive at `at`."""
+    """Per key the last entry written by `at`, where it is still alive then."""
     last_first = Window.partitionBy("key").orderBy(F.desc("written_at"))
-    last = entries.withColumn("_rank", F.row_number().over(last_first)).where("_rank = 1").drop("_rank")
-    age = micros(at) - micros(F.col("written_at"))
-    return last.where((age >= 0) & (age < F.lit(ttl * 1_000_000)))
+    known = entries.where(F.col("written_at") <= at)
+    last = known.withColumn("_rank", F.row_number().over(last_first)).where("_rank = 1").drop("_rank")
+    return last.where(micros(at) - micros(F.col("written_at")) < F.lit(ttl * 1_000_000))
 
 
 def invalidated(entries: DataFrame, keys: DataFrame) -> DataFrame:
@@ -200,7 +202,7 @@ def new_entries(results: DataFrame, key: str = "memo_key", at: str = "ts", resul
 
 
 def hit_rate(flagged: DataFrame) -> DataFrame:
-    """One row: hits, misses, hit rate in percent (1 decimal) and keys seen to write."""
+    """One row: hits, misses and the hit rate in percent (1 decimal)."""
     counted = flagged.agg(
         F.count_if(F.col("hit")).alias("hits"), F.count_if(~F.col("hit")).alias("misses")
     )
@@ -209,3 +211,9 @@ def hit_rate(flagged: DataFrame) -> DataFrame:
         F.lit(0.0),
     )
     return counted.withColumn("hit_rate", rate)
+
+
+def cache_stats(flagged: DataFrame, entries: DataFrame, at: Column, ttl: int = MEMO_TTL_SECONDS) -> DataFrame:
+    """The hit rate together with the number of entries alive at `at`."""
+    alive = live_entries(entries, at, ttl).agg(F.count("*").alias("n"))
+    return hit_rate(flagged).withColumn("keys", alive.scalar())

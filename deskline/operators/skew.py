@@ -13,16 +13,21 @@ FREQUENT_SHARE = 256
 def frequent_keys(df: DataFrame, key: str, share: int = FREQUENT_SHARE) -> list:
     """The keys that hold more than 1/share of all rows: at most `share` values.
 
-    One mergeable sketch per task, one row to the driver.  The sketch may miss
-    or add a borderline key; that moves work around and changes no result.
+    None is among them when that many rows have no key.  One mergeable sketch
+    per task, one row to the driver.  The sketch may miss or add a borderline
+    key; that moves work around and changes no result.
     """
     found = (
-        df.where(F.col(key).isNotNull())
-        .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(`{key}`, {share}, {share * 40})").alias("top"))
-        .select(F.filter("top", lambda e: e["count"] * share > F.col("n")).alias("top"))
+        df.agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col(key).isNull()).alias("nulls"),
+            F.expr(f"approx_top_k(`{key}`, {share}, {share * 40})").alias("top"),
+        )
+        .select("n", "nulls", F.filter("top", lambda e: e["count"] * share > F.col("n")).alias("top"))
         .first()
     )
-    return [entry["item"] for entry in found["top"]] if found and found["top"] else []
+    keys = [entry["item"] for entry in found["top"] or [] if entry["item"] is not None]
+    return keys + [None] if found["nulls"] * share > found["n"] else keys
 
 
 def join_on_key(
@@ -37,7 +42,7 @@ def join_on_key(
     frequent = frequent_keys(many, key) if frequent is None else frequent
     if not frequent:
         return many.join(one, key, how)
-    heavy = F.coalesce(F.col(key).isin(frequent), F.lit(False))
+    heavy = F.coalesce(F.col(key).isin([k for k in frequent if k is not None]), F.lit(None in frequent))
     rest = many.where(~heavy).join(one.where(~heavy), key, how)
-    held = many.where(heavy).join(F.broadcast(one.where(heavy)), key, how)
+    held = many.where(heavy).join(F.broadcast(one.where(heavy & F.col(key).isNotNull())), key, how)
     return rest.unionByName(held)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskline.constants import CONTEXT_NEIGHBOURS, MEMO_TTL_SECONDS
@@ -25,7 +25,10 @@ from deskline.sources.schemas import NEIGHBOUR_REF, RESULT
 from deskline.sources.tables import new_ticket_rows
 
 RESULT_FIELDS = ["category", "confidence", "reasoning", "key_indicators"]
-_NO_REFS = F.array().cast(f"array<{NEIGHBOUR_REF.simpleString()}>")
+
+
+def _no_refs() -> Column:
+    return F.array().cast(f"array<{NEIGHBOUR_REF.simpleString()}>")
 
 
 def judged(tickets: DataFrame, answers: DataFrame | None) -> DataFrame:
@@ -169,7 +172,7 @@ def classify(
                 "cached": F.lit(False),
                 "writes": F.lit(False),
                 "writer_id": F.lit(None).cast(results.schema["id"].dataType),
-                "kept_refs": _NO_REFS,
+                "kept_refs": _no_refs(),
             }
         )
     results = cut(results, "decided")
@@ -195,17 +198,17 @@ def _references(
 
 def _assembled(results: DataFrame, refs: DataFrame | None) -> DataFrame:
     if refs is None:
-        joined = results.withColumn("similar_tickets", _NO_REFS).withColumn("_written_refs", _NO_REFS)
+        joined = results.withColumn("similar_tickets", _no_refs()).withColumn("_written_refs", _no_refs())
     else:
         joined = results.join(refs, "id", "left")
         # A hit carries the neighbours stored with the entry it found.
         written = refs.select(F.col("id").alias("writer_id"), F.col("similar_tickets").alias("_written_refs"))
         joined = join_on_key(joined, written, "writer_id", "left")
-    own = F.coalesce("similar_tickets", _NO_REFS)
+    own = F.coalesce("similar_tickets", _no_refs())
     shown = (
-        F.when(F.col("cached"), F.coalesce("_written_refs", "kept_refs", _NO_REFS))
+        F.when(F.col("cached"), F.coalesce("_written_refs", "kept_refs", _no_refs()))
         .when(F.col("usable"), own)
-        .otherwise(_NO_REFS)
+        .otherwise(_no_refs())
     )
     return joined.select(
         "id",
