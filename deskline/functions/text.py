@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from deskline.constants import DEFAULT_TITLE_CHARS, MEMO_HEX_CHARS, MEMO_PREFIX
 
-# Fixed value: every character Unicode counts as white space when splitting
+# Every character Unicode counts as white space when splitting
 # words, plus the four ASCII separators U+001C..U+001F.  Java's \s misses most.
 WHITESPACE = (
     "[\\t\\n\\x0B\\f\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a"
     "\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 )
+# The part of it below U+0100, which Java matches several times faster, and the
+# range all the others lie in.
+WHITESPACE_LATIN = "[\\t\\n\\x0B\\f\\r\\x1c-\\x1f \\x85\\xa0]+"
+WIDE_RANGE = "[\\u1680-\\u3000]"
 
 
 def is_filled(text: Column) -> Column:
@@ -37,7 +41,10 @@ def vector_text(title: Column, description: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower case, white space runs as one space, none at the edges."""
-    spaced = F.regexp_replace(F.lower(text), WHITESPACE, " ")
+    lowered = F.lower(text)
+    spaced = F.when(
+        F.rlike(lowered, F.lit(WIDE_RANGE)), F.regexp_replace(lowered, WHITESPACE, " ")
+    ).otherwise(F.regexp_replace(lowered, WHITESPACE_LATIN, " "))
     return F.trim(spaced)
 
 

@@ -24,7 +24,8 @@ def category_dimension(spark) -> DataFrame:
 
 def matched_words(lowered: Column, words: Sequence[str]) -> Column:
     """The words found anywhere inside the text, in list order, each once."""
-    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(w)), F.lit(w)) for w in words]))
+    hits = F.array(*[F.when(F.contains(lowered, F.lit(w)), F.lit(w)) for w in words])
+    return F.array_except(hits, F.array(F.lit(None).cast("string")))
 
 
 def classify_by_keywords(df: DataFrame, text: str, rules: Rules = KEYWORDS) -> DataFrame:

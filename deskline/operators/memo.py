@@ -5,17 +5,19 @@ not refreshed by reads: at written_at + ttl it is gone.  So per key a request
 is a miss (and writes an entry) when the last miss is at least `ttl` old, and a
 hit otherwise.
 
-Cut time into buckets as wide as `ttl`.  Two misses of one key are at least
-`ttl` apart, so a bucket holds at most one of them, and the only earlier miss
-that can matter is the one in the bucket before.  The misses of a bucket are
-therefore one aggregate (earliest request that is late enough, per key) over
-that bucket's rows joined to the previous bucket's misses.  Each bucket reads
-its own time range of the log, a key with a third of all requests is combined
-map-side, and no key is ever gathered or sorted in one task.
+Keys with few requests (an exact count decides) are folded in time order, one
+short sorted array per key.  Heavy keys never come together like that.  For
+them time is cut into buckets as wide as `ttl`: two misses of one key are at
+least `ttl` apart, so a bucket holds at most one, and the only earlier miss
+that matters is the one in the bucket before.  The misses of a bucket are then
+one aggregate (earliest request that is late enough, per key), combined
+map-side, over that bucket's rows joined to the previous bucket's misses.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from deskline.constants import MEMO_TTL_SECONDS
 from deskline.operators.skew import frequent_keys, join_on_key
 from deskline.session import cut
 
+LIGHT_ROWS = 100_000  # a key with more requests than this is never gathered in one array
+
 
 def micros(ts: Column) -> Column:
     """A timestamp as microseconds (wall clock in the session zone, UTC)."""
@@ -33,7 +37,7 @@ def misses(
     requests: DataFrame,
     ttl: int = MEMO_TTL_SECONDS,
     prior: DataFrame | None = None,
-    frequent: list | None = None,
+    light_rows: int = LIGHT_ROWS,
 ) -> DataFrame:
     """The requests that miss and so write an entry: `key, ts, request_id`.
 
@@ -41,38 +45,56 @@ def misses(
     first.  `prior` (`key, written_at`) holds entries from before the batch.
     """
     span = ttl * 1_000_000
-    ts_type = requests.schema["ts"].dataType
     timed = requests.select("request_id", "key", "ts", micros(F.col("ts")).alias("us"))
-    timed = timed.withColumn("bucket", F.floor(F.col("us") / F.lit(span)).cast("bigint"))
-    filled = [r["bucket"] for r in timed.select("bucket").distinct().orderBy("bucket").toLocalIterator()]
-    frequent = frequent_keys(requests, "key") if frequent is None else frequent
     last = None
-    if prior is not None and filled:
-        # Older entries are gone before the first request.
-        since = F.timestamp_micros(F.lit((filled[0] - 1) * span)).cast(prior.schema["written_at"].dataType)
-        last = cut(
-            prior.where(F.col("written_at") > since)
-            .groupBy("key")
-            .agg(F.max(micros(F.col("written_at"))).alias("last_us"))
-        )
-    found: DataFrame | None = None
-    parts = []
-    for bucket in filled:
-        # On the time column itself, so that the scan skips other files and row groups.
-        first, end = (F.timestamp_micros(F.lit(b * span)).cast(ts_type) for b in (bucket, bucket + 1))
-        rows = timed.where((F.col("ts") >= first) & (F.col("ts") < end))
+    if prior is not None:
+        last = prior.groupBy("key").agg(F.max(micros(F.col("written_at"))).alias("last_us"))
+    heavy = cut(timed.groupBy("key").count().where(F.col("count") > light_rows).select("key"), "heavy")
+    if heavy.isEmpty():
+        return _folded(timed, last, span)
+    frequent = frequent_keys(timed, "key")
+    light = join_on_key(timed, heavy, "key", "left_anti", frequent)
+    rest = join_on_key(timed, heavy, "key", "left_semi", frequent)
+    return _folded(light, last, span).unionByName(_by_bucket(rest, last, span, frequent))
+
+
+def _folded(timed: DataFrame, last: DataFrame | None, span: int) -> DataFrame:
+    """Misses of keys with a bounded number of rows: a fold over each key's sorted rows."""
+    row = F.struct("us", "request_id", "ts")
+    by_key = timed.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    if last is None:
+        by_key = by_key.withColumn("last_us", F.lit(None).cast("bigint"))
+    else:
+        by_key = by_key.join(last, "key", "left")
+    row_type = timed.select(row.alias("r")).schema["r"].dataType.simpleString()
+    start = F.struct(F.col("last_us").alias("last"), F.array().cast(f"array<{row_type}>").alias("found"))
+
+    def step(state: Column, one: Column) -> Column:
+        late = state["last"].isNull() | (one["us"] >= state["last"] + F.lit(span))
+        return F.when(
+            late, F.struct(one["us"].alias("last"), F.concat(state["found"], F.array(one)).alias("found"))
+        ).otherwise(state)
+
+    found = F.aggregate("rows", start, step, lambda state: state["found"])
+    return by_key.select("key", F.inline(found)).select("key", "ts", "request_id")
+
+
+def _by_bucket(timed: DataFrame, last: DataFrame | None, span: int, frequent: list) -> DataFrame:
+    """Misses of heavy keys, one aggregate per bucket of time."""
+    bucket = F.floor(F.col("us") / F.lit(span)).cast("bigint")
+    # Written by bucket, so that each round reads its own rows only.
+    rows = cut(timed.withColumn("bucket", bucket), "buckets", "bucket")
+    # As many values as the log spans lifetimes.
+    filled = rows.agg(F.sort_array(F.collect_set("bucket")).alias("filled")).first()["filled"]
+    parts: list[DataFrame] = []
+    for number in filled:
         before = last
-        if found is not None:
-            recent = found.where(F.col("bucket") == bucket - 1).select("key", F.col("us").alias("last_us"))
-            before = recent if before is None else _newer(before, recent)
-        found = cut(_first_late_rows(rows, before, span, frequent))
-        parts.append(found)
-    if not parts:
-        return requests.select("key", "ts", "request_id").limit(0)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.select("key", "ts", "request_id")
+        if parts:
+            recent = parts[-1].where(F.col("bucket") == number - 1).select("key", F.col("us").alias("last_us"))
+            before = recent if last is None else _newer(last, recent)
+        own = rows.where(F.col("bucket") == number)
+        parts.append(cut(_first_late_rows(own, before, span, frequent), "misses"))
+    return reduce(DataFrame.unionByName, parts).select("key", "ts", "request_id")
 
 
 def _newer(one: DataFrame, other: DataFrame) -> DataFrame:
@@ -89,14 +111,17 @@ def _first_late_rows(rows: DataFrame, before: DataFrame | None, span: int, frequ
 
 
 def with_hits(
-    requests: DataFrame, ttl: int = MEMO_TTL_SECONDS, prior: DataFrame | None = None
+    requests: DataFrame,
+    ttl: int = MEMO_TTL_SECONDS,
+    prior: DataFrame | None = None,
+    light_rows: int = LIGHT_ROWS,
 ) -> DataFrame:
     """Every request with `hit`: false where it misses.
 
     The flag comes back by request id, which is unique: that join is even
     however uneven the keys are.
     """
-    written = misses(requests, ttl, prior).select("request_id", F.lit(False).alias("_hit"))
+    written = misses(requests, ttl, prior, light_rows).select("request_id", F.lit(False).alias("_hit"))
     flagged = requests.join(written, "request_id", "left")
     return flagged.withColumn("hit", F.coalesce("_hit", F.lit(True))).drop("_hit")
 

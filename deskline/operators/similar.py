@@ -215,7 +215,7 @@ def _cell_table(df: DataFrame, sizes: dict[int, int], query_sizes: dict[int, int
 
 
 def _counts(df: DataFrame) -> dict[int, int]:
-    return {r["cell"]: r["count"] for r in df.groupBy("cell").count().toLocalIterator()}
+    return {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
 
 
 def _pivots(corpus: DataFrame, wanted: int) -> np.ndarray:
@@ -297,7 +297,7 @@ def _search_cells(
         r["cell"]: r
         for r in c.groupBy("cell")
         .agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-        .toLocalIterator()
+        .collect()
     }
     sizes = {cell: r["n"] for cell, r in stats.items()}
     cell_ids = range(len(pivots))

@@ -46,12 +46,13 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/deskline/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, purpose: str = "cut") -> DataFrame:
+def cut(df: DataFrame, purpose: str = "cut", partition_by: str | None = None) -> DataFrame:
     """The result as a written table in the shared folder.
 
     Computed once, survives lost executors and ends the lineage (a checkpoint
     would compute it a second time unless it is cached as well).
     """
     path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
