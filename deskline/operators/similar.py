@@ -168,24 +168,31 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _search(queries: DataFrame, corpus: DataFrame, cells: DataFrame, k: int, timed: bool) -> DataFrame:
-    """Joins queries (with `cell`) to the corpus block-wise; k rows per query and block.
+def _in_blocks(queries: DataFrame, corpus: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides (each with `cell`) laid out in blocks of bounded size.
 
-    `cells` has `cell, corpus_chunks, query_chunks`, at most MAX_CELLS rows.
+    A query goes to every corpus chunk of its cell, a corpus row to every query
+    chunk.  `cells` has `cell, corpus_chunks, query_chunks`, at most MAX_CELLS rows.
     """
     cells = F.broadcast(cells)
     left = (
         queries.join(cells, "cell")
         .withColumn("c_chunk", F.explode(F.sequence(F.lit(0), F.col("corpus_chunks") - 1)))
         .withColumn("q_chunk", F.pmod(F.xxhash64("query_id"), F.col("query_chunks")).cast("int"))
-        .select("cell", "c_chunk", "q_chunk", "query_id", "q_vec", "q_at")
     )
     right = (
         corpus.join(cells, "cell")
         .withColumn("c_chunk", F.pmod(F.xxhash64("id"), F.col("corpus_chunks")).cast("int"))
         .withColumn("q_chunk", F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)))
-        .select("cell", "c_chunk", "q_chunk", "id", "c_vec", "c_at", "category")
     )
+    return left, right
+
+
+def _search(queries: DataFrame, corpus: DataFrame, k: int, timed: bool) -> DataFrame:
+    """Equi-joins the two sides block by block; k rows per query and block."""
+    block = ["cell", "c_chunk", "q_chunk"]
+    left = queries.select(*block, "query_id", "q_vec", "q_at")
+    right = corpus.select(*block, "id", "c_vec", "c_at", "category")
     out = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -195,7 +202,6 @@ def _search(queries: DataFrame, corpus: DataFrame, cells: DataFrame, k: int, tim
             T.StructField("sim", T.DoubleType()),
         ]
     )
-    block = ["cell", "c_chunk", "q_chunk"]
     return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(_search_group(k, timed, _arrow(out)), out)
 
 
@@ -281,9 +287,11 @@ def _search_one_cell(q: DataFrame, c: DataFrame, need: int, timed: bool, chunk_r
     asked = q.count()
     cores = q.sparkSession.sparkContext.defaultParallelism
     width = min(chunk_rows, max(MIN_QUERY_ROWS, -(-asked // cores)))
-    rows = [(0, 1, max(1, -(-asked // width)))]
-    cells = q.sparkSession.createDataFrame(rows, "cell int, corpus_chunks int, query_chunks int")
-    return _search(q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0)), cells, need, timed)
+    chunks = max(1, -(-asked // width))
+    one = {"cell": F.lit(0), "c_chunk": F.lit(0)}
+    left = q.withColumns({**one, "q_chunk": F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")})
+    right = c.withColumns({**one, "q_chunk": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))})
+    return _search(left, right, need, timed)
 
 
 def _search_cells(
@@ -308,7 +316,7 @@ def _search_cells(
     with_cells = T.StructType(q.schema.fields + [T.StructField("cells", T.ArrayType(T.IntegerType()))])
     q = cut(q.mapInArrow(_near_cells(pivots, n, need, _arrow(with_cells)), with_cells), "queries")
     near = q.select("query_id", "q_vec", "q_at", F.explode("cells").alias("cell"))
-    first = _search(near, c, _cell_table(q, sizes, _counts(near), chunk_rows), need, timed)
+    first = _search(*_in_blocks(near, c, _cell_table(q, sizes, _counts(near), chunk_rows)), need, timed)
     first = cut(_ranked(first, need, timed).drop("rank"), "nearest")
 
     usable = first.where(F.col("query_id") != F.col("id")) if exclude_self else first
@@ -326,7 +334,7 @@ def _search_cells(
     counts = _counts(rest)
     if not counts:
         return first
-    second = _search(rest, c, _cell_table(q, sizes, counts, chunk_rows), need, timed)
+    second = _search(*_in_blocks(rest, c, _cell_table(q, sizes, counts, chunk_rows)), need, timed)
     return first.unionByName(second)
 
 

@@ -27,8 +27,12 @@ from deskline.sources.tables import new_ticket_rows
 RESULT_FIELDS = ["category", "confidence", "reasoning", "key_indicators"]
 
 
+def _no_refs_type() -> str:
+    return f"array<{NEIGHBOUR_REF.simpleString()}>"
+
+
 def _no_refs() -> Column:
-    return F.array().cast(f"array<{NEIGHBOUR_REF.simpleString()}>")
+    return F.array().cast(_no_refs_type())
 
 
 def judged(tickets: DataFrame, answers: DataFrame | None) -> DataFrame:
@@ -198,7 +202,8 @@ def _references(
 
 def _assembled(results: DataFrame, refs: DataFrame | None) -> DataFrame:
     if refs is None:
-        joined = results.withColumn("similar_tickets", _no_refs()).withColumn("_written_refs", _no_refs())
+        none = F.lit(None).cast(_no_refs_type())
+        joined = results.withColumns({"similar_tickets": none, "_written_refs": none})
     else:
         joined = results.join(refs, "id", "left")
         # A hit carries the neighbours stored with the entry it found.
