@@ -33,6 +33,11 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def slice_of(us: Column, width: Column) -> Column:
+    """The number of the time slice of that width; whole numbers throughout."""
+    return ((us - F.pmod(us, width)) / width).cast("bigint")
+
+
 def misses(
     requests: DataFrame,
     ttl: int = MEMO_TTL_SECONDS,
@@ -45,21 +50,31 @@ def misses(
     first.  `prior` (`key, written_at`) holds entries from before the batch.
     """
     span = ttl * 1_000_000
+    light, rest, frequent = _split(requests, light_rows)
+    last = _last_entries(prior)
+    found = _folded(light, last, span).select("key", F.inline("found")).select("key", "ts", "request_id")
+    return found if rest is None else found.unionByName(_by_bucket(rest, last, span, frequent))
+
+
+def _split(requests: DataFrame, light_rows: int) -> tuple[DataFrame, DataFrame | None, list]:
+    """Rows of light keys, rows of heavy keys (None without any), and the frequent keys."""
     timed = requests.select("request_id", "key", "ts", micros(F.col("ts")).alias("us"))
-    last = None
-    if prior is not None:
-        last = prior.groupBy("key").agg(F.max(micros(F.col("written_at"))).alias("last_us"))
     heavy = cut(timed.groupBy("key").count().where(F.col("count") > light_rows).select("key"), "heavy")
     if heavy.isEmpty():
-        return _folded(timed, last, span)
+        return timed, None, []
     frequent = frequent_keys(timed, "key")
     light = join_on_key(timed, heavy, "key", "left_anti", frequent)
-    rest = join_on_key(timed, heavy, "key", "left_semi", frequent)
-    return _folded(light, last, span).unionByName(_by_bucket(rest, last, span, frequent))
+    return light, join_on_key(timed, heavy, "key", "left_semi", frequent), frequent
+
+
+def _last_entries(prior: DataFrame | None) -> DataFrame | None:
+    if prior is None:
+        return None
+    return prior.groupBy("key").agg(F.max(micros(F.col("written_at"))).alias("last_us"))
 
 
 def _folded(timed: DataFrame, last: DataFrame | None, span: int) -> DataFrame:
-    """Misses of keys with a bounded number of rows: a fold over each key's sorted rows."""
+    """Per light key its sorted `rows` and, by a fold over them, the misses `found`."""
     row = F.struct("us", "request_id", "ts")
     by_key = timed.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     if last is None:
@@ -75,13 +90,12 @@ def _folded(timed: DataFrame, last: DataFrame | None, span: int) -> DataFrame:
             late, F.struct(one["us"].alias("last"), F.concat(state["found"], F.array(one)).alias("found"))
         ).otherwise(state)
 
-    found = F.aggregate("rows", start, step, lambda state: state["found"])
-    return by_key.select("key", F.inline(found)).select("key", "ts", "request_id")
+    return by_key.select("key", "rows", F.aggregate("rows", start, step, lambda state: state["found"]).alias("found"))
 
 
 def _by_bucket(timed: DataFrame, last: DataFrame | None, span: int, frequent: list) -> DataFrame:
     """Misses of heavy keys, one aggregate per bucket of time."""
-    bucket = F.floor(F.col("us") / F.lit(span)).cast("bigint")
+    bucket = slice_of(F.col("us"), F.lit(span))
     # Written by bucket, so that each round reads its own rows only.
     rows = cut(timed.withColumn("bucket", bucket), "buckets", "bucket")
     # As many values as the log spans lifetimes.
@@ -118,12 +132,30 @@ def with_hits(
 ) -> DataFrame:
     """Every request with `hit`: false where it misses.
 
-    The flag comes back by request id, which is unique: that join is even
-    however uneven the keys are.
+    For bare requests the fold gives the flags along with the misses.  Where
+    there are more columns, and for heavy keys, the flag comes back by request
+    id, which is unique: that join is even however uneven the keys are.
     """
-    written = misses(requests, ttl, prior, light_rows).select("request_id", F.lit(False).alias("_hit"))
-    flagged = requests.join(written, "request_id", "left")
-    return flagged.withColumn("hit", F.coalesce("_hit", F.lit(True))).drop("_hit")
+    if set(requests.columns) != {"request_id", "key", "ts"}:
+        return _joined(requests, misses(requests, ttl, prior, light_rows))
+    span = ttl * 1_000_000
+    light, rest, frequent = _split(requests, light_rows)
+    last = _last_entries(prior)
+    folded = _folded(light, last, span).withColumn("ids", F.transform("found", lambda f: f["request_id"]))
+    row = F.transform(
+        "rows",
+        lambda r: F.struct(r["request_id"], r["ts"], (~F.array_contains("ids", r["request_id"])).alias("hit")),
+    )
+    flagged = folded.select("key", F.inline(row)).select(*requests.columns, "hit")
+    if rest is None:
+        return flagged
+    return flagged.unionByName(_joined(rest.select(*requests.columns), _by_bucket(rest, last, span, frequent)))
+
+
+def _joined(requests: DataFrame, found: DataFrame) -> DataFrame:
+    flags = found.select("request_id", F.lit(False).alias("_hit"))
+    flagged = requests.join(flags, "request_id", "left")
+    return flagged.select(*[flagged[c] for c in requests.columns], F.coalesce("_hit", F.lit(True)).alias("hit"))
 
 
 def looked_up(
@@ -150,18 +182,18 @@ def looked_up(
     width = F.when(F.col("key").isin(frequent), F.lit(fine)).otherwise(F.lit(coarse)) if frequent else F.lit(coarse)
 
     asked = requests.withColumn("_us", micros(F.col("ts")))
-    asked = asked.withColumn("_slice", F.floor(F.col("_us") / width).cast("bigint"))
+    asked = asked.withColumn("_slice", slice_of(F.col("_us"), width))
 
     result_type = entries.schema["result"].dataType
     id_type = requests.schema["request_id"].dataType
     entry_id = F.col("entry_id").cast(id_type) if "entry_id" in entries.columns else F.lit(None).cast(id_type)
     written = entries.select(
         "key", "written_at", "result", entry_id.alias("entry_id"), micros(F.col("written_at")).alias("_us")
-    ).withColumn("_slice", F.floor(F.col("_us") / width).cast("bigint"))
+    ).withColumn("_slice", slice_of(F.col("_us"), width))
     entry = F.struct("_us", "entry_id", "written_at", "result")
     # The entries of a request's own slice, and the last entry of earlier ones.
     own = written.select("key", "_slice", entry.alias("entry"))
-    end = F.floor((F.col("_us") + F.lit(span - 1)) / width).cast("bigint")
+    end = slice_of(F.col("_us") + F.lit(span - 1), width)
     carried = (
         written.where(end > F.col("_slice"))
         .withColumn("_slice", F.explode(F.sequence(F.col("_slice") + 1, end)))

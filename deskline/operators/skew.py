@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # A key is frequent when it holds more than 1 / FREQUENT_SHARE of the rows.
 # There can never be more than FREQUENT_SHARE such keys, whatever the data.
-FREQUENT_SHARE = 256
+FREQUENT_SHARE = 1024
 
 
 def frequent_keys(df: DataFrame, key: str, share: int = FREQUENT_SHARE) -> list:
@@ -21,7 +21,7 @@ def frequent_keys(df: DataFrame, key: str, share: int = FREQUENT_SHARE) -> list:
         df.agg(
             F.count("*").alias("n"),
             F.count_if(F.col(key).isNull()).alias("nulls"),
-            F.expr(f"approx_top_k(`{key}`, {share}, {share * 40})").alias("top"),
+            F.expr(f"approx_top_k(`{key}`, {share}, {share * 32})").alias("top"),
         )
         .select("n", "nulls", F.filter("top", lambda e: e["count"] * share > F.col("n")).alias("top"))
         .first()
@@ -30,6 +30,15 @@ def frequent_keys(df: DataFrame, key: str, share: int = FREQUENT_SHARE) -> list:
     return keys + [None] if found["nulls"] * share > found["n"] else keys
 
 
+# At most this many rows are broadcast on request; larger inputs are shuffled.
+BROADCAST_ROWS = 50_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most `rows` rows; reads no more than needed to tell."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def join_on_key(
     many: DataFrame, one: DataFrame, key: str, how: str, frequent: list | None = None
 ) -> DataFrame:

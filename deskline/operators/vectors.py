@@ -31,16 +31,14 @@ def vector_rows(df: DataFrame, metadata: str | None = None) -> DataFrame:
 def upserted(vectors: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
     """One row per id: the update with the highest `order`, else the old row.
 
-    row_number = 1 is pushed below the shuffle, so an id with very many updates
-    sends one row per task.
+    Only the updates are ranked (row_number = 1 is pushed below their shuffle);
+    the table itself loses the replaced ids by an anti join, which for a small
+    batch of updates is a broadcast and leaves the table where it is.
     """
-    arrival = F.col(order) if order else F.lit(0)
-    old = vectors.withColumns({"_new": F.lit(0), "_order": F.lit(None).cast(dict(updates.dtypes)[order] if order else "int")})
-    new = updates.withColumns({"_new": F.lit(1), "_order": arrival})
     columns = vectors.columns
-    both = old.unionByName(new.select(*columns, "_new", "_order"))
-    newest = Window.partitionBy("id").orderBy(F.desc("_new"), F.desc("_order"))
-    return both.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").select(*columns)
+    newest = Window.partitionBy("id").orderBy(F.desc(order) if order else F.lit(0))
+    last = updates.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").select(*columns)
+    return without_ids(vectors, last).unionByName(last)
 
 
 def without_ids(vectors: DataFrame, ids: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from deskline.functions.text import memo_key, ticket_text, vector_text
 from deskline.operators import memo as memo_ops
 from deskline.operators.keywords import classify_by_keywords
 from deskline.operators.similar import nearest, neighbour_refs, with_documents
-from deskline.operators.skew import join_on_key
+from deskline.operators.skew import frequent_keys, join_on_key
 from deskline.operators.vectors import vector_rows
 from deskline.session import cut
 from deskline.sources.schemas import NEIGHBOUR_REF, RESULT
@@ -101,12 +101,12 @@ def _with_memo(results: DataFrame, memo: DataFrame | None, ttl: int) -> DataFram
     )
 
 
-def _decided(results: DataFrame) -> DataFrame:
+def _decided(results: DataFrame, frequent: list) -> DataFrame:
     """Puts the remembered result in the place of a hit's own one."""
     source = results.where("writes").select(
         F.col("id").alias("writer_id"), F.struct(*RESULT_FIELDS).alias("_source")
     )
-    joined = join_on_key(results, source, "writer_id", "left")
+    joined = join_on_key(results, source, "writer_id", "left", frequent)
     chosen = [
         F.when(~F.col("cached"), F.col(n))
         .when(F.col("writer_id").isNotNull(), F.col(f"_source.{n}"))
@@ -168,8 +168,12 @@ def classify(
     `use_memo=False` without a sink is the preview of a classification.
     """
     results = judged(tickets, answers)
+    frequent: list = []
     if use_memo:
-        results = _decided(_with_memo(cut(results, "judged"), memo, ttl))
+        results = cut(_with_memo(cut(results, "judged"), memo, ttl), "remembered")
+        # One result may be the source of very many hits.
+        frequent = frequent_keys(results, "writer_id")
+        results = _decided(results, frequent)
     else:
         results = results.withColumns(
             {
@@ -184,7 +188,7 @@ def classify(
         refs = None
     else:
         refs = _references(tickets, results, corpus, add_batch, k)
-    return _assembled(results, refs)
+    return _assembled(results, refs, frequent)
 
 
 def _references(
@@ -200,7 +204,7 @@ def _references(
     return cut(neighbour_refs(found).withColumnRenamed("query_id", "id"), "references")
 
 
-def _assembled(results: DataFrame, refs: DataFrame | None) -> DataFrame:
+def _assembled(results: DataFrame, refs: DataFrame | None, frequent: list) -> DataFrame:
     if refs is None:
         none = F.lit(None).cast(_no_refs_type())
         joined = results.withColumns({"similar_tickets": none, "_written_refs": none})
@@ -208,7 +212,7 @@ def _assembled(results: DataFrame, refs: DataFrame | None) -> DataFrame:
         joined = results.join(refs, "id", "left")
         # A hit carries the neighbours stored with the entry it found.
         written = refs.select(F.col("id").alias("writer_id"), F.col("similar_tickets").alias("_written_refs"))
-        joined = join_on_key(joined, written, "writer_id", "left")
+        joined = join_on_key(joined, written, "writer_id", "left", frequent)
     own = F.coalesce("similar_tickets", _no_refs())
     shown = (
         F.when(F.col("cached"), F.coalesce("_written_refs", "kept_refs", _no_refs()))

@@ -20,6 +20,7 @@ from deskline.operators.corrections import corrected_tickets, feedback_rows
 from deskline.operators.intake import accepted, with_texts
 from deskline.operators.keywords import classify_by_keywords
 from deskline.operators.memo import with_hits
+from deskline.operators.skew import is_small
 from deskline.sources.tables import status_of
 
 
@@ -73,7 +74,9 @@ def corrections(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        feedback_rows(tickets, batch).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        # A small batch goes to the tickets, so that the tickets are not shuffled.
+        sent = F.broadcast(batch) if is_small(batch) else batch
+        feedback_rows(tickets, sent).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
         batch.unpersist()
 
     return _each_batch(feed, write, checkpoint, "append", available_now)
