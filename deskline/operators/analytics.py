@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskline.constants import UNKNOWN_CATEGORY
+from deskline.constants import CATEGORIES, UNKNOWN_CATEGORY
 from deskline.functions.numbers import api_percent, view_percent
 
 
@@ -137,3 +137,9 @@ def accuracy_trend(tickets: DataFrame, period: str = "week") -> DataFrame:
 def feedback_confusion(feedback: DataFrame) -> DataFrame:
     """How often each predicted label was corrected to each new label."""
     return feedback.groupBy("old_label", "new_label").agg(F.count("*").alias("corrections"))
+
+
+def feedback_matrix(feedback: DataFrame) -> DataFrame:
+    """The same counts with one column per new category."""
+    counted = feedback.groupBy("old_label").pivot("new_label", CATEGORIES).agg(F.count("*"))
+    return counted.na.fill(0, CATEGORIES)

@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deskline.constants import MEMO_TTL_SECONDS
 from deskline.operators.skew import frequent_keys, join_on_key
@@ -274,3 +275,13 @@ def cache_stats(flagged: DataFrame, entries: DataFrame, at: Column, ttl: int = M
     """The hit rate together with the number of entries alive at `at`."""
     alive = live_entries(entries, at, ttl).agg(F.count("*").alias("n"))
     return hit_rate(flagged).withColumn("keys", alive.scalar())
+
+
+def as_text(entries: DataFrame) -> DataFrame:
+    """Entries with the result as JSON text, for stores that keep plain text."""
+    return entries.withColumn("result", F.to_json("result"))
+
+
+def from_text(entries: DataFrame, schema: T.StructType) -> DataFrame:
+    """Entries read back from JSON text."""
+    return entries.withColumn("result", F.from_json("result", schema))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskline.constants import SEARCH_NEIGHBOURS
-from deskline.operators.skew import join_on_key
+from deskline.operators.skew import frequent_keys, join_on_key
 from deskline.session import cut
 
 RANK_DIGITS = 9
@@ -233,12 +233,21 @@ def _pivots(corpus: DataFrame, wanted: int) -> np.ndarray:
 def _first_copies(corpus: DataFrame, keep: int, timed: bool) -> DataFrame:
     """Of vectors that are exactly equal only the first `keep` can be among the best.
 
-    They tie in every query, so the earlier or lower ids win; the filter is
-    applied in each map task before the shuffle.
+    They tie in every query, so the earlier or lower ids win.  Hashes that occur
+    more often than `keep` are counted first (8 bytes a row, combined map-side);
+    only rows with such a hash are ranked, by the whole vector, and thinned in
+    each map task before their shuffle.  All other rows stay where they are.
     """
+    hashed = corpus.withColumn("_hash", F.xxhash64("c_vec"))
+    crowded = cut(hashed.groupBy("_hash").count().where(F.col("count") > keep).select("_hash"), "crowded")
+    if crowded.isEmpty():
+        return corpus
     order = [F.asc("c_at"), F.asc("id")] if timed else [F.asc("id")]
-    copies = Window.partitionBy("c_vec").orderBy(*order)
-    return corpus.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= keep).drop("_copy")
+    copies = Window.partitionBy("_hash", "c_vec").orderBy(*order)
+    frequent = frequent_keys(hashed, "_hash")
+    ranked = join_on_key(hashed, crowded, "_hash", "left_semi", frequent).withColumn("_copy", F.row_number().over(copies))
+    first = ranked.where(F.col("_copy") <= keep).drop("_copy")
+    return join_on_key(hashed, crowded, "_hash", "left_anti", frequent).unionByName(first).drop("_hash")
 
 
 def nearest(

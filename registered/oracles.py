@@ -251,6 +251,14 @@ from tickets where predicted_category is not null group by predicted_category"""
         "feedback_confusion": _with(
             "feedback_rows", "select old_label, new_label, count(*) as corrections from feedback_rows group by 1, 2"
         ),
+        "feedback_matrix": _with(
+            "feedback_rows",
+            "select old_label, "
+            + ", ".join(
+                f"count(*) filter (where new_label = {_text(c)}) as {c.lower().replace(' ', '_')}" for c in C.CATEGORIES
+            )
+            + " from feedback_rows group by 1",
+        ),
         "vector_stats": _with(
             "vectors",
             """select coalesce(category, 'unknown') as category, count(*) as count,
@@ -361,6 +369,9 @@ from (select r.*, m.written_at, m.label, coalesce(r.ts < m.written_at + interval
             """select key, written_at, label from memo where key not in (
   select cast(user_id as varchar) from events where event_type = 'error' and value > 150)""",
         ),
+        "memo_text": _with(
+            "memo", "select key, written_at, cast(to_json({'label': label}) as varchar) as result from memo"
+        ),
         "memo_live": _with(
             "memo",
             f"""select key, written_at, label from (

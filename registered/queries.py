@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskline.constants import CONTEXT_NEIGHBOURS
+from deskline.constants import CATEGORIES, CONTEXT_NEIGHBOURS
 from deskline.functions.answers import answer_fields, fields_of, parsed
 from deskline.operators import analytics, corrections, intake, keywords, listing, memo, similar, vectors
 from deskline.plans import classify as classify_plan
@@ -83,6 +83,12 @@ def feedback_confusion(given: Given) -> DataFrame:
     return analytics.feedback_confusion(given.feedback())
 
 
+@query
+def feedback_matrix(given: Given) -> DataFrame:
+    matrix = analytics.feedback_matrix(given.feedback())
+    return matrix.select("old_label", *[F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in CATEGORIES])
+
+
 @query
 def vector_stats(given: Given) -> DataFrame:
     return analytics.vector_stats(given.vectors())
@@ -287,6 +293,11 @@ def memo_invalidate(given: Given) -> DataFrame:
     return left.select("key", "written_at", F.col("result.label").alias("label"))
 
 
+@query
+def memo_text(given: Given) -> DataFrame:
+    return memo.as_text(given.memo())
+
+
 @query
 def memo_live(given: Given) -> DataFrame:
     alive = memo.live_entries(given.memo(), F.lit(ALIVE_AT).cast("timestamp_ntz"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deskline.operators import memo
+from deskline.sources.schemas import MEMO, RESULT
 
 DAY = dt.timedelta(days=1)
 START = dt.datetime(2024, 1, 1)
@@ -100,3 +101,11 @@ def test_live_invalidated_and_stats(spark):
     flagged = spark.createDataFrame([(True,)] * 1 + [(False,)] * 15, "hit boolean")
     assert tuple(memo.cache_stats(flagged, entries, at).first()) == (1, 15, 6.2, 1)
     assert tuple(memo.hit_rate(flagged.where("false")).first()) == (0, 0, 0.0)
+
+
+def test_results_as_text_and_back(spark):
+    result = ("Network Issue", 0.5, None, ["a"], [("7", None, 0.25)])
+    entries = spark.createDataFrame([("k", START, result)], MEMO)
+    text = memo.as_text(entries)
+    assert text.first().result.startswith('{"category":"Network Issue","confidence":0.5')
+    assert memo.from_text(text, RESULT).first().result == entries.first().result

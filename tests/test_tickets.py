@@ -153,6 +153,15 @@ def test_trend(spark, seeds):
     assert str(rows[0].period_start) == "2024-01-01"
 
 
+def test_feedback_matrix(spark):
+    log = spark.createDataFrame(
+        [("Network Issue", "Battery Issue")] * 2 + [("Network Issue", "Network Issue"), (None, "Battery Issue")], "old_label string, new_label string"
+    )
+    rows = {r.old_label: r for r in analytics.feedback_matrix(log).collect()}
+    assert (rows["Network Issue"]["Battery Issue"], rows["Network Issue"]["Network Issue"], rows["Network Issue"]["Product Issue"]) == (2, 1, 0)
+    assert rows[None]["Battery Issue"] == 1
+
+
 def test_overview_scans_the_tickets_once(spark):
     given = Given(spark, SMALL)
     plan = plan_of(analytics.overview_figures(given.tickets()))
