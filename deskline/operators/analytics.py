@@ -141,5 +141,5 @@ def feedback_confusion(feedback: DataFrame) -> DataFrame:
 
 def feedback_matrix(feedback: DataFrame) -> DataFrame:
     """The same counts with one column per new category."""
-    counted = feedback.groupBy("old_label").pivot("new_label", CATEGORIES).agg(F.count("*"))
+    counted = feedback.groupBy("old_label").pivot("new_label", CATEGORIES).agg(F.count(F.lit(1)))
     return counted.na.fill(0, CATEGORIES)
