@@ -58,7 +58,7 @@ def page_after(
 ) -> DataFrame:
     """The page behind a known last row: deep pages cost no more than the first."""
     _check(1, limit)
-    at = F.lit(last_created_at).cast("timestamp_ntz")
+    at = F.lit(str(last_created_at)).cast("timestamp_ntz")
     behind = (F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") > last_id))
     chosen = public(filtered(tickets, status, category)).where((F.col("created_at") <= at) & behind)
     return chosen.orderBy(F.desc("created_at"), "id").limit(limit)

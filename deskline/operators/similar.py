@@ -45,11 +45,15 @@ BLOCK_ELEMENTS = 4_000_000  # similarities computed at a time in a task
 
 
 def _unit(column) -> np.ndarray:
-    """List column -> rows of unit length as doubles; a zero vector stays zero."""
+    """List column -> rows of unit length as doubles.
+
+    A zero vector stays zero, and one with a NaN or infinite value becomes zero.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    rows = np.where(np.isfinite(rows).all(axis=1, keepdims=True), rows, 0.0)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms > 0, norms, 1.0)
 
@@ -277,6 +281,8 @@ def nearest(
     c = corpus.where(F.col("embedding").isNotNull()).select(
         "id", F.col("embedding").alias("c_vec"), at.alias("c_at"), "category"
     )
+    if as_of:  # without a time nothing is known to be earlier
+        q, c = q.where(F.col("q_at").isNotNull()), c.where(F.col("c_at").isNotNull())
     need = k + 1 if exclude_self else k
     size = c.count()
     if size <= chunk_rows:

@@ -116,7 +116,7 @@ def memo(
             ])
             earlier = spark.read.schema(schema).parquet(out).where((F.col("batch") < batch_id) & ~F.col("hit"))
             # Entries that are gone before the first request are not read.
-            first = batch.agg(F.min("ts").alias("ts")).first()["ts"]
+            first = batch.agg(F.min("ts").cast("string").alias("ts")).first()["ts"]
             alive = F.col("ts") > F.lit(first).cast(schema["ts"].dataType) - F.make_dt_interval(secs=F.lit(ttl))
             prior = earlier.where(alive).select("key", F.col("ts").alias("written_at"))
         flagged = with_hits(batch.select("request_id", "key", "ts"), ttl, prior)
