@@ -160,11 +160,19 @@ def latest_version(spark: SparkSession, out: str) -> DataFrame:
 
 
 def accuracy_windows(
-    tickets: DataFrame, out: str, checkpoint: str, days: int = 7, delay: str = "40 days", available_now: bool = True
+    tickets: DataFrame,
+    out: str,
+    checkpoint: str,
+    days: int = 7,
+    delay: str = "40 days",
+    mode: str = "complete",
+    available_now: bool = True,
 ) -> StreamingQuery:
     """Volume and accuracy per day or Monday week, kept up to date.
 
-    Epoch day 0 is a Thursday: weeks start 4 days later.
+    Mode complete writes all windows each time (read with `latest_version`),
+    update the changed ones, append each window once, when the watermark has
+    passed its end.  Epoch day 0 is a Thursday: weeks start 4 days later.
     """
     start = "4 days" if days == 7 else "0 days"
     window = F.window("created_at", f"{days} days", f"{days} days", start)
@@ -178,7 +186,7 @@ def accuracy_windows(
         )
         .select(F.to_date("window.start").alias("period_start"), "tickets", "reviewed", "correct")
     )
-    return _each_batch(counted, _write_versions(out), checkpoint, "complete", available_now)
+    return _each_batch(counted, _write_versions(out), checkpoint, mode, available_now)
 
 
 def running_totals(tickets: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

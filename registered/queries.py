@@ -15,7 +15,7 @@ from deskline.plans.overview import overview_flat
 from deskline.session import work_dir
 from deskline.sources.tables import status_of
 from deskline.streaming import jobs
-from registered.views import LANGUAGE_RULES, Given
+from registered.views import CORRECTIONS, INTAKE, LANGUAGE_RULES, REQUESTS, TICKETS, Given
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registered: dict[str, Query] = {}
@@ -420,8 +420,6 @@ def _sql_over(given: Given, sql: str, **streams: DataFrame) -> DataFrame:
 
 @query
 def stream_intake(given: Given) -> DataFrame:
-    from registered.views import INTAKE
-
     out, checkpoint = _folders(given, "intake")
     jobs.intake(_sql_over(given, INTAKE, documents=_stream(given, "documents")), out, checkpoint, LANGUAGE_RULES).awaitTermination()
     rows = given.spark.read.parquet(out)
@@ -430,8 +428,6 @@ def stream_intake(given: Given) -> DataFrame:
 
 @query
 def stream_corrections(given: Given) -> DataFrame:
-    from registered.views import CORRECTIONS
-
     out, checkpoint = _folders(given, "corrections")
     feed = _sql_over(given, CORRECTIONS, lineitem=_stream(given, "lineitem"))
     jobs.corrections(feed, given.tickets(), out, checkpoint).awaitTermination()
@@ -440,8 +436,6 @@ def stream_corrections(given: Given) -> DataFrame:
 
 @query
 def stream_memo(given: Given) -> DataFrame:
-    from registered.views import REQUESTS
-
     out, checkpoint = _folders(given, "memo")
     jobs.memo(_sql_over(given, REQUESTS, events=_stream(given, "events")), out, checkpoint).awaitTermination()
     return given.spark.read.parquet(out).select("request_id", "key", "ts", "hit")
@@ -449,8 +443,6 @@ def stream_memo(given: Given) -> DataFrame:
 
 @query
 def stream_dedup(given: Given) -> DataFrame:
-    from registered.views import REQUESTS
-
     out, checkpoint = _folders(given, "dedup")
     requests = _sql_over(given, REQUESTS, events=_stream(given, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
     jobs.first_seen(requests, out, checkpoint).awaitTermination()
@@ -458,8 +450,6 @@ def stream_dedup(given: Given) -> DataFrame:
 
 
 def _ticket_stream(given: Given) -> DataFrame:
-    from registered.views import TICKETS
-
     tickets = _sql_over(given, TICKETS, events=_stream(given, "events"))
     return tickets.withColumn("created_at", F.col("created_at").cast("timestamp"))
 

@@ -82,6 +82,11 @@ def test_windows_and_totals_equal_batch(spark, given, tmp_path):
         jobs.accuracy_windows(stream(), out, out + "cp", days).awaitTermination()
         want = analytics.accuracy_by_period(given.tickets(), period).drop("accuracy")
         assert sorted(map(tuple, jobs.latest_version(spark, out).collect())) == sorted(map(tuple, want.collect()))
+    out = str(tmp_path / "closed")
+    jobs.accuracy_windows(stream(), out, out + "cp", 7, "1 day", "append").awaitTermination()
+    closed = sorted(map(tuple, spark.read.parquet(out).drop("v").collect()))
+    weeks = sorted(map(tuple, analytics.accuracy_by_period(given.tickets()).drop("accuracy").collect()))
+    assert len(closed) >= len(weeks) - 2 and closed == weeks[: len(closed)]
     out = str(tmp_path / "totals")
     jobs.running_totals(stream(), out, out + "cp").awaitTermination()
     got = {r.category: (r.tickets, r.mean_confidence) for r in jobs.latest_version(spark, out).collect()}
