@@ -16,7 +16,7 @@ with recursive w as (
   select doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') as w from documents),
 s as (
   select distinct doc_id, hash(array_to_string(w[i:i + 4], ' ')) as g
-  from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) as i from w where len(w) > 0)),
+  from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from w where len(w) > 0)),
 n as (select doc_id, count(*) as n from s group by doc_id),
 k as (select doc_id, n, list(g order by g) as gs from s join n using (doc_id) group by doc_id, n),
 c as (select min(doc_id) as rep, n, gs from k group by n, gs),
