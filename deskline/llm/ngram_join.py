@@ -34,7 +34,7 @@ SHINGLE = 5
 PERCENT = 75
 COMMON_FROM = 16
 MARK_BITS = 26  # the bit table has 2**26 bits, 8 MB
-BUCKET_BYTES = 48_000_000  # of text whose shingles one bucket counts
+BUCKET_BYTES = 16_000_000  # of text whose shingles one bucket counts
 
 
 # ---- sets of shingles -----------------------------------------------------
@@ -87,7 +87,7 @@ def _common_marks(documents: DataFrame, size: int, common_from: int) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(data, pa.binary())], ["bucket", "hashes"])
 
     def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in W.slices(batch, "text", 8 * W.SLICE_BYTES):
+        for part in W.slices(batch, "text"):
             yield from deal(part)
 
     schema = "level int, word int, bits long, n long"
