@@ -212,5 +212,6 @@ def of_good_quality(documents: DataFrame, labels: DataFrame, quantile: float = Q
     trusted, model = _model(documents, labels)
     own = matched(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", _lang().alias("_lang")), trusted, "doc_id", "left_semi")
     limits = _thresholds(surprise(own, model), quantile, margin)
-    scored = surprise(documents.withColumn("_lang", _lang()), model)
-    return _judged(scored, limits).where("_kept").select(*documents.columns)
+    # The row travels as one value, so no name in it can clash.
+    rows = documents.select(F.struct(*documents.columns).alias("row"), "text", _lang().alias("_lang"))
+    return _judged(surprise(rows, model), limits).where("_kept").select(*[F.col("row")[c].alias(c) for c in documents.columns])

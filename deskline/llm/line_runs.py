@@ -113,17 +113,18 @@ def without_repeated_lines(
     gone = runs.dropped(held, min_documents)
     gone = gone.groupBy("doc", "text_key").agg(F.collect_set("pos").alias("_gone"))
     kept = documents.drop("n_lines", "n_dropped")
-    own = kept.withColumns({"_doc": _id(), "_key": F.xxhash64("text")})
-    own = own.join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("text_key")), "left").select(*kept.columns, "_gone")
-    text = F.coalesce("text", F.lit("")).alias("text")
-    own = own.select(*[text if c == "text" else c for c in kept.columns], "_gone")
+    # The row travels as one value, so no name in it can clash.
+    own = kept.select(F.struct(*kept.columns).alias("row"), _id().alias("doc"), F.xxhash64("text").alias("text_key"))
+    own = own.join(gone, ["doc", "text_key"], "left")
+    text = F.coalesce("row.text", F.lit("")).alias("text")
+    own = own.select("_gone", *[text if c == "text" else F.col("row")[c].alias(c) for c in kept.columns])
     out = kept.limit(0).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
     return mapped(own, _cut_lines, out)
 
 
 def _cut_lines(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     texts, counts, drops = [], [], []
-    for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist()):
+    for text, gone in zip(batch.column("text").to_pylist(), batch.column(0).to_pylist()):
         lines = text.split("\n")
         if gone:
             places = set(gone)
@@ -131,6 +132,6 @@ def _cut_lines(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts.append(text)
         counts.append(len(lines))
         drops.append(len(gone) if gone else 0)
-    names = [n for n in batch.schema.names if n != "_gone"]
-    columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+    names = batch.schema.names[1:]
+    columns = [pa.array(texts, pa.string()) if n == "text" else c for n, c in zip(names, batch.columns[1:])]
     yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(drops, pa.int64())], [*names, "n_lines", "n_dropped"])

@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex", "markov")
 MIN_VALUE = 6
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"  # strings the models compare; also what the samples are cut into
-MIN_BITS = 1.0  # per character, in favour of the random model
+MIN_BITS = 0.5  # per character, in favour of the random model
 SYMBOLS = 128  # ASCII
 SMOOTH = 0.5  # added to each transition
 
