@@ -13,6 +13,7 @@ of `MERGE` packers), until one is left; so only a few bins stay unfilled.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,8 @@ CAPACITY = 4096
 END = 1  # the id that ends a document
 OPEN_BINS = 64
 MERGE = 16  # packers whose open bins one packer of the next round takes
-CACHE_WORDS = 400_000  # words whose ids a task remembers
+CACHE_WORDS = 600_000  # words whose ids a task remembers
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long, is_open boolean"
 
@@ -44,9 +46,29 @@ class _Ids(dict):
     def learn(self, words: list[str]) -> None:
         if len(self) > CACHE_WORDS:
             self.clear()
-        new = list({w for w in words if w not in self})
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        new = {w for w in words if w not in self}
+        # A mark after letters is a token of its own, and letters alone are one unit to the
+        # tokenizer: many such words are encoded as one text and told apart afterwards.
+        marked = {w for w in new if w[-1:] in (".", ",") and _LETTERS.fullmatch(w, 0, len(w) - 1)}
+        plain = {w[:-1] for w in marked} | {w for w in new - marked if _LETTERS.fullmatch(w)}
+        plain = [w for w in plain if w not in self]
+        for i in range(0, len(plain), 2000):
+            self._letters(plain[i : i + 2000])
+        rest = [w for w in (new - marked) | ({".", ","} if marked else set()) if w not in self]
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self[word] = np.array(found.ids, "<u4").tobytes()
+        for word in marked:
+            self[word] = self[word[:-1]] + self[word[-1]]
+
+    def _letters(self, words: list[str]) -> None:
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        units = np.array(found.word_ids)
+        edges = (np.searchsorted(units, np.arange(len(words) + 1)) * 4).tolist()
+        data = np.array(found.ids, "<u4").tobytes()
+        if len(units) == 0 or units[-1] + 1 != len(words):
+            raise ValueError("this tokenizer does not take letters as one unit")
+        for word, start, stop in zip(words, edges, edges[1:]):
+            self[word] = data[start:stop]
 
 
 _tokenizers: dict[str, _Ids] = {}
@@ -190,7 +212,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS)
             return done
         round_ += 1
         rest = step.where("is_open").drop("sequence_id", "offset", "is_open")
-        rest = rest.repartition(-(-width // MERGE), "doc_id", "piece").sortWithinPartitions(F.xxhash64("doc_id", "piece"), *order)
+        rest = rest.coalesce(-(-width // MERGE)).sortWithinPartitions(F.xxhash64("doc_id", "piece"), *order)
 
 
 def packed_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
