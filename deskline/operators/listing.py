@@ -56,10 +56,16 @@ def page_after(
     status: str | None = None,
     category: str | None = None,
 ) -> DataFrame:
-    """The page behind a known last row: deep pages cost no more than the first."""
+    """The page behind a known last row: deep pages cost no more than the first.
+
+    Stored tickets have a `day` partition; days after the last row's are not read.
+    Tickets without a time are on no such page.
+    """
     _check(1, limit)
     at = F.lit(str(last_created_at)).cast("timestamp_ntz")
     behind = (F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") > last_id))
+    if "day" in tickets.columns:
+        tickets = tickets.where(F.col("day") <= F.to_date(at))
     chosen = public(filtered(tickets, status, category)).where((F.col("created_at") <= at) & behind)
     return chosen.orderBy(F.desc("created_at"), "id").limit(limit)
 

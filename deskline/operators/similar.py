@@ -1,7 +1,7 @@
 """Exact nearest neighbours by cosine similarity.
 
-Small corpora are searched in one step.  Larger ones are spread over cells
-around pivot vectors and searched in two passes:
+The corpus is spread over cells around pivot vectors, the more the larger it
+is, and searched in two passes:
 
 1. each query searches the cells nearest to it, which gives a similarity its
    k best neighbours reach for certain;
@@ -20,6 +20,7 @@ first, then lower id, so it does not depend on how the work was split.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,6 @@ from deskline.session import cut
 
 RANK_DIGITS = 9
 CHUNK_ROWS = 16384  # rows of one corpus or query block
-MIN_QUERY_ROWS = 256  # fewer queries are not split further
 MAX_CELLS = 1024  # pivots held by every task: at most this many vectors
 SLACK = 1e-6  # on similarities, far above rounding and arccos error
 BLOCK_ELEMENTS = 4_000_000  # similarities computed at a time in a task
@@ -254,6 +254,24 @@ def _first_copies(corpus: DataFrame, keep: int, timed: bool) -> DataFrame:
     return join_on_key(hashed, crowded, "_hash", "left_anti", frequent).unionByName(first).drop("_hash")
 
 
+def _length(corpus: DataFrame) -> int | None:
+    """The length that most vectors of the corpus have."""
+    counts = corpus.where(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("n")).count()
+    row = counts.orderBy(F.desc("count"), "n").first()
+    return row["n"] if row else None
+
+
+def _is_usable(length: int | None) -> Column:
+    if not length:
+        return F.lit(False)
+    return F.coalesce((F.size("embedding") == length) & ~F.exists("embedding", lambda x: x.isNull()), F.lit(False))
+
+
+def refused_vectors(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The rows whose `embedding` a search of the corpus leaves out."""
+    return rows.where(~_is_usable(_length(corpus)))
+
+
 def nearest(
     queries: DataFrame,
     corpus: DataFrame,
@@ -270,25 +288,25 @@ def nearest(
     category restricts the corpus before the search.  as_of only considers
     corpus rows with a strictly smaller `at` (a bigint: a time or a sequence).
     exclude_self leaves out the corpus row with the query's own id.
+    Vectors of another length than most of the corpus, or with a null in them,
+    are left out on both sides; `refused_vectors` tells which.
     A query without any candidate has no row.  Similarity is kept within [0, 1].
     """
     if category is not None:
         corpus = corpus.where(F.col("category") == category)
     at = F.col("at").cast("bigint") if as_of else F.lit(0).cast("bigint")
-    q = queries.where(F.col("embedding").isNotNull()).select(
+    length = _length(corpus)
+    q = queries.where(_is_usable(length)).select(
         "query_id", F.col("embedding").alias("q_vec"), at.alias("q_at")
     )
-    c = corpus.where(F.col("embedding").isNotNull()).select(
+    c = corpus.where(_is_usable(length)).select(
         "id", F.col("embedding").alias("c_vec"), at.alias("c_at"), "category"
     )
     if as_of:  # without a time nothing is known to be earlier
         q, c = q.where(F.col("q_at").isNotNull()), c.where(F.col("c_at").isNotNull())
     need = k + 1 if exclude_self else k
     size = c.count()
-    if size <= chunk_rows:
-        found = _search_one_cell(q, c, need, as_of, chunk_rows)
-    else:
-        found = _search_cells(q, c, need, size, as_of, exclude_self, chunk_rows)
+    found = _search_cells(q, c, need, size, as_of, exclude_self, chunk_rows)
     if exclude_self:
         found = found.where(F.col("query_id") != F.col("id"))
     similarity = F.least(F.greatest(F.col("sim"), F.lit(0.0)), F.lit(1.0))
@@ -297,22 +315,13 @@ def nearest(
     )
 
 
-def _search_one_cell(q: DataFrame, c: DataFrame, need: int, timed: bool, chunk_rows: int) -> DataFrame:
-    """The corpus is one block; the queries are spread over the cores."""
-    asked = q.count()
-    cores = q.sparkSession.sparkContext.defaultParallelism
-    width = min(chunk_rows, max(MIN_QUERY_ROWS, -(-asked // cores)))
-    chunks = max(1, -(-asked // width))
-    one = {"cell": F.lit(0), "c_chunk": F.lit(0)}
-    left = q.withColumns({**one, "q_chunk": F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")})
-    right = c.withColumns({**one, "q_chunk": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))})
-    return _search(left, right, need, timed)
-
-
 def _search_cells(
     q: DataFrame, c: DataFrame, need: int, size: int, timed: bool, exclude_self: bool, chunk_rows: int
 ) -> DataFrame:
-    pivots = _pivots(c, min(MAX_CELLS, -(-size // chunk_rows)))
+    pivots = _pivots(c, max(1, min(MAX_CELLS, math.isqrt(size) // 4, size), min(MAX_CELLS, -(-size // chunk_rows))))
+    if not len(pivots):  # nothing to find
+        block = {name: F.lit(0) for name in ("cell", "c_chunk", "q_chunk")}
+        return _search(q.withColumns(block), c.withColumns(block), need, timed)
     spread = T.StructType(c.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
     # Written once: both passes have to see the same cells.
     c = cut(_first_copies(c, need, timed).mapInArrow(_assign_cells(pivots, _arrow(spread)), spread), "cells")

@@ -21,22 +21,29 @@ def with_category(metadata: Column | None, category: Column) -> Column:
 
 
 def vector_rows(df: DataFrame, metadata: str | None = None) -> DataFrame:
-    """Vector table rows from `id, document, category, embedding` and own metadata."""
+    """Vector table rows from `id, document, category, embedding`, own metadata and `created_at`.
+
+    The time is what later batches' as-of searches go by; it is null where df has none.
+    """
     merged = with_category(F.col(metadata) if metadata else None, F.col("category"))
-    return df.select("id", "document", "embedding", merged.alias("metadata")).select(
-        "id", "document", F.col("metadata")["category"].alias("category"), "metadata", "embedding"
+    at = F.col("created_at") if "created_at" in df.columns else F.lit(None)
+    return df.select("id", "document", "embedding", merged.alias("metadata"), at.cast("timestamp_ntz").alias("created_at")).select(
+        "id", "document", F.col("metadata")["category"].alias("category"), "metadata", "embedding", "created_at"
     )
 
 
-def upserted(vectors: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+def upserted(vectors: DataFrame, updates: DataFrame, order: str) -> DataFrame:
     """One row per id: the update with the highest `order`, else the old row.
 
+    Of updates with the same `order` the one with the larger content hash wins,
+    so the result does not depend on how the updates are split.
+
     Only the updates are ranked (row_number = 1 is pushed below their shuffle);
     the table itself loses the replaced ids by an anti join, which for a small
     batch of updates is a broadcast and leaves the table where it is.
     """
     columns = vectors.columns
-    newest = Window.partitionBy("id").orderBy(F.desc(order) if order else F.lit(0))
+    newest = Window.partitionBy("id").orderBy(F.desc(order), F.desc(F.xxhash64("document", "category", "embedding")))
     last = updates.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").select(*columns)
     return without_ids(vectors, last).unionByName(last)
 

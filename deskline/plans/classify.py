@@ -269,7 +269,7 @@ def create_and_classify(
     rows = new_ticket_rows(joined, F.col("id").cast("string"), F.col("created_at"))
     if "embedding" in texts.columns:
         document = vector_text(F.col("title"), F.col("description"))
-        vectors = vector_rows(joined.select(F.col("id").cast("string").alias("id"), document.alias("document"), "category", "embedding"))
+        vectors = vector_rows(joined.select(F.col("id").cast("string").alias("id"), document.alias("document"), "category", "embedding", "created_at"))
     else:
         vectors = None
     return Stored(rows, vectors, memo_entries(classified), nested_records(rows, classified))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def build_session(app: str = "deskline", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # A repeated field of a model answer has its last value.
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
     )
     if master:
         builder = builder.master(master)
@@ -35,11 +38,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the shared folder the session names.
 
     ``spark.checkpoint.dir`` is the cluster's shared storage.  Only where it is
-    unset (tests on one machine) a temporary folder is made and used instead.
+    unset and all tasks run on this machine a temporary folder is made and used
+    instead; on a cluster executors would not see each other's files.
     """
     global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if _local_base is None:
             _local_base = tempfile.mkdtemp(prefix="deskline-")
         base = _local_base

@@ -77,7 +77,8 @@ def append(rows: DataFrame, path: str, day_of: str | None = "created_at") -> Non
     if day_of is None:
         rows.write.mode("append").parquet(path)
         return
-    rows.withColumn("day", F.to_date(day_of)).write.mode("append").partitionBy("day").parquet(path)
+    # One task per day: a day's rows of a batch are one file.
+    rows.withColumn("day", F.to_date(day_of)).repartition("day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def write_version(rows: DataFrame, path: str, version: int) -> str:

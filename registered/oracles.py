@@ -310,7 +310,7 @@ from tickets where predicted_category is not null group by predicted_category"""
   || {_text(C.PROMPT_TITLE)} || case when coalesce(title, '') <> '' then title else {_text(C.NO_TITLE_TEXT)} end
   || {_text(C.PROMPT_DESCRIPTION)} || description || {_text(C.PROMPT_TAIL)} as prompt
 from (select i.id, i.title, i.description, coalesce(l.lines, {_text(C.NO_NEIGHBOURS_TEXT)}) as context
-  from intake i join vectors v on v.id = i.id left join lines l on l.query_id = i.id)""",
+  from intake i left join lines l on l.query_id = i.id)""",
             _CONTEXT,
         ),
         "vector_upsert": _with(

@@ -194,7 +194,7 @@ def similar_asof(given: Given) -> DataFrame:
 @query
 def prompt_context(given: Given) -> DataFrame:
     stored = given.vectors()
-    asked = given.intake().join(stored.select("id", "embedding"), "id")
+    asked = given.intake().join(stored.select("id", "embedding"), "id", "left")
     return classify_plan.prompts(asked, stored)
 
 
@@ -224,7 +224,7 @@ def vector_upsert(given: Given) -> DataFrame:
         F.create_map(F.lit("origin"), F.lit("import")).alias("own"),
         "embedding",
     )
-    return _vector_columns(vectors.upserted(_stored_vectors(given), vectors.vector_rows(updates, "own")))
+    return _vector_columns(vectors.upserted(_stored_vectors(given), vectors.vector_rows(updates, "own"), "document"))
 
 
 @query

@@ -23,6 +23,7 @@ def spark():
 @pytest.fixture(scope="session")
 def seeds(spark):
     """The five demo tickets."""
+    # Golden data.
     rows = [
         ("1", "Phone screen cracked", "My phone screen is cracked after I dropped it yesterday. The touch still works but there is a big crack across the display.", "Product Issue", 0.94),
         ("2", "App crashes on startup", "The main app crashes every time I try to open it. Just shows a white screen then closes. Reinstalled but same problem.", "Software Issue", 0.91),
