@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from deskline.session import cut
 
 SHINGLE = 5
 PERCENT = 75
-COMMON_FROM = 16
+COMMON_FROM = 8
 MARK_BITS = 26  # the bit table has 2**26 bits, 8 MB
 BUCKET_BYTES = 16_000_000  # of text whose shingles one bucket counts
 
@@ -224,9 +225,14 @@ def _rare_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _common_stars(postings: DataFrame, percent: int) -> DataFrame:
-    """Each group with the one in which a common shingle comes first: the most typical set around it."""
-    head = postings.groupBy("shingle").agg(F.min(F.struct("pos", "n", "gid")).alias("head"))
-    joined = postings.join(head, "shingle").where(F.col("gid") != F.col("head.gid"))
+    """Each group with those in which a common shingle comes first: the most typical sets around it.
+
+    There is one for each range of sizes; sets that can be similar are in the same range or the next.
+    """
+    ranged = postings.withColumn("range", F.floor(F.log("n") / math.log(100 / percent)).cast("int"))
+    head = ranged.groupBy("shingle", "range").agg(F.min(F.struct("pos", "n", "gid")).alias("head"))
+    near = ranged.withColumn("range", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)))
+    joined = near.join(head, ["shingle", "range"]).where(F.col("gid") != F.col("head.gid"))
     joined = joined.where(_similar_sizes(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"), percent))
     a, b = F.least("gid", "head.gid").alias("a"), F.greatest("gid", "head.gid").alias("b")
     return joined.groupBy(a, b).agg(F.count("*").alias("hits"))
@@ -235,11 +241,11 @@ def _common_stars(postings: DataFrame, percent: int) -> DataFrame:
 def _common_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """All pairs of groups with a common prefix shingle that are not in one component.
 
-    One of such two groups is outside the component of the shingle's first group, so only those are
-    joined with all groups of the shingle.  `postings` have `low, high`: the components of the group's sets.
+    One of such two groups is outside the component that most groups of the shingle are in, so only
+    those are joined with all groups of the shingle.  `postings` have `low, high`: the components of the group's sets.
     """
-    head = postings.groupBy("shingle").agg(F.min(F.struct("pos", "n", "gid", "low")).alias("head"))
-    outside = postings.join(head, "shingle").where((F.col("low") != F.col("head.low")) | (F.col("high") != F.col("low"))).drop("head")
+    most = postings.groupBy("shingle", "low").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "low")).alias("most"))
+    outside = postings.join(most, "shingle").where((F.col("low") != F.col("most.low")) | (F.col("high") != F.col("low"))).drop("most")
     other = postings.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("gid", "n", "pos", "low", "high")])
     apart = (F.col("low") != F.col("low2")) | (F.col("high") != F.col("high2")) | (F.col("low") != F.col("high"))
     fits = _similar_sizes(F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2"), percent)
@@ -262,7 +268,6 @@ def _verified(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "hashes"])
 
     sets = mapped(matched(documents, wanted, "doc_id", "left_semi"), hashed, "doc_id long, hashes binary")
-    sets = cut(sets.groupBy("doc_id").agg(F.min("hashes").alias("hashes")), "sets")
 
     def compared(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keep = []
@@ -274,7 +279,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -
 
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("h1")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("h2")), "b")
-    return mapped(two, compared, "a long, b long")
+    return mapped(two, compared, "a long, b long").distinct()
 
 
 def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -293,7 +298,7 @@ def similar_documents(documents: DataFrame, size: int = SHINGLE, percent: int =
     space) has no shingles and links with nothing.  Repeated rows of a doc_id
     with the same text give one row each.  A row without doc_id comes out without
     ids and takes no part in links.  If rows of one doc_id differ in text, each
-    row is returned and the id links as one of the texts does.
+    row is returned and the id has the links of all its texts.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where(F.col("doc_id").isNotNull())
