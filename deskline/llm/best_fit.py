@@ -30,7 +30,7 @@ CAPACITY = 4096
 END = 1  # the id that ends a document
 OPEN_BINS = 64
 MERGE = 16  # packers whose open bins one packer of the next round takes
-CACHE_WORDS = 600_000  # words whose ids a task remembers
+CACHE_WORDS = 400_000  # words whose ids a task remembers, and as many of the time before
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long, is_open boolean"
@@ -42,11 +42,19 @@ class _Ids(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.old: dict[str, bytes] = {}  # the generation before: words used again move up
 
     def learn(self, words: list[str]) -> None:
         if len(self) > CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        new = {w for w in words if w not in self}
+        new = set()
+        for word in {w for w in words if w not in self}:
+            known = self.old.get(word)
+            if known is None:
+                new.add(word)
+            else:
+                self[word] = known
         # A mark after letters is a token of its own, and letters alone are one unit to the
         # tokenizer: many such words are encoded as one text and told apart afterwards.
         marked = {w for w in new if w[-1:] in (".", ",") and _LETTERS.fullmatch(w, 0, len(w) - 1)}
@@ -218,6 +226,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS)
 def packed_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """One row per piece: `doc_id, piece, start, length, ids_crc32, sequence_id, offset`.
 
+    The tokenizer must drop white space and take a run of letters as one unit.
     Only documents of more than `capacity` tokens (the end included) are cut.  A
     null or empty text is the end alone.  Repeated rows are packed once each; a
     null doc_id stays null.  Other columns are ignored.
