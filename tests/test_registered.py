@@ -7,6 +7,8 @@ import pytest
 from tests.conftest import SMALL
 
 import __spark_entry__ as entry_module
+from registered.oracles import all_oracles
+from registered.queries import all_queries
 
 
 @pytest.fixture(scope="module")
@@ -22,17 +24,18 @@ def rounded(value):
 
 
 def test_every_query_has_a_twin():
-    assert entry_module.queries().keys() == entry_module.oracle_sql().keys()
+    assert all_queries().keys() == all_oracles().keys()
+    assert all_queries().keys() <= entry_module.queries().keys() and all_oracles().keys() <= entry_module.oracle_sql().keys()
 
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 4
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_query_equals_sql(spark, duck, name):
-    got = entry_module.queries()[name](spark, SMALL)
-    want = duck.sql(entry_module.oracle_sql()[name])
+    got = all_queries()[name](spark, SMALL)
+    want = duck.sql(all_oracles()[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     where = [want.columns.index(c) for c in columns]
