@@ -152,9 +152,10 @@ def _signatures(documents: DataFrame, shared, size: int, percent: int) -> DataFr
         rare = length - _sums(common[taken], first).astype(np.int64)
         gid = W.mix(_sums(W.mix(shingle[taken]), first) + n.astype(np.uint64)).view(np.int64)
         new = []
-        for g in gid.tolist():
-            new.append(g not in seen)
-            seen.add(g)
+        for g, has_id in zip(gid.tolist(), batch.column("doc_id").is_valid().to_pylist()):
+            new.append(has_id and g not in seen)  # a row without id takes no part
+            if has_id:
+                seen.add(g)
         new = np.array(new, bool) & (n > 0)
         keep = np.repeat(new, length)
         edge = np.concatenate([[0], np.cumsum(np.where(new, length, 0))])
