@@ -13,7 +13,8 @@
 4. Group pairs are expanded to their different sets, and sets are compared whole.
    First every set is compared with the partner it shares most prefix shingles
    with; pairs that are then connected need no comparison.  All pairs still in
-   two components are compared after that, the common shingles' included.
+   two components are compared after that, the common shingles' included, except
+   where the parity sketches of both sets prove that too many shingles differ.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ PERCENT = 75
 COMMON_FROM = 8
 MARK_BITS = 26  # the bit table has 2**26 bits, 8 MB
 BUCKET_BYTES = 16_000_000  # of text whose shingles one bucket counts
+SKETCH_WORDS = 16  # 64-bit words of a parity sketch
 
 
 # ---- sets of shingles -----------------------------------------------------
@@ -124,11 +126,22 @@ def _common_marks(documents: DataFrame, size: int, common_from: int) -> np.ndarr
 
 # ---- prefixes ---------------------------------------------------------------
 
-_SIGNED = "doc_id long, n long, k1 long, k2 long, gid long, rare int, prefix array<long>"
+_SIGNED = "doc_id long, n long, k1 long, k2 long, gid long, rare int, prefix array<long>, sketch array<long>"
+
+
+def _sketches(shingle: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Per row SKETCH_WORDS words in which bit b tells whether the row has an odd number of shingles that hash to b."""
+    bit = (shingle & np.uint64(SKETCH_WORDS * 64 - 1)).astype(np.int64)
+    words = np.zeros(rows * SKETCH_WORDS, np.uint64)
+    np.bitwise_xor.at(words, row * SKETCH_WORDS + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return words
 
 
 def _signatures(documents: DataFrame, shared, size: int, percent: int) -> DataFrame:
-    """Per document: set size, 128-bit key of the set, group, and the prefix where the task has not had the group yet."""
+    """Per document: set size, 128-bit key of the set, group, and the prefix where the task has not had the group yet.
+
+    With a prefix that has common shingles comes the parity sketch of the whole set.
+    """
     schema = arrow_schema(_SIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +172,10 @@ def _signatures(documents: DataFrame, shared, size: int, percent: int) -> DataFr
         new = np.array(new, bool) & (n > 0)
         keep = np.repeat(new, length)
         edge = np.concatenate([[0], np.cumsum(np.where(new, length, 0))])
+        drawn = new & (rare < length)
+        number = np.cumsum(drawn) - 1
+        of_drawn = drawn[text]
+        sketch = _sketches(shingle[of_drawn], number[text[of_drawn]], int(drawn.sum()))
         columns = [
             batch.column("doc_id"),
             pa.array(n.astype(np.int64)),
@@ -167,6 +184,7 @@ def _signatures(documents: DataFrame, shared, size: int, percent: int) -> DataFr
             pa.array(gid),
             pa.array(rare.astype(np.int32)),
             W.lists(shingle[taken][keep].view(np.int64), edge),
+            W.lists(sketch.view(np.int64), np.concatenate([[0], np.cumsum(drawn) * SKETCH_WORDS])),
         ]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -183,6 +201,15 @@ def _similar_sizes(n1, n2, p1, p2, percent: int):
     return (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1) & ((100 + percent) * rest1 >= need) & ((100 + percent) * rest2 >= need)
 
 
+def _may_overlap(n1, n2, sketch1, sketch2, percent: int):
+    """Whether sets of these sizes and parity sketches can be similar; also where a sketch is null.
+
+    Shingles in both sets cancel out: each bit that differs takes at least one shingle that only one of them has.
+    """
+    differ = sum((F.bit_count(sketch1[i].bitwiseXOR(sketch2[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    return F.coalesce((100 + percent) * (n1 + n2 - differ) >= 2 * percent * (n1 + n2), F.lit(True))
+
+
 def _rare_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """`a, b, hits`: groups that share a rare prefix shingle; `postings` are sorted by shingle within partitions.
 
@@ -243,13 +270,15 @@ def _common_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """All pairs of groups with a common prefix shingle that are not in one component.
 
     One of such two groups is outside the component that most groups of the shingle are in, so only
-    those are joined with all groups of the shingle.  `postings` have `low, high`: the components of the group's sets.
+    those are joined with all groups of the shingle.  `postings` have `low, high`: the components of the group's sets,
+    and `sketch`: that of the group's set, null if there are several.
     """
     most = postings.groupBy("shingle", "low").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "low")).alias("most"))
     outside = postings.join(most, "shingle").where((F.col("low") != F.col("most.low")) | (F.col("high") != F.col("low"))).drop("most")
-    other = postings.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("gid", "n", "pos", "low", "high")])
+    other = postings.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("gid", "n", "pos", "low", "high", "sketch")])
     apart = (F.col("low") != F.col("low2")) | (F.col("high") != F.col("high2")) | (F.col("low") != F.col("high"))
     fits = _similar_sizes(F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2"), percent)
+    fits = fits & _may_overlap(F.col("n"), F.col("n2"), F.col("sketch"), F.col("sketch2"), percent)
     joined = outside.join(other, "shingle").where((F.col("gid") != F.col("gid2")) & apart & fits)
     return joined.select(F.least("gid", "gid2").alias("a"), F.greatest("gid", "gid2").alias("b")).distinct()
 
@@ -330,12 +359,14 @@ def similar_documents(documents: DataFrame, size: int = SHINGLE, percent: int =
 
     # Then all pairs of sets that are still apart.
     labelled = cut(_labels(classes, links), "labelled")
-    spread = labelled.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    ends1 = spread.withColumnsRenamed({"gid": "a", "low": "low1", "high": "high1"})
-    ends2 = spread.withColumnsRenamed({"gid": "b", "low": "low2", "high": "high2"})
+    spread = labelled.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    ends1 = spread.select(F.col("gid").alias("a"), F.col("low").alias("low1"), F.col("high").alias("high1"))
+    ends2 = spread.select(F.col("gid").alias("b"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     apart = (F.col("low1") != F.col("low2")) | (F.col("high1") != F.col("high2")) | (F.col("low1") != F.col("high1"))
     open_pairs = found.select("a", "b").join(ends1, "a").join(ends2, "b").where(apart).select("a", "b")
-    open_pairs = open_pairs.unionByName(_common_pairs(common.join(spread, "gid"), percent))
+    drawn = sets.where(F.size("sketch") > 0).groupBy("gid").agg(F.min("sketch").alias("sketch"))
+    known_by = spread.join(drawn, "gid").withColumn("sketch", F.when(F.col("members") == 1, F.col("sketch"))).drop("members")
+    open_pairs = open_pairs.unionByName(_common_pairs(common.join(known_by, "gid"), percent))
     inside = spread.where(F.col("low") != F.col("high")).select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     side1 = labelled.select(F.col("gid").alias("a"), F.col("rep").alias("x"), F.col("component").alias("c1"))
     side2 = labelled.select(F.col("gid").alias("b"), F.col("rep").alias("y"), F.col("component").alias("c2"))

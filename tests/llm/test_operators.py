@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.conftest import SMALL
@@ -78,6 +79,41 @@ def test_near_duplicates_random_sets(spark):
     assert rows(found, "n_shingles", "component_id") == brute.groups(pairs)
 
 
+def test_near_duplicates_about_the_threshold(spark):
+    # One text, 0 to 7 of its 130 words changed: pairs on both sides of the threshold, nearly all shingles common.
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(130)]
+    pairs = []
+    for i in range(240):
+        words = list(base)
+        for place in draw.sample(range(130), draw.randrange(8)):
+            words[place] = f"x{draw.randrange(400)}"
+        pairs.append((i, " ".join(words)))
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)
+    # Rows without id that hold the same prefixes, some before and some after.
+    df = df.withColumn("doc_id", F.lit(None).cast("long")).unionByName(df).repartition(3, "text")
+    found = ngram_join.similar_documents(df).where("doc_id is not null")
+    expected = brute.groups(pairs)
+    assert rows(found, "n_shingles", "component_id") == expected
+    assert 1 < len({c for _, c in expected.values()}) < 200
+
+
+def test_parity_sketches_never_exclude_similar_sets(spark):
+    draw = random.Random(5)
+    data = []
+    for _ in range(60):
+        size, differ = draw.randrange(1, 3000), draw.random() * 0.4
+        x = [draw.getrandbits(64) for _ in range(size)]
+        y = [draw.getrandbits(64) if draw.random() < differ else h for h in x]
+        sketches = ngram_join._sketches(np.array(x + y, np.uint64), np.repeat([0, 1], size), 2).view(np.int64).reshape(2, -1).tolist()
+        both = len(set(x) & set(y))
+        data.append((size, *sketches, 100 * both >= 75 * (2 * size - both)))
+    df = spark.createDataFrame(data, "n long, s array<long>, t array<long>, similar boolean")
+    may = df.withColumn("may", ngram_join._may_overlap(F.col("n"), F.col("n"), F.col("s"), F.col("t"), 75))
+    assert may.where("similar and not may").count() == 0
+    assert may.where("similar").count() > 5 and may.where("not may").count() > 5
+
+
 def test_near_duplicates_repeated_and_null_ids(spark, empty):
     same = "one two three four five six"
     df = spark.createDataFrame([(5, same), (5, same), (None, same), (3, same), (9, "")], "doc_id long, text string")
