@@ -38,6 +38,8 @@ def _no_refs() -> Column:
 def judged(tickets: DataFrame, answers: DataFrame | None) -> DataFrame:
     """Per ticket: the checked model answer where usable, else the keyword result.
 
+    Of several answers to a ticket the one with the latest `answered_at` counts, where
+    there is such a column; else, and of equal times, the greatest text.
     Output: id, memo_key, created_at, usable and the result fields.
     """
     text = ticket_text(F.col("title"), F.col("description"))
@@ -45,7 +47,9 @@ def judged(tickets: DataFrame, answers: DataFrame | None) -> DataFrame:
     if answers is None:
         base = base.withColumn("raw", F.lit(None).cast("string"))
     else:
-        base = base.join(answers.select(F.col("ticket_id").alias("id"), "raw"), "id", "left")
+        order = [c for c in ("answered_at", "raw") if c in answers.columns]
+        latest = answers.groupBy(F.col("ticket_id").alias("id")).agg(F.max(F.struct(*order))["raw"].alias("raw"))
+        base = base.join(latest, "id", "left")
     answer = answer_fields(F.col("_fields"))
     read = base.withColumn("_fields", fields_of(parsed(F.col("raw")))).select(
         "id", "created_at", "memo_key", "_text", *[c.alias(n) for n, c in answer.items()]

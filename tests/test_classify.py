@@ -116,3 +116,12 @@ def test_prompts(spark, batch):
     assert got[1].context == "No similar tickets found." and got[7].context == "No similar tickets found."
     assert got[2].context == '- [Network Issue] "I cannot connect to the office network..." (similarity: 100%)'
     assert got[4].context.count("\n") == 2 and got[4].context in got[4].prompt
+
+
+def test_one_answer_per_ticket(batch, answers):
+    late = answers.where("ticket_id = 1").withColumn("raw", F.lit('{"category":"Battery Issue"}')).withColumn("answered_at", F.lit(hours(2)))
+    early = answers.withColumn("answered_at", F.lit(hours(1)))
+    found = plan.judged(batch, early.unionByName(late).unionByName(late)).collect()
+    assert sorted(r.id for r in found) == [1, 2, 3, 4, 5, 6, 7]
+    assert {r.id: r.category for r in found}[1] == "Battery Issue"
+    assert plan.judged(batch, answers.unionByName(answers)).count() == 7
