@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 BREAK = r"\n+|[.!?;]+\s+"  # between sentences
 TOPIC = r"(?i)licen[cs]e|copyright|permission|warrant|redistribut|copyleft|public domain|spdx"
+# Every text that a sentence rule or TOPIC can recognise has one of these.
+HINT = TOPIC.replace("public domain", "domain") + r"|reserved|\bcc0|\bcc\W+by|attribution|clause|neither"
 NOISE = r"[^A-Za-z0-9.+-]+"  # becomes one space
 
 # Identifiers of licence sentences, and what a normalised sentence has that means it.
@@ -99,16 +101,16 @@ def identifier(sentence: Column) -> Column:
 def licences(documents: DataFrame) -> DataFrame:
     """`doc_id, n_sentences, identifiers, licences` per document.
 
-    n_sentences counts the sentences about licensing; identifiers are the
-    recognised ones in order, licences those of the rules that matched in rule
+    n_sentences counts the sentences about licensing, by a word or by a rule
+    that knows them; identifiers are the recognised ones in order, licences those of the rules that matched in rule
     order, both comma-joined and empty if there are none.  A rule is used once,
     however often its sentences come; a null text has no sentences.  Every row
     gives one row; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    about = F.filter(F.split(text, BREAK, -1), lambda s: s.rlike(TOPIC))
+    about = F.filter(F.split(text, BREAK, -1), lambda s: s.rlike(TOPIC) | (s.rlike(HINT) & identifier(normalised(s)).isNotNull()))
     # Few texts speak of licensing at all, and one pass over the text tells.
-    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(TOPIC), about).alias("about"))
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(HINT), about).alias("about"))
     names = F.filter(F.transform("about", lambda s: identifier(normalised(s))), lambda x: x.isNotNull())
     found = found.select(
         "doc_id",
