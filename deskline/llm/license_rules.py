@@ -1,8 +1,11 @@
 """Licences by sentence rules.  DataFrame functions only.
 
-A text is cut into sentences; those that speak of licensing are normalised and
-mapped to the identifier of the first sentence rule that recognises them.  The
-document's sequence of identifiers is then matched against licence rules in
+Comment marks are taken off and a text is cut into sentences, which may run over
+several lines; those that speak of licensing are normalised line by line.  Each
+sentence rule in turn takes the lines that it recognises, first those it finds
+on one line, then those it finds over several, and leaves its identifier in
+their place, so a wrapped notice is read whole and a line has one identifier.
+Lines no rule knows have none.  The document's sequence of identifiers is then matched against licence rules in
 order: each rule names a licence and takes the identifiers it has used out of
 the sequence, so a rule for a longer notice comes before those for its parts.
 Everything is a projection of one row: no shuffle.
@@ -10,10 +13,14 @@ Everything is a projection of one row: no shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BREAK = r"\n+|[.!?;]+\s+"  # between sentences
+BREAK = r"\n+|[.!?;]+\s+"  # between sentences of one line; only the SQL twin uses it
+SENTENCE_END = r"[.!?;]+\s+|\n\s*\n"
+COMMENT = r"""(?im)^[ \t]*(?:(?:[#*/%;|>"!]+|<!--|-{2,}|\(\*|dnl\b|rem\b)[ \t]*)+"""  # marks before a line's text
 TOPIC = r"(?i)licen[cs]e|copyright|permission|warrant|redistribut|copyleft|public domain|spdx"
 # Every text that a sentence rule or TOPIC can recognise has one of these.
 HINT = TOPIC.replace("public domain", "domain") + r"|reserved|\bcc0|\bcc\W+by|attribution|clause|neither"
@@ -86,16 +93,31 @@ LICENCES = [
 
 
 def normalised(sentence: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(sentence, NOISE, " "), r"[. ]+$", "")))
+    """The lines of a sentence that have words, each normalised by itself."""
+    lines = F.transform(F.split(sentence, r"[\r\n]+", -1), lambda x: F.trim(F.regexp_replace(x, NOISE, " ")))
+    joined = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    return F.lower(F.regexp_replace(joined, r"[. \n]+$", ""))
+
+
+def _lines_with(pattern: str) -> str:
+    return rf"(?m)^[^\n\x01]*(?:{pattern})[^\n\x01]*$"
+
+
+def _over_lines(pattern: str) -> str:
+    """The pattern where a line may end at any space or gap; a gap does not pass the pattern's own beginning."""
+    ways = []
+    for way in pattern.split("|"):
+        pieces = [re.sub(r"(?<!\\)\.", r"[^\\x01]", piece).replace(" ", r"[ \n]") for piece in way.split(".*")]
+        ways.append(rf"(?:(?!{pieces[0]})[^\x01])*".join(pieces))
+    return "|".join(ways)
 
 
-def identifier(sentence: Column) -> Column:
-    """The identifier of a normalised sentence, or null."""
-    name, pattern = SENTENCES[0]
-    found = F.when(sentence.rlike(pattern), name)
-    for name, pattern in SENTENCES[1:]:
-        found = found.when(sentence.rlike(pattern), name)
-    return found
+def identifiers(sentence: Column) -> Column:
+    """The identifiers of a normalised sentence, in order."""
+    for name, pattern in SENTENCES:
+        sentence = F.regexp_replace(sentence, _lines_with(pattern), f"\x01{name}\x01")
+        sentence = F.regexp_replace(sentence, _lines_with(_over_lines(pattern)), f"\x01{name}\x01")
+    return F.regexp_extract_all(sentence, F.lit(r"\x01([^\x01]+)\x01"), F.lit(1))
 
 
 def licences(documents: DataFrame) -> DataFrame:
@@ -108,14 +130,15 @@ def licences(documents: DataFrame) -> DataFrame:
     gives one row; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    about = F.filter(F.split(text, BREAK, -1), lambda s: s.rlike(TOPIC) | (s.rlike(HINT) & identifier(normalised(s)).isNotNull()))
     # Few texts speak of licensing at all, and one pass over the text tells.
-    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(HINT), about).alias("about"))
-    names = F.filter(F.transform("about", lambda s: identifier(normalised(s))), lambda x: x.isNotNull())
+    sentences = F.when(text.rlike(HINT), F.split(F.regexp_replace(text, COMMENT, ""), SENTENCE_END, -1))
+    sentences = F.transform(F.filter(sentences, lambda s: s.rlike(HINT)), normalised)
+    read = F.transform(sentences, lambda s: F.struct(F.regexp_replace(s, "\n", " ").rlike(TOPIC).alias("topic"), identifiers(s).alias("names")))
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(read, lambda s: s["topic"] | (F.size(s["names"]) > 0)).alias("about"))
     found = found.select(
         "doc_id",
         F.coalesce(F.when(F.col("about").isNotNull(), F.size("about")), F.lit(0)).cast("long").alias("n_sentences"),
-        F.coalesce(F.array_join(names, ","), F.lit("")).alias("identifiers"),
+        F.coalesce(F.array_join(F.flatten(F.transform("about", lambda s: s["names"])), ","), F.lit("")).alias("identifiers"),
     )
     # Each identifier has commas of its own, so that neighbours share none.
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern.replace(",", ",+")).alias("pattern")) for name, pattern in LICENCES])

@@ -77,3 +77,55 @@ def test_every_rule_has_a_sentence_that_it_finds(spark):
     assert [(n, i) for n, i, _ in got] == [(1, name) for name in SENTENCES]
     assert [x for _, _, x in found(spark, LICENCES.values())] == list(LICENCES)
     assert found(spark, ["All rights reserved.", "No clause of this is reserved for attribution."]) == [(1, "all-rights", "Proprietary"), (0, "", "")]
+
+
+MIT = """MIT License
+
+Copyright (c) 2024 X
+
+Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software, to deal in it without
+restriction, subject to the following conditions:
+
+The above copyright notice and this
+permission notice shall be included in all copies.
+"""
+BSD = """Copyright (c) 2024, X
+All rights reserved.
+
+Redistribution and use in source and binary
+forms, with or without modification, are permitted provided that the following conditions are met:
+* Redistributions of source code must retain the above
+  copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright
+  notice in the documentation.
+* Neither the name of X nor the names of its contributors
+  may be used to endorse or promote products.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the notice appears in all copies.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+WARRANTY = 'The software is provided "as is",\nand comes without\nwarranty of any kind.'
+
+
+def test_wrapped_texts_are_read_whole(spark):
+    want = ["MIT", "BSD-3-Clause,Proprietary", "ISC", "GPL-3.0-or-later"]
+    for mark in ("", "# ", " * ", "// ", "-- ", ";; "):
+        texts = ["".join(mark + line + "\n" for line in t.splitlines()) for t in (MIT, BSD, ISC, GPL)]
+        assert [x for _, _, x in found(spark, texts)] == want, mark
+    assert [i for _, i, _ in found(spark, [WARRANTY, GPL.replace("\n", "\r\n")])] == ["as-is", "gpl-3-or-later"]
+
+
+def test_lines_without_a_stop_keep_their_own_identifiers(spark):
+    texts = [
+        "SPDX-License-Identifier: MIT\nCopyright 2024 X\nAll rights reserved",
+        "Licensed under CC BY-NC 4.0\nReleased under the MIT License",
+        "GNU General Public License version 2 or any later version\nGNU General Public License version 3 or any later version",
+        "GNU General Public License\nGNU General Public License\nversion 3 or\nany later version",
+    ]
+    assert [i for _, i, _ in found(spark, texts)] == ["spdx-mit,copyright,all-rights", "cc-by-nc-4.0,mit-name", "gpl-2-or-later,gpl-3-or-later", "gpl,gpl-3-or-later"]
