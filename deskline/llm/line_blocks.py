@@ -1,19 +1,25 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped in one pass that leaves one line per block of text and empty
-lines where something without article text stood (menus, adverts, forms ...), so
-such parts separate the text around them.  Text lengths are summed over a sliding
-window of lines; text begins where the sum surges above a bound that the page's
-own longest stretch sets and ends where it dives to nothing, and all lines in
-between are kept whole.  Where a page names its article (article, main), lines
-outside it weigh nothing.
+Markup is stripped in one pass that leaves one line per block of text and takes
+out what is no article text (menus, adverts, forms ...).  Such parts, the edges of
+article and main and a window of lines without weight separate stretches of
+lines.  Text lengths are summed over a sliding window of lines; a stretch counts
+where the sum surges above a bound that the page's fullest window sets, and all
+its lines are kept whole up to where the weight dives to nothing.  Lines weigh
+less on the side of article and main (inside or outside) that has less of the
+page's text.  Parts that were taken out do not cut a text in two: shorter
+stretches between those that count or under the same element as one, and headings
+before the first, are kept too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +28,6 @@ from pyspark.sql import functions as F
 from deskline.llm.frames import mapped
 
 WINDOW = 3  # lines
-GAP = WINDOW  # empty lines where a part was taken out
 SURGE = 80  # characters in a window at least, or
 SURGE_SHARE = 0.25  # of the page's fullest window, if that is less
 MAX_LINK_SHARE = 0.5  # of a line outside articles; more is a menu
@@ -43,6 +48,8 @@ _NAMES = set(
 )
 _NAMES_OUTSIDE = {"header", "masthead", "topbar", "search", "login", "hidden", "side", "skip"}
 _ARTICLES = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+_LEAVES = _HEADINGS | {"p", "br", "hr"}  # hold no other blocks
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</(?:\1)\s*>|\Z)"
@@ -65,19 +72,54 @@ def _is_part(tag: str, attributes: str, inside: bool) -> bool:
     return bool(words & _NAMES) or (not inside and bool(words & _NAMES_OUTSIDE))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, whether inside an article) per line; empty lines have no text."""
-    lines: list[tuple[str, int, bool]] = []
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters of it in links
+    inside: bool  # an article
+    heading: bool
+    parent: int  # number of the element around the block
+    apart: bool  # something was taken out before it
+
+
+def _ends(tokens: list[re.Match[str]]) -> dict[int, int]:
+    """The token that ends an element, by the one that begins it; not of unclosed elements."""
+    ends: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for i, token in enumerate(tokens):
+        tag = (token[3] or "").lower()
+        if tag and not token[2]:
+            if not token[4].endswith("/"):
+                begun.setdefault(tag, []).append(i)
+        elif begun.get(tag):
+            ends[begun[tag].pop()] = i
+    return ends
+
+
+def lines_of(page: str, whole_parts: bool = True) -> list[Line]:
+    """The lines of text.  A part is left out up to its own end; without one, up to where an article begins or ends.
+
+    whole_parts: False ends every part at the next article, for pages that have all their text in a part.
+    """
+    lines: list[Line] = []
     text: list[str] = []
     linked = 0
     articles = links = 0
-    part, depth = "", 0  # the part being left out, and how often its tag is open
+    apart, heading = False, False
+    open_: list[tuple[str, int]] = [("", 0)]
+    count: Counter[str] = Counter()
+    tokens = list(_TOKEN.finditer(page))
+    ends = _ends(tokens)
+    marks = [i for i, token in enumerate(tokens) if (token[3] or "").lower() in _ARTICLES]
+    limits = [len(tokens)]  # where the open articles end; no part in one goes on beyond it
+    until = -1  # the token that ends the part being left out
+    part = False  # in one without an end
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, apart
         whole = " ".join("".join(text).split())
         if whole:
-            lines.append((whole, linked, articles > 0))
+            lines.append(Line(whole, linked, articles > 0, heading, open_[-1][1], apart))
+            apart = False
         text.clear()
         linked = 0
 
@@ -90,7 +132,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 linked += len(plain)
 
     at = 0
-    for token in _TOKEN.finditer(page):
+    for i, token in enumerate(tokens):
+        if i <= until:
+            at = token.end()
+            continue
         add(page[at : token.start()])
         at = token.end()
         tag = (token[3] or "").lower()
@@ -98,21 +143,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         closing = bool(token[2])
         if part:
-            if tag == part:
-                depth += -1 if closing else 1
-            if depth == 0:
-                part = ""
+            if not (tag in _ARTICLES and closing == (articles > 0)):
                 continue
-            if not (tag in _ARTICLES and not closing and not articles):  # an unclosed part ends where the article begins
-                if not (closing and tag in _ARTICLES and articles):
-                    continue
-            part = ""
+            part = False
         attributes = token[4]
         if not closing and not attributes.endswith("/") and _is_part(tag, attributes, articles > 0):
             if tag in _BLOCKS:
                 end()
-            lines.extend([("", 0, articles > 0)] * (GAP if tag in _BLOCKS else 0))
-            part, depth = tag, 1
+                apart = True
+            stop = ends.get(i, len(tokens))
+            if stop >= limits[-1] or (not whole_parts and bisect_right(marks, i) < bisect_right(marks, stop)):
+                part = True
+            else:
+                until = stop
             continue
         if tag == "br":
             add(" ")
@@ -121,38 +164,69 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         elif tag in _BLOCKS:
             end()
             links = 0
+            heading = tag in _HEADINGS and not closing
             if tag in _ARTICLES:
                 articles = max(0, articles + (-1 if closing else 1))
+                if not closing:
+                    limits.append(min(limits[-1], ends.get(i, len(tokens))))
+                elif len(limits) > 1:
+                    limits.pop()
+            if tag not in _LEAVES and not attributes.endswith("/"):
+                if not closing:
+                    open_.append((tag, i + 1))
+                    count[tag] += 1
+                elif count[tag]:
+                    while True:
+                        last, _ = open_.pop()
+                        count[last] -= 1
+                        if last == tag:
+                            break
     add(page[at:])
     end()
     return lines
 
 
-def main_text(page: str | None) -> str:
-    lines = lines_of(page) if page else []
-    named = any(text and inside for text, _, inside in lines)
-
-    def weight(text: str, linked: int, inside: bool) -> int:
-        if named:
-            return len(text) if inside else 0
-        return 0 if linked > MAX_LINK_SHARE * len(text) else len(text)
-
-    weights = [weight(*line) for line in lines]
-    window = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    surge = 1 if named else min(SURGE, SURGE_SHARE * max(window, default=0))
-    kept: list[str] = []
-    i = 0
-    while i < len(lines):
-        if not window[i]:
-            i += 1
+def _stretches(lines: list[Line], weights: list[float]) -> list[tuple[int, int]]:
+    """(first, stop) of the lines that go together; a stretch begins and ends with a line that weighs something."""
+    found: list[tuple[int, int]] = []
+    for i, (line, weight) in enumerate(zip(lines, weights)):
+        if not weight:
             continue
-        stop = i
-        while stop < len(lines) and window[stop]:  # the dive: nothing in a whole window
-            stop += 1
-        if max(window[i:stop]) >= surge:
-            kept += [text for (text, _, _), w in zip(lines[i:stop], weights[i:stop]) if w]
-        i = stop
-    return "\n".join(kept)
+        if found:
+            first, stop = found[-1]
+            if i - stop < WINDOW and lines[first].inside == line.inside and not any(x.apart for x in lines[stop : i + 1]):
+                found[-1] = first, i + 1
+                continue
+        found.append((i, i + 1))
+    return found
+
+
+def _main_lines(lines: list[Line]) -> list[Line]:
+    body = [0 if not x.inside and x.linked > MAX_LINK_SHARE * len(x.text) else len(x.text) for x in lines]
+    sides = [sum(n for x, n in zip(lines, body) if x.inside == side) for side in (False, True)]
+    factor = [min(1.0, sides[side] / max(sides[not side], 1)) for side in (False, True)]
+    weights = [n * factor[x.inside] for x, n in zip(lines, body)]
+    stretches = _stretches(lines, weights)
+    fullest = [max(sum(weights[i : min(i + WINDOW, stop)]) for i in range(first, stop)) for first, stop in stretches]
+    surge = min(SURGE, SURGE_SHARE * max(fullest, default=0))
+    counts = [k for k, most in enumerate(fullest) if most >= surge]
+    if not counts:
+        return []
+    parents = {x.parent for k in counts for x in lines[slice(*stretches[k])]}
+    kept: list[Line] = []
+    for k, (first, stop) in enumerate(stretches):
+        own = lines[first:stop]
+        if k not in counts and not counts[0] < k < counts[-1]:
+            own = [x for x in own if x.parent in parents or (x.heading and k == counts[0] - 1)]
+        kept += own
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    kept = _main_lines(lines_of(page)) if page else []
+    if page and not kept:
+        kept = _main_lines(lines_of(page, whole_parts=False))
+    return "\n".join(x.text for x in kept)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
