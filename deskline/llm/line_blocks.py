@@ -218,6 +218,8 @@ def _main_lines(lines: list[Line]) -> list[Line]:
         own = lines[first:stop]
         if k not in counts and not counts[0] < k < counts[-1]:
             own = [x for x in own if x.parent in parents or (x.heading and k == counts[0] - 1)]
+        if k and k - 1 >= counts[0] and k <= counts[-1]:  # linked lines in the middle of one element's text
+            own = [x for x in lines[stretches[k - 1][1] : first] if x.parent in parents] + own
         kept += own
     return kept
 

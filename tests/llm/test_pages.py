@@ -29,3 +29,19 @@ def test_parts_hold_until_their_own_end():
     assert line_blocks.main_text(f"<div class=ad>Buy<article>{BODY}</article>") == TEXT
     assert line_blocks.main_text(f"<div><div class=ad>Buy<article>{BODY}</article></div>") == TEXT
     assert line_blocks.main_text(f"<div><article>{BODY}<div class=ad>Buy</article></div><p>x</p>") == TEXT
+
+
+def test_text_goes_on_after_parts_that_are_taken_out():
+    for a, b in (("<div>", "</div>"), ("", ""), ("<article>", "</article>")):
+        page = f"{a}<h1>Head</h1><div class='share'>Share it</div><p>By X.</p><div class=ad>Buy</div>{BODY}<div class=ad>Buy</div><p>End.</p>{b}"
+        assert line_blocks.main_text(page) == f"Head\nBy X.\n{TEXT}\nEnd."
+    page = f"<div><h1>Head</h1></div><form>x</form><div>{BODY}</div><div class=ad>Buy</div><div>Between.</div><aside>no</aside><div>{BODY}</div><aside>no</aside><div>Imprint</div>"
+    assert line_blocks.main_text(page) == f"Head\n{TEXT}\nBetween.\n{TEXT}"
+
+
+def test_linked_lines_within_the_text_are_text():
+    links = "<p><a href=x>All of this line is a link.</a></p>"
+    menu = "<ul><li><a href=a>Home page</a></li><li><a href=b>Other page</a></li></ul>"
+    for n in (1, 5):
+        got = line_blocks.main_text(f"{menu}<div>{BODY}{links * n}{BODY}</div>{menu}")
+        assert got == "\n".join([TEXT, *["All of this line is a link."] * n, TEXT])
