@@ -1,6 +1,8 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model.
+"""Quality by perplexity under interpolated modified Kneser-Ney models.
 
-The units are symbols: the bytes of a text folded into 64 classes (letters, one
+Words are predicted by the n-grams of `word_ngrams`, which grow with the trusted
+text; this module spells the words that those do not know, and judges.  The units
+of spelling are symbols: the bytes of a text folded into 64 classes (letters, one
 class for all capitals, digits, punctuation by itself or in small classes, the
 bytes of other characters in 16 classes), so the model of order 4 never has more
 than 64**4 entries whatever the corpus, while its counts grow with all trusted
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskline.llm import word_ngrams
 from deskline.llm import words as W
 from deskline.llm.frames import arrow_schema, mapped, matched
 from deskline.session import cut
@@ -125,7 +128,7 @@ def train(documents: DataFrame) -> np.ndarray:
 
 
 def surprise(documents: DataFrame, model: np.ndarray) -> DataFrame:
-    """All columns and `_bits` (sum over the text), `_symbols`."""
+    """All columns and `_bits` (spelling of what precedes the first word), `_symbols` (of the whole text)."""
     shared = documents.sparkSession.sparkContext.broadcast(model.tobytes())
     schema = documents.limit(0).withColumns({"_bits": F.lit(0.0), "_symbols": F.lit(0).cast("long")}).schema
 
@@ -134,13 +137,23 @@ def surprise(documents: DataFrame, model: np.ndarray) -> DataFrame:
         for part in W.slices(batch, "text"):
             offsets, grams = _grams(part.column("text"))
             total = np.concatenate([[0], np.cumsum(table[grams], dtype=np.int64)])
-            bits = (total[offsets[1:]] - total[offsets[:-1]]) / STEPS
+            words = W.words_of(part.column("text"))
+            some = np.diff(words.first) > 0
+            stop = offsets[1:].copy()
+            stop[some] = words.start[words.first[:-1][some]]
+            bits = (total[stop] - total[offsets[:-1]]) / STEPS
             columns = [*part.columns, pa.array(bits), pa.array(np.diff(offsets))]
             yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "_bits", "_symbols"])
 
     return mapped(documents, score, schema)
 
 
+def _with_words(spelled: DataFrame, words: DataFrame) -> DataFrame:
+    """`_bits` of the words added, by `_key`."""
+    joined = matched(spelled, words, "_key", "left")
+    return joined.withColumn("_bits", F.col("_bits") + F.coalesce("_words", F.lit(0.0))).drop("_key", "_words")
+
+
 def _lang() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(""))
 
@@ -164,12 +177,13 @@ def _score(median: str) -> Column:
     return (F.col("_bits") + PRIOR * F.col(median)) / (F.col("_symbols") + PRIOR)
 
 
-def _model(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(trusted ids, table of surprises)"""
+def _model(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """(trusted ids, table of surprises of symbols, `_key, _words` of all documents)"""
     trusted = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id"))
     trusted = cut(trusted.where(F.col("doc_id").isNotNull()).distinct(), "trusted")
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return trusted, train(matched(own, trusted, "doc_id", "left_semi"))
+    own = matched(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trusted, "doc_id", "left_semi")
+    model = train(own)
+    return trusted, model, word_ngrams.bits(documents.select("text"), word_ngrams.train(own), model, STEPS, _grams)
 
 
 def _judged(scored: DataFrame, limits: tuple[DataFrame, float, float]) -> DataFrame:
@@ -193,9 +207,9 @@ def quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     are kept.  Repeated rows give a row each; of several labels of an id one 1 is
     enough; labels without an id count for nothing.
     """
-    trusted, model = _model(documents, labels)
-    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", _lang().alias("_lang"))
-    scores = cut(surprise(slim, model).drop("text"), "scores")
+    trusted, model, words = _model(documents, labels)
+    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", _lang().alias("_lang"), F.xxhash64("text").alias("_key"))
+    scores = cut(_with_words(surprise(slim, model).drop("text"), words), "scores")
     limits = _thresholds(matched(scores, trusted, "doc_id", "left_semi"), quantile, margin)
     return _judged(scores, limits).select(
         "doc_id",
@@ -209,9 +223,9 @@ def quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
 
 def of_good_quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """The documents, all columns, that `quality` keeps."""
-    trusted, model = _model(documents, labels)
-    own = matched(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", _lang().alias("_lang")), trusted, "doc_id", "left_semi")
-    limits = _thresholds(surprise(own, model), quantile, margin)
+    trusted, model, words = _model(documents, labels)
+    own = matched(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", _lang().alias("_lang"), F.xxhash64("text").alias("_key")), trusted, "doc_id", "left_semi")
+    limits = _thresholds(_with_words(surprise(own, model).drop("text"), words), quantile, margin)
     # The row travels as one value, so no name in it can clash.
-    rows = documents.select(F.struct(*documents.columns).alias("row"), "text", _lang().alias("_lang"))
-    return _judged(surprise(rows, model), limits).where("_kept").select(*[F.col("row")[c].alias(c) for c in documents.columns])
+    rows = documents.select(F.struct(*documents.columns).alias("row"), "text", _lang().alias("_lang"), F.xxhash64("text").alias("_key"))
+    return _judged(_with_words(surprise(rows, model).drop("text"), words), limits).where("_kept").select(*[F.col("row")[c].alias(c) for c in documents.columns])
