@@ -29,7 +29,6 @@ MIN_Z = 2.5
 MIN_DOCUMENTS = 3  # toxic documents with the token
 MAX_TOKENS = 50_000  # tokens with a score of their own: the highest z
 DRIFT = 0.05  # cost of any other token
-TOP_SEGMENTS = 32  # that add to a document's evidence; all are returned
 
 
 def fold(doc_id: Column) -> Column:
@@ -130,7 +129,7 @@ def _evidence(scores: list[float], n: int, rate: float, k: float) -> float:
     """How far the best r segments' scores lie above what n tokens of clean text give, for the best r."""
     best = total = 0.0
     each = math.log(max(k * n, 1.0))
-    for r, score in enumerate(sorted(scores, reverse=True)[:TOP_SEGMENTS], start=1):
+    for r, score in enumerate(sorted(scores, reverse=True), start=1):
         total += rate * score - each + math.log(r)  # r segments may come in any order: - r ln(kn) + ln r!
         best = max(best, total)
     return best
