@@ -94,6 +94,22 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
 from d left join covered using (doc_id) left join items using (doc_id)"""
 
 
+def op13_substring_dedup() -> str:
+    return """
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+win as (
+  select r, doc_id, i, array_to_string(w[i:i + 49], ' ') as s
+  from (select r, doc_id, w, unnest(range(1, len(w) - 48)) as i from d)),
+low as (select s, min(doc_id) as first from win group by s),
+hit as (select r, i from win join low using (s) where first < doc_id),
+gone as (select r, list(distinct j) as js from (select r, unnest(range(i, i + 50)) as j from hit) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(cast(len(js) as bigint), 0) as n_removed,
+  sha256(array_to_string(case when js is null then w
+    else list_transform(list_filter(range(1, len(w) + 1), lambda k: not list_contains(js, k)), lambda k: w[k]) end, ' ')) as kept_sha256
+from d left join gone using (r)"""
+
+
 def all_oracles() -> dict[str, str]:
     found: dict[str, Callable[[], str]] = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return {name: f() for name, f in found.items()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskline.llm import best_fit, compression_rules, decontaminate, kneser_ney, license_rules, line_blocks, line_runs, ngram_join, secret_models, toxic_segments
+from deskline.llm import best_fit, compression_rules, decontaminate, kneser_ney, license_rules, line_blocks, line_runs, ngram_join, recompression, secret_models, toxic_segments
 from deskline.llm.frames import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,5 +67,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_blocks.extracted(table(spark, sf_dir, "pages"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = recompression.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return cut.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

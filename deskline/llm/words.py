@@ -100,6 +100,14 @@ class Spans:
         return mix((self.total[end] - self.total[start]) * self.inverse[start])
 
 
+def sums(hashes: np.ndarray):
+    """A function of (start, end): hashes of ranges of the given sequence, equal for equal ranges."""
+    power, inverse = _up_to(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power[: len(hashes)], out=total[1:])
+    return lambda start, end: mix((total[end] - total[start]) * inverse[start])
+
+
 def bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each text, starts, ends) of the maximal runs of word bytes within texts."""
     inside = is_word[data]
