@@ -94,6 +94,60 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
 from d left join covered using (doc_id) left join items using (doc_id)"""
 
 
+def op12_conversation_repair() -> str:
+    space = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+    checksum = """xor(4294967295, list_reduce(
+      list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ord(x) as bigint)),
+      lambda c, b: list_reduce([cast(k as bigint) for k in range(8)], lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, xor(c, b)),
+      4294967295))"""
+    return f"""
+with recursive
+raw as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {checksum} % 20 as fate from conversations),
+r as (
+  select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+    case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when fate = 3 then [0, 1] else [0] end) as copy
+  from raw where fate <> 0),
+o as (
+  select *, i > min(i) over (partition by conv_id, role, text) as seen, trim(text, {space}) as body
+  from (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from r)),
+k as (
+  select *, case when body = '' then 'blank' when seen then 'duplicate' when right(body, 1) in ('.', '!', '?') then '' else 'truncated' end as fault,
+    left(role, 1) as x, lead(left(role, 1)) over (partition by conv_id order by i) as next_x
+  from o),
+pre(f, s, c, a, line) as (values (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+  (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (3, 2, 5, 'I', chr(10) || 'user:'), (2, 3, 5, 'I', chr(10) || 'assistant:')),
+ways(s, letter, t, c, x, as_role) as (values (0, 'D', 0, 2, '', ''), (1, 'D', 1, 2, '', ''), (2, 'D', 2, 2, '', ''), (3, 'D', 3, 2, '', ''),
+  (0, 'K', 1, 0, 's', ''), (0, 'K', 2, 0, 'u', ''), (1, 'K', 2, 0, 'u', ''), (3, 'K', 2, 0, 'u', ''), (2, 'K', 3, 0, 'a', ''),
+  (0, 'R', 2, 1, '', 'user'), (1, 'R', 2, 1, '', 'user'), (3, 'R', 2, 1, '', 'user'), (2, 'R', 3, 1, '', 'assistant')),
+step(conv_id, i, s, best) as (
+  select distinct conv_id, cast(0 as bigint), 0, {{'cost': 0, 'audit': '', 'lines': ''}} from conversations
+  union all
+  select p.conv_id, p.i + 1, w.t, min({{
+    'cost': p.best.cost + q.c + w.c + case when w.letter <> 'D' and k.fault = 'truncated' then 5 else 0 end,
+    'audit': p.best.audit || q.a || w.letter,
+    'lines': p.best.lines || q.line || case w.letter when 'D' then '' when 'K' then chr(10) || k.role || ':' || k.text else chr(10) || w.as_role || ':' || k.text end}})
+  from step p join pre q on q.f = p.s join k on k.conv_id is not distinct from p.conv_id and k.i = p.i + 1
+    join ways w on w.s = q.s and (w.letter = 'D' or (k.fault not in ('blank', 'duplicate') and (w.letter = 'R' or w.x = k.x)))
+  group by p.conv_id, p.i, w.t),
+size as (
+  select conv_id, count(*) as n, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+    count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where next_x is not null and x || next_x not in ('su', 'ua', 'au')) as illegal,
+    coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps
+  from k group by conv_id),
+every as (select distinct conv_id from conversations),
+last as (
+  select e.conv_id, min({{'cost': s.best.cost + case s.s when 1 then 10 when 2 then 5 else 0 end, 'audit': s.best.audit || case s.s when 1 then 'II' when 2 then 'I' else '' end,
+    'lines': s.best.lines || case s.s when 1 then chr(10) || 'user:' || chr(10) || 'assistant:' when 2 then chr(10) || 'assistant:' else '' end}}) as best
+  from every e left join size z on z.conv_id is not distinct from e.conv_id
+    join step s on s.conv_id is not distinct from e.conv_id and s.i = coalesce(z.n, 0)
+  group by e.conv_id)
+select l.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, cast(best.cost as bigint) as cost, best.audit as audit, sha256(best.lines[2:]) as repaired_sha256
+from last l left join size z on z.conv_id is not distinct from l.conv_id"""
+
+
 def op13_substring_dedup() -> str:
     return """
 with d as (
