@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskline.llm import best_fit, compression_rules, decontaminate, kneser_ney, license_rules, line_blocks, line_runs, ngram_join, recompression, secret_models, toxic_segments, turn_repair
+from deskline.llm import best_fit, compression_rules, decontaminate, kneser_ney, license_rules, line_blocks, line_runs, ngram_join, recompression, secret_models, toxic_segments, turn_repair, whitening
 from deskline.llm.frames import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_blocks.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(table(spark, sf_dir, "embeddings"), ["vec_id"])
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.digests(turn_repair.repaired(turn_repair.damaged(table(spark, sf_dir, "conversations"))))
 
