@@ -33,6 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,8 @@ SIZE = 50  # words in a window
 ROUNDS = 5  # symbols are 4 words long on average after them, their contexts 13 to 20
 RUN_ROUNDS = (0, 3)  # a round of runs widens all contexts by a symbol on both sides
 
+UNPACKED = 1 << 24  # bytes of text unpacked at a time; one longer text is unpacked alone
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 # A place is range * PLACES + window + 1, or range * PLACES for the whole stretch.
 PLACES = 1 << 16
@@ -65,9 +68,10 @@ def levels(words: Words, rounds: int = ROUNDS, run_rounds: tuple[int, ...] = RUN
     What depends on a text's end gets a context that reaches one word beyond it.
     """
     count = len(words.hash)
-    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    before, behind = words.first[:-1] - 1, words.first[1:] + 1
-    found = [Level(words.hash, np.arange(count), np.arange(1, count + 1))]
+    text = np.repeat(np.arange(len(words.first) - 1, dtype=np.int32), np.diff(words.first))
+    first = words.first.astype(np.int32)  # narrow numbers: these arrays are most of the work
+    before, behind = first[:-1] - 1, first[1:] + 1
+    found = [Level(words.hash, np.arange(count, dtype=np.int32), np.arange(1, count + 1, dtype=np.int32))]
     for number in range(rounds):
         name, low, high = found[-1]
         if number in run_rounds:
@@ -127,17 +131,25 @@ class Stretches(NamedTuple):
     chosen: np.ndarray
 
 
-def _least(rank: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """The smallest rank in each range; the ranges are not empty."""
+def _least(name: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The place of the smallest name in each range, the leftmost of equal ones; the ranges are not empty."""
+    near = np.zeros(len(name) + 1, np.int64)
+    np.add.at(near, start, 1)
+    np.add.at(near, stop, -1)
+    near = np.flatnonzero(np.cumsum(near[:-1]))  # only symbols in some range are looked at
+    name = name[near]
+    start, stop = np.searchsorted(near, start), np.searchsorted(near, stop - 1) + 1
     power = np.frexp((stop - start).astype(np.float64))[1] - 1
-    out = np.empty(len(start), rank.dtype)
-    table = rank
+    out = np.empty(len(start), np.int64)
+    table = np.arange(len(name))
     for k in range(int(power.max(initial=0)) + 1):
         here = np.flatnonzero(power == k)
-        out[here] = np.minimum(table[start[here]], table[stop[here] - (1 << k)])
+        left, right = table[start[here]], table[stop[here] - (1 << k)]
+        out[here] = np.where(name[right] < name[left], right, left)
         if len(table) > 1 << k:
-            table = np.minimum(table[: -(1 << k)], table[1 << k :])
-    return out
+            left, right = table[: -(1 << k)], table[1 << k :]
+            table = np.where(name[right] < name[left], right, left)
+    return near[out]
 
 
 def stretches(words: Words, size: int = SIZE, rounds: int = ROUNDS) -> Stretches:
@@ -145,27 +157,30 @@ def stretches(words: Words, size: int = SIZE, rounds: int = ROUNDS) -> Stretches
     text = np.repeat(np.arange(len(per_text)), per_text)
     window = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text) + words.first[:-1][text]
     symbol = np.zeros(len(window), np.uint64)
-    place = np.zeros(len(window), np.int64)
+    low, high = np.zeros((2, len(window)), np.int32)
+    window = window.astype(np.int32)
     open_ = np.arange(len(window))
     for level in reversed(levels(words, rounds)):
         start = np.searchsorted(level.low, window[open_])
-        stop = np.searchsorted(level.high, window[open_] + size, side="right")
+        stop = np.searchsorted(level.high, window[open_] + np.int32(size), side="right")
         there = start < stop
-        now, start, stop = open_[there], start[there], stop[there]
-        order = np.argsort(level.name, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        at = order[_least(rank, start, stop)]
-        symbol[now] = level.name[at]
-        place[now] = level.low[at]
+        now = open_[there]
+        at = _least(level.name, start[there], stop[there])
+        symbol[now], low[now], high[now] = level.name[at], level.low[at], level.high[at]
         open_ = open_[~there]
+        if not len(open_):
+            break
     new = np.ones(len(window), bool)
-    new[1:] = (text[1:] != text[:-1]) | (symbol[1:] != symbol[:-1]) | (place[1:] != place[:-1])
+    new[1:] = (text[1:] != text[:-1]) | (symbol[1:] != symbol[:-1]) | (low[1:] != low[:-1])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(window)) - 1
-    content = sums(words.hash)(window[head], window[tail] + size)
-    order = np.lexsort((content, symbol[head], text[head]))
-    key = np.stack([text[head][order].astype(np.uint64), symbol[head][order], content[order]])
+    window = window.astype(np.int64)
+    of_words = sums(words.hash)
+    content = of_words(window[head], window[tail] + size)
+    # A short symbol is frequent by chance; with its context, which the windows hold as well, it is not.
+    symbol = mix(symbol[head] + of_words(low[head], high[head]))
+    order = np.lexsort((content, symbol, text[head]))
+    key = np.stack([text[head][order].astype(np.uint64), symbol[order], content[order]])
     fresh = np.ones(len(order), bool)
     fresh[1:] = np.any(key[:, 1:] != key[:, :-1], axis=0)
     group = np.cumsum(fresh) - 1
@@ -175,29 +190,51 @@ def stretches(words: Words, size: int = SIZE, rounds: int = ROUNDS) -> Stretches
     # Numbers start at 0 in each text.
     base = np.searchsorted(text[head][chosen], np.arange(len(per_text)))
     number -= base[text[head]]
-    return Stretches(text[head], window[head], window[tail] + 1, symbol[head], content, number, chosen)
+    return Stretches(text[head], window[head], window[tail] + 1, symbol, content, number, chosen)
 
 
-_STRETCH = "doc_id long, key long, number long, symbol long, words long"
-_WINDOW = "doc_id long, key long, place long, h1 long, h2 long"
+# Rows of a document are told apart by `row`, a hash of its text: doc_ids may repeat.
+_STRETCH = "doc_id long, row int, number int, symbol long, words long"
+_WINDOW = "doc_id long, row int, place long, h1 long, h2 long"
 
 
 def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
 
 
+def _packed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The texts, column `text`, compressed for the way."""
+    work = zstandard.ZstdCompressor(level=1)
+    texts = [None if t is None else work.compress(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()))
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch with its texts as they were, at most UNPACKED bytes of them at a time."""
+    work, at = zstandard.ZstdDecompressor(), batch.schema.get_field_index("text")
+    packed = batch.column("text")
+    sizes = [0 if not t.is_valid else zstandard.frame_content_size(t.as_buffer()) for t in packed]
+    low = total = 0
+    for high, size in enumerate([*sizes, UNPACKED]):
+        if high > low and total + size > UNPACKED:
+            texts = [None if t is None else work.decompress(t) for t in packed[low:high].to_pylist()]
+            yield batch.slice(low, high - low).set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string()))
+            low, total = high, 0
+        total += size
+
+
 def _listed(size: int, schema: pa.Schema, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for part in slices(batch, "text"):
         found = stretches(words_of(part.column("text")), size)
         row, one = found.text[found.chosen], found.chosen
-        columns = [part.column("doc_id").take(pa.array(row)), part.column("key").take(pa.array(row))]
-        columns += [_longs(found.number[one]), _longs(found.symbol[one]), _longs(found.words[one])]
+        columns = [part.column("doc_id").take(pa.array(row)), part.column("row").take(pa.array(row))]
+        columns += [pa.array(found.number[one].astype(np.int32)), _longs(found.symbol[one]), _longs(found.words[one])]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def _single(size: int, schema: pa.Schema, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The windows of the stretches whose numbers are listed in `open`."""
-    for part in slices(batch, "text"):
+    for part in (p for b in _unpacked(batch) for p in slices(b, "text")):
         words = words_of(part.column("text"))
         found = stretches(words, size)
         lists = part.column("open")
@@ -208,14 +245,14 @@ def _single(size: int, schema: pa.Schema, batch: pa.RecordBatch) -> Iterator[pa.
         offset = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
         start = found.start[at] + offset
         row = pa.array(found.text[at])
-        columns = [part.column("doc_id").take(row), part.column("key").take(row), _longs(found.number[at] * PLACES + offset + 1)]
+        columns = [part.column("doc_id").take(row), part.column("row").take(row), _longs(found.number[at] * PLACES + offset + 1)]
         columns += [_longs(sums(words.hash)(start, start + size)), _longs(sums(mix(words.hash + _ODD))(start, start + size))]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def _cleared(size: int, name: str, schema: pa.Schema, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The texts without the places listed in the column `name`; all words stand one space apart."""
-    for part in slices(batch, "text"):
+    for part in (p for b in _unpacked(batch) for p in slices(b, "text")):
         count = np.zeros(part.num_rows, np.int64)
         lost = np.zeros(part.num_rows, np.int64)
         kept = [None if t is None else t.split() for t in part.column("text").cast(pa.binary()).to_pylist()]
@@ -262,15 +299,16 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     each other.  Null doc_id: has no place in the order, loses and removes nothing.
     """
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    placed = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    listed = mapped(placed, partial(_listed, size, arrow_schema(_STRETCH)), _STRETCH)
-    hits = cut(_repeated(listed), "stretches")
-    windows = cut(mapped(_with_list(placed, hits.where("open"), "open"), partial(_single, size, arrow_schema(_WINDOW)), _WINDOW), "windows")
+    placed = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.hash("text").alias("row"))
+    listed = cut(mapped(placed, partial(_listed, size, arrow_schema(_STRETCH)), _STRETCH), "stretches")
+    hits = cut(_repeated(listed), "repeated")
+    packed = mapped(placed, _packed, T.StructType([f if f.name != "text" else T.StructField("text", T.BinaryType()) for f in placed.schema]))
+    lists = hits.where("open").groupBy("doc_id", "row").agg(F.collect_set("number").alias("open"))
+    windows = cut(mapped(packed.join(lists, ["doc_id", "row"]), partial(_single, size, arrow_schema(_WINDOW)), _WINDOW), "windows")
     low = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top")
-    single = windows.join(low.select("h1", "h2", "low"), ["h1", "h2"]).where("low < doc_id").select("doc_id", "key", "place")
-    whole = hits.where(~F.col("open")).select("doc_id", "key", (F.col("number") * PLACES).alias("place"))
-    gone = whole.unionByName(single).groupBy("doc_id", "key").agg(F.collect_set("place").alias("gone"))
+    single = windows.join(low.select("h1", "h2", "low"), ["h1", "h2"]).where("low < doc_id").select("doc_id", "row", "place")
+    whole = hits.where(~F.col("open")).select("doc_id", "row", (F.col("number") * F.lit(PLACES).cast("long")).alias("place"))
+    gone = whole.unionByName(single).groupBy("doc_id", "row").agg(F.collect_set("place").alias("gone"))
     name = "gone" + "_" * max(map(len, columns))  # no column of docs has this name
     marked = _row_joined(docs.select(*columns), gone, name)
     schema = T.StructType([f for f in docs.schema if f.name in columns and f.name != "text"])
@@ -280,23 +318,26 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def _repeated(listed: DataFrame) -> DataFrame:
-    """Stretches a smaller document has as well, and (`open`) the first holder's ones whose symbol has other stretches."""
-    keys = ["symbol", "words"]
-    held = listed.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"))
-    several = held.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol", F.lit(True).alias("mixed"))
-    first = held.join(several, "symbol", "left").where("mixed or low < top").select(*keys, "low", F.coalesce("mixed", F.lit(False)).alias("mixed"))
-    joined = listed.join(first, keys)
-    chosen = joined.where((F.col("low") < F.col("doc_id")) | F.col("mixed"))
-    return chosen.select("doc_id", "key", "number", (F.col("low") == F.col("doc_id")).alias("open"))
+    """Stretches a smaller document has as well, and (`open`) the first holder's ones whose symbol has other stretches.
 
-
-def _with_list(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    lists = rows.groupBy("doc_id", "key").agg(F.collect_set("number").alias(name))
-    return docs.join(lists, ["doc_id", "key"])
+    Most symbols are in one document only and go first; of the others most have
+    one stretch everywhere, whose first holder is that of the symbol.
+    """
+    symbols = listed.groupBy("symbol").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.min("words").alias("a"), F.max("words").alias("b")
+    )
+    shared = symbols.where("low < top").select("symbol", "low", (F.col("a") < F.col("b")).alias("mixed"))
+    rows = cut(listed.join(shared, "symbol").where("mixed or low < doc_id"), "shared")
+    same = rows.where("not mixed").select("doc_id", "row", "number", F.lit(False).alias("open"))
+    several = rows.where("mixed").drop("low")
+    first = several.groupBy("symbol", "words").agg(F.min("doc_id").alias("low"))
+    held = several.join(first, ["symbol", "words"])
+    return same.unionByName(held.select("doc_id", "row", "number", (F.col("low") == F.col("doc_id")).alias("open")))
 
 
 def _row_joined(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """docs with the list of places of their doc_id and text as a column of that name."""
-    right = gone.select(F.struct("doc_id", "key").alias("_of"), F.col("gone").alias("_gone"))
-    row = docs.select(F.struct("*").alias("_row"), F.struct("doc_id", F.xxhash64("text").alias("key")).alias("_of"))
-    return row.join(right, "_of", "left").select("_row.*", F.col("_gone").alias(name))
+    """docs, texts compressed, with the list of places of their doc_id and text as a column of that name."""
+    of = name + "of"
+    keyed = docs.withColumn(of, F.struct("doc_id", F.hash("text").alias("row")))
+    packed = mapped(keyed, _packed, T.StructType([f if f.name != "text" else T.StructField("text", T.BinaryType()) for f in keyed.schema]))
+    return packed.join(gone.select(F.struct("doc_id", "row").alias(of), F.col("gone").alias(name)), of, "left").drop(of)
