@@ -171,7 +171,7 @@ def stretches(words: Words, size: int = SIZE, rounds: int = ROUNDS) -> Stretches
         if not len(open_):
             break
     new = np.ones(len(window), bool)
-    new[1:] = (text[1:] != text[:-1]) | (symbol[1:] != symbol[:-1]) | (low[1:] != low[:-1])
+    new[1:] = (text[1:] != text[:-1]) | (symbol[1:] != symbol[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(window)) - 1
     window = window.astype(np.int64)

@@ -101,3 +101,86 @@ def article(page):
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
     blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:h1|p)>", inner)]
     return "\n".join(b for b in blocks if b)
+
+
+def without_repeats(docs, size):
+    """Per row (n_words, n_removed, kept text); a null id takes no part."""
+    words = [WORD.findall(t or "") for _, t in docs]
+    first = {}
+    for (i, _), w in zip(docs, words):
+        for j in range(len(w) - size + 1 if i is not None else 0):
+            run = tuple(w[j : j + size])
+            first[run] = min(first.get(run, i), i)
+    out = []
+    for (i, _), w in zip(docs, words):
+        gone = {j + k for j in range(len(w) - size + 1 if i is not None else 0) if first[tuple(w[j : j + size])] < i for k in range(size)}
+        out.append((len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return out
+
+
+def repair(rows):
+    """(turn, role, text) rows in order: numbers, audit and lines of the cheapest edits, by trying all ways state by state."""
+    space = " \t\n\x0b\x0c\r"
+    seen, faults = set(), []
+    for _, role, text in rows:
+        body = text.strip(space)
+        faults.append("blank" if not body else "duplicate" if (role, text) in seen else "" if body[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    best = {"": (0, "", ())}  # what the roles so far allow next -> (cost, audit, lines)
+
+    def after(state, initial):
+        if initial == "u":
+            return None if state == "u" else "u"
+        if initial == "a":
+            return "a" if state == "u" else None
+        return "s" if initial == "s" and state == "" else None
+
+    def inserted(ways):
+        out = dict(ways)
+        for _ in range(3):
+            for state, (cost, audit, lines) in list(out.items()):
+                for role in ("user", "assistant"):
+                    to = after(state, role[0])
+                    if to:
+                        new = (cost + 5, audit + "I", lines + (role + ":",))
+                        out[to] = min(out.get(to, new), new)
+        return out
+
+    for (_, role, text), fault in zip(rows, faults):
+        found = {}
+        for state, (cost, audit, lines) in inserted(best).items():
+            ways = [(state, (cost + 2, audit + "D", lines))]
+            if fault not in ("blank", "duplicate"):
+                more = 5 if fault == "truncated" else 0
+                if after(state, role[:1]):
+                    ways.append((after(state, role[:1]), (cost + more, audit + "K", lines + (f"{role}:{text}",))))
+                for other in ("user", "assistant"):
+                    if after(state, other[0]):
+                        ways.append((other[0], (cost + 1 + more, audit + "R", lines + (f"{other}:{text}",))))
+            for to, new in ways:
+                found[to] = min(found.get(to, new), new)
+        best = found
+    cost, audit, lines = min(w for s, w in inserted(best).items() if s in ("", "a"))
+    turns = {t for t, _, _ in rows if t is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    pairs = [a[1][:1] + b[1][:1] for a, b in zip(rows, rows[1:])]
+    illegal = sum(p not in ("su", "ua", "au") for p in pairs)
+    return gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, sha("\n".join(lines))
+
+
+def damage(rows):
+    """conv_id -> (turn, role, text) rows in order after damage."""
+    import zlib
+
+    out = {}
+    for conv, turn, role, text in rows:
+        here = out.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        fate = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if fate == 0:
+            continue
+        text = "" if fate == 1 else re.sub("[.!?]", "", text) if fate == 2 else text
+        here += [(turn, "user" if fate == 4 else role, text)] * (2 if fate == 3 else 1)
+    for conv in out:
+        out[conv].sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2].encode()))
+    return out

@@ -12,14 +12,14 @@ from deskline.llm import oracles, queries
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ["documents", "benchmark", "labels", "pages"]:
+    for name in ["documents", "benchmark", "labels", "pages", "conversations"]:
         con.sql(f"create view {name} as from '{SMALL}/{name}.parquet'")
     return con
 
 
 def test_one_query_for_each_operator():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", list(oracles.all_oracles()))
