@@ -18,7 +18,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BREAK = r"\n+|[.!?;]+\s+"  # between sentences of one line; only the SQL twin uses it
 SENTENCE_END = r"[.!?;]+\s+|\n\s*\n"
 COMMENT = r"""(?im)^[ \t]*(?:(?:[#*/%;|>"!]+|<!--|-{2,}|\(\*|dnl\b|rem\b)[ \t]*)+"""  # marks before a line's text
 TOPIC = r"(?i)licen[cs]e|copyright|permission|warrant|redistribut|copyleft|public domain|spdx"
@@ -91,6 +90,9 @@ LICENCES = [
     ("Proprietary", r",copyright,all-rights,|,all-rights,"),
 ]
 
+# What is left over from the notices of other licences is no licence of its own.
+ONLY_ALONE = ["Proprietary"]
+
 
 def normalised(sentence: Column) -> Column:
     """The lines of a sentence that have words, each normalised by itself."""
@@ -125,7 +127,8 @@ def licences(documents: DataFrame) -> DataFrame:
 
     n_sentences counts the sentences about licensing, by a word or by a rule
     that knows them; identifiers are the recognised ones in order, licences those of the rules that matched in rule
-    order, both comma-joined and empty if there are none.  A rule is used once,
+    order, both comma-joined and empty if there are none.  The line of a copyright holder
+    and "all rights reserved" make a licence only where nothing else does.  A rule is used once,
     however often its sentences come; a null text has no sentences.  Every row
     gives one row; other columns are ignored.
     """
@@ -141,11 +144,11 @@ def licences(documents: DataFrame) -> DataFrame:
         F.coalesce(F.array_join(F.flatten(F.transform("about", lambda s: s["names"])), ","), F.lit("")).alias("identifiers"),
     )
     # Each identifier has commas of its own, so that neighbours share none.
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern.replace(",", ",+")).alias("pattern")) for name, pattern in LICENCES])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern.replace(",", ",+")).alias("pattern"), F.lit(name in ONLY_ALONE).alias("alone")) for name, pattern in LICENCES])
     start = F.struct(F.concat(F.lit(","), F.replace("identifiers", F.lit(","), F.lit(",,")), F.lit(",")).alias("rest"), F.array().cast("array<string>").alias("names"))
 
     def apply(acc: Column, rule: Column) -> Column:
-        hit = F.regexp_like(acc["rest"], rule["pattern"])
+        hit = F.regexp_like(acc["rest"], rule["pattern"]) & (~rule["alone"] | (F.size(acc["names"]) == 0))
         return F.struct(
             F.when(hit, F.regexp_replace(acc["rest"], rule["pattern"], F.lit(","))).otherwise(acc["rest"]).alias("rest"),
             F.when(hit, F.concat(acc["names"], F.array(rule["name"]))).otherwise(acc["names"]).alias("names"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from deskline.llm.license_rules import BREAK, LICENCES, NOISE, SENTENCES, TOPIC
+from deskline.llm.license_rules import COMMENT, HINT, LICENCES, NOISE, ONLY_ALONE, SENTENCE_END, SENTENCES, TOPIC
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLDED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
@@ -33,24 +34,39 @@ left join c on c.n = k.n and c.gs = k.gs left join component on component.x = c.
 
 
 def op4_license_scan() -> str:
-    cases = " ".join(f"when regexp_matches(s, '{p}') then '{n}'" for n, p in SENTENCES)
-    norm = f"lower(trim(regexp_replace(regexp_replace(s, '{NOISE}', ' ', 'g'), '[. ]+$', '')))"
+    """The same rules in order.  RE2 has no look-ahead: a gap over lines is the shortest one instead."""
+    marked = "s"
+    for name, pattern in SENTENCES:
+        one = re.sub(r"(?<!\\)\.", "[^\\\\n\\\\x01]", pattern)
+        over = "|".join("[^\\x01]*?".join(re.sub(r"(?<!\\)\.", "[^\\\\x01]", p).replace(" ", "[ \\n]") for p in way.split(".*")) for way in pattern.split("|"))
+        for p in (one, over):
+            marked = f"regexp_replace({marked}, '(?m)^[^\\n\\x01]*(?:{p})[^\\n\\x01]*$', chr(1) || '{name}' || chr(1), 'g')"
+    lines = f"list_filter(list_transform(regexp_split_to_array(s, '[\\r\\n]+'), lambda x: trim(regexp_replace(x, '{NOISE}', ' ', 'g'))), lambda x: x <> '')"
+    comment = COMMENT.replace("'", "''")
     steps = [f"r0 as (select *, ',' || replace(identifiers, ',', ',,') || ',' as rest, '' as found from i)"]
     for k, (name, pattern) in enumerate(LICENCES):
         p = pattern.replace(",", ",+")
+        hit = f"regexp_matches(rest, '{p}')" + (" and found = ''" if name in ONLY_ALONE else "")
         steps.append(
-            f"r{k + 1} as (select doc_id, n_sentences, identifiers, regexp_replace(rest, '{p}', ',', 'g') as rest, "
-            f"case when regexp_matches(rest, '{p}') then found || ',{name}' else found end as found from r{k})"
+            f"r{k + 1} as (select doc_id, n_sentences, identifiers, case when {hit} then regexp_replace(rest, '{p}', ',', 'g') else rest end as rest, "
+            f"case when {hit} then found || ',{name}' else found end as found from r{k})"
         )
     return f"""
 with a as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{BREAK}'), lambda s: regexp_matches(s, '{TOPIC}')) as about
-  from documents),
+  select row_number() over () as r, doc_id,
+    case when regexp_matches(text, '{HINT}') then list_filter(regexp_split_to_array(regexp_replace(text, '{comment}', '', 'g'), '{SENTENCE_END}'),
+      lambda s: regexp_matches(s, '{HINT}')) else [] end as about
+  from (select doc_id, coalesce(text, '') as text from documents)),
+n as (
+  select r, k, lower(regexp_replace(array_to_string({lines}, chr(10)), '[. \\n]+$', '')) as s
+  from (select r, unnest(about) as s, unnest(range(len(about))) as k from a)),
+m as (select r, k, regexp_matches(replace(s, chr(10), ' '), '{TOPIC}') as topic, regexp_extract_all({marked}, '\\x01([^\\x01]+)\\x01', 1) as names from n),
+j as (
+  select r, count(*) as n_sentences, array_to_string(flatten(list(names order by k)), ',') as identifiers
+  from m where topic or len(names) > 0 group by r),
 i as (
-  select doc_id, cast(len(about) as bigint) as n_sentences,
-    coalesce(array_to_string(list_filter(list_transform(list_transform(about, lambda s: {norm}),
-      lambda s: case {cases} end), lambda x: x is not null), ','), '') as identifiers
-  from a),
+  select cast(doc_id as bigint) as doc_id, coalesce(n_sentences, 0) as n_sentences, coalesce(identifiers, '') as identifiers
+  from a left join j using (r)),
 {', '.join(steps)}
 select doc_id, n_sentences, identifiers, coalesce(found[2:], '') as licences from r{len(LICENCES)}"""
 

@@ -202,7 +202,7 @@ def test_licences(spark, empty):
         "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
         "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.": "MIT,CC-BY-NC-4.0",
         bsd: "BSD-2-Clause",
-        bsd + "\nNeither the name of X nor those of others may be used to endorse products.\nNo warranty.": "BSD-2-Clause",
+        bsd + "\nNeither the name of X nor those of others may be used to endorse products.\nNo warranty.": "BSD-3-Clause",
         "The licence of a driver.": "",
         "": "",
         None: "",
