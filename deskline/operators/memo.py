@@ -5,239 +5,243 @@ not refreshed by reads: at written_at + ttl it is gone.  So per key a request
 is a miss (and writes an entry) when the last miss is at least `ttl` old, and a
 hit otherwise.
 
-Keys with few requests (an exact count decides) are folded in time order, one
-short sorted array per key.  Heavy keys never come together like that.  For
-them time is cut into buckets as wide as `ttl`: two misses of one key are at
-least `ttl` apart, so a bucket holds at most one, and the only earlier miss
-that matters is the one in the bucket before.  The misses of a bucket are then
-one aggregate (earliest request that is late enough, per key), combined
-map-side, over that bucket's rows joined to the previous bucket's misses.
+Requests are laid out by range of (key, time, id).  A key that lies inside one
+task is folded there, from miss to miss.  A task's first and last key may go on
+next door, so their rows come out as pieces.  Of a piece only those rows matter
+that can be the first miss in it; from each of them the misses inside the piece
+are fixed, up to a last one, and so is the next miss after the piece.  That gives
+each such row one pointer, to a row of a later piece.  Which of them are
+reached from the key's first miss is found by doubling the pointers: the number
+of joins is the logarithm of the number of pieces, whatever the time span and
+the lifetime.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from deskline.constants import MEMO_TTL_SECONDS
-from deskline.operators.skew import frequent_keys, join_on_key
+from deskline.operators.asof import key_changes, last_entries
 from deskline.session import cut
 
-LIGHT_ROWS = 100_000  # a key with more requests than this is never gathered in one array
-
 
 def micros(ts: Column) -> Column:
     """A timestamp as microseconds (wall clock in the session zone, UTC)."""
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def slice_of(us: Column, width: Column) -> Column:
-    """The number of the time slice of that width; whole numbers throughout."""
-    return ((us - F.pmod(us, width)) / width).cast("bigint")
+def _chain(us: np.ndarray, start: int, span: int) -> list[int]:
+    """The places of the misses among sorted times, the first one at `start`."""
+    out = []
+    while start < len(us):
+        out.append(start)
+        start = int(np.searchsorted(us, us[start] + span))
+    return out
+
+
+def _folded(batches: Iterator[pa.RecordBatch], span: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of one task with `hit`; rows of its first and last key with `piece` instead.
+
+    A row with a null request_id is the entry from before the batch, and comes first in its key.
+    """
+    piece = TaskContext.get().partitionId()
+    held: list[pa.RecordBatch] = []  # rows of the key that is not over
+    first = True
+
+    def given(rows: pa.RecordBatch, hit: np.ndarray | None) -> pa.RecordBatch:
+        flags = pa.nulls(len(rows), pa.bool_()) if hit is None else pa.array(hit)
+        place = pa.array(np.full(len(rows), piece, np.int32), mask=np.full(len(rows), hit is not None))
+        return pa.RecordBatch.from_arrays([*[rows.column(n) for n in ("request_id", "key", "ts", "us", "last")], flags, place], schema=schema)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        start = np.flatnonzero(key_changes(rows.column("key")))
+        if len(start) == 1:
+            held = [rows]
+            continue
+        if first:
+            yield given(rows.slice(0, int(start[1])), None)
+            start, first = start[1:], False
+        low, high = int(start[0]), int(start[-1])
+        if low < high:
+            done = rows.slice(low, high - low)
+            yield given(done, _hits(done, start - low, span))
+        held = [rows.slice(high)]
+    if held:
+        yield given(pa.Table.from_batches(held).combine_chunks().to_batches()[0], None)
+
+
+def _hits(rows: pa.RecordBatch, start: np.ndarray, span: int) -> np.ndarray:
+    us = rows.column("us").to_numpy()
+    last = rows.column("last")
+    with_last = last.is_valid().to_numpy(zero_copy_only=False)
+    hit = np.ones(len(us), bool)
+    # Most keys: requests that follow each other within a lifetime, all hits but the first.
+    size = np.diff(start)
+    short = us[start[1:] - 1] - us[start[:-1]] < span
+    plain = short & ~with_last[start[:-1]]
+    hit[start[:-1][plain]] = False
+    for k in np.flatnonzero(~plain):
+        i, n = int(start[k]), int(size[k])
+        skip = int(with_last[i])
+        own = us[i + skip : i + n]
+        at = int(np.searchsorted(own, last[i].as_py() + span)) if skip else 0
+        hit[[i + skip + j for j in _chain(own, at, span)]] = False
+    return hit
+
+
+def _pieces(table: pa.Table, span: int, schema: pa.Schema) -> pa.Table:
+    """The rows of a piece that can be its first miss, with the time from which on the next miss after the piece may come."""
+    table = table.sort_by([("us", "ascending"), ("request_id", "ascending")])
+    us = table["us"].to_numpy()
+    n = int(np.searchsorted(us, us[0] + span)) + 1
+    # The last miss in the piece, from each row on: that of the row's next miss, if it is in the piece.
+    after = np.searchsorted(us, us + span)
+    last = np.arange(len(us) + 1)
+    inside = np.flatnonzero(after < len(us))
+    last[inside] = after[inside]
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        last = further
+    some = table.slice(0, n)
+    out = {"key": some["key"], "us": some["us"], "request_id": some["request_id"], "due": pa.array(us[last[: len(some)]] + span)}
+    return pa.table([out[c].cast(schema.field(c).type) for c in schema.names], schema=schema)
+
+
+def _reached(table: pa.Table, span: int, schema: pa.Schema) -> pa.Table:
+    """The rows of a piece with `hit`; the row marked `entry` is the piece's first miss, without one there is none."""
+    table = table.sort_by([("us", "ascending"), ("request_id", "ascending")])
+    hit = np.ones(table.num_rows, bool)
+    entry = np.flatnonzero(table["entry"].to_numpy(zero_copy_only=False))
+    if len(entry):
+        hit[_chain(table["us"].to_numpy(), int(entry[0]), span)] = False
+    return pa.table([table["request_id"], table["key"], table["ts"], pa.array(hit)], schema=schema)
+
+
+def _flagged(requests: DataFrame, span: int, prior: DataFrame | None, partitions: int | None) -> DataFrame:
+    """`request_id, key, ts, hit` of every request."""
+    rows = requests.select("request_id", "key", "ts", micros(F.col("ts")).alias("us"), F.lit(None).cast("bigint").alias("last"))
+    if prior is not None:
+        last = prior.groupBy("key").agg(F.max(micros(F.col("written_at"))).alias("last"))
+        empty = [F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in ("request_id", "ts")]
+        rows = rows.unionByName(last.select(empty[0], "key", empty[1], F.lit(-(1 << 62)).alias("us"), "last"))
+    place = [F.asc_nulls_first(c) for c in ("key", "us", "request_id")]
+    laid = rows.repartitionByRange(partitions, *place) if partitions else rows.repartitionByRange(*place)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]).add("hit", "boolean").add("piece", "integer")
+    arrow = to_arrow_schema(schema)
+    found = cut(laid.sortWithinPartitions(*place).mapInArrow(lambda b: _folded(b, span, arrow), schema), "memo")
+    columns = ["request_id", "key", "ts", "hit"]
+    whole = found.where(F.col("piece").isNull() & F.col("request_id").isNotNull()).select(*columns)
+    return whole.unionByName(_over_pieces(found.where(F.col("piece").isNotNull()), span).select(*columns))
+
+
+def _over_pieces(rows: DataFrame, span: int) -> DataFrame:
+    """`hit` of the rows of keys that may lie over several tasks."""
+    # At most two keys per task, so the table of their starts has a bounded size.
+    starts = rows.where(F.col("last").isNotNull()).select(F.struct("key").alias("of"), (F.col("last") + F.lit(span)).alias("from"))
+    asked = rows.where(F.col("last").isNull()).withColumn("of", F.struct("key"))
+    asked = asked.join(F.broadcast(starts), "of", "left").drop("of")
+    covered = F.coalesce(F.col("us") < F.col("from"), F.lit(False))
+    early = asked.where(covered).withColumn("hit", F.lit(True))
+    late = asked.where(~covered)
+    node = T.StructType([T.StructField(f.name, f.dataType) for f in rows.select("key", "us", "request_id").schema]).add("due", "long")
+    arrow = to_arrow_schema(node)
+    nodes = late.groupBy("key", "piece").applyInArrow(lambda t: _pieces(t, span, arrow), node)
+    nodes = cut(nodes, "nodes")
+    reached = _followed(nodes).select(F.struct("key", "us", "request_id").alias("id"), F.lit(True).alias("entry"))
+    out = T.StructType([T.StructField(f.name, f.dataType) for f in rows.select("request_id", "key", "ts").schema]).add("hit", "boolean")
+    flags = to_arrow_schema(out)
+    marked = late.withColumn("id", F.struct("key", "us", "request_id")).join(reached, "id", "left")
+    marked = marked.withColumn("entry", F.coalesce("entry", F.lit(False))).drop("id")
+    return marked.groupBy("key", "piece").applyInArrow(lambda t: _reached(t, span, flags), out).unionByName(early.select(*out.names))
+
+
+def _followed(nodes: DataFrame) -> DataFrame:
+    """The nodes reached from the first one of each key; a node points to the first one of its key from `due` on."""
+    this = F.struct("key", "us", "request_id").alias("id")
+    # The first node at or after a time is the last one before it when time runs backwards.
+    asked = nodes.select("key", (-F.col("due")).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(nodes.schema["request_id"].dataType).alias("r"), this)
+    back = nodes.select("key", (-F.col("us")).alias("t"), F.lit(0).alias("side"), F.col("request_id").alias("r"), this)
+    # Of nodes of one time the smallest id counts: it has to come last.
+    least = back.groupBy("key", "t", "side").agg(F.min("id").alias("entry"))
+    jumps = last_entries(asked.withColumnRenamed("id", "request"), least, ["t", "side"]).select(
+        F.col("request").alias("id"), F.col("entry").alias("to")
+    )
+    first = nodes.groupBy("key").agg(F.min(F.struct("us", "request_id")).alias("f"))
+    reached = first.select(F.struct("key", "f.us", "f.request_id").alias("id"))
+    while not (open_ := jumps.where(F.col("to").isNotNull())).isEmpty():
+        onward = reached.join(open_, "id").select(F.col("to").alias("id"))
+        reached = cut(reached.unionByName(onward).distinct(), "reached")
+        # Pointers twice as long.
+        then = jumps.select(F.col("id").alias("to"), F.col("to").alias("further"))
+        jumps = cut(open_.join(then, "to").select("id", F.col("further").alias("to")).where(F.col("to").isNotNull()), "jumps")
+    return reached.select("id.*")
 
 
 def misses(
-    requests: DataFrame,
-    ttl: int = MEMO_TTL_SECONDS,
-    prior: DataFrame | None = None,
-    light_rows: int = LIGHT_ROWS,
+    requests: DataFrame, ttl: int = MEMO_TTL_SECONDS, prior: DataFrame | None = None, partitions: int | None = None
 ) -> DataFrame:
     """The requests that miss and so write an entry: `key, ts, request_id`.
 
-    `requests` has `request_id, key, ts`; at equal times the lower id comes
-    first.  `prior` (`key, written_at`) holds entries from before the batch.
+    `requests` has `request_id, key, ts`; request_id is unique and at equal times the
+    lower one comes first.  `prior` (`key, written_at`) holds entries from before the
+    batch.  Null is a key.  `partitions` says over how many ranges the rows are laid.
     """
-    span = ttl * 1_000_000
-    light, rest, frequent = _split(requests, light_rows)
-    last = _last_entries(prior)
-    found = _folded(light, last, span).select("key", F.inline("found")).select("key", "ts", "request_id")
-    return found if rest is None else found.unionByName(_by_bucket(rest, last, span, frequent))
-
-
-def _split(requests: DataFrame, light_rows: int) -> tuple[DataFrame, DataFrame | None, list]:
-    """Rows of light keys, rows of heavy keys (None without any), and the frequent keys."""
-    timed = requests.select("request_id", "key", "ts", micros(F.col("ts")).alias("us"))
-    heavy = cut(timed.groupBy("key").count().where(F.col("count") > light_rows).select("key"), "heavy")
-    if heavy.isEmpty():
-        return timed, None, []
-    frequent = frequent_keys(timed, "key")
-    light = join_on_key(timed, heavy, "key", "left_anti", frequent)
-    return light, join_on_key(timed, heavy, "key", "left_semi", frequent), frequent
-
-
-def _last_entries(prior: DataFrame | None) -> DataFrame | None:
-    if prior is None:
-        return None
-    return prior.groupBy("key").agg(F.max(micros(F.col("written_at"))).alias("last_us"))
-
-
-def _folded(timed: DataFrame, last: DataFrame | None, span: int) -> DataFrame:
-    """Per light key its sorted `rows` and, by a fold over them, the misses `found`."""
-    row = F.struct("us", "request_id", "ts")
-    by_key = timed.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    if last is None:
-        by_key = by_key.withColumn("last_us", F.lit(None).cast("bigint"))
-    else:
-        by_key = by_key.join(last, "key", "left")
-    row_type = timed.select(row.alias("r")).schema["r"].dataType.simpleString()
-    start = F.struct(F.col("last_us").alias("last"), F.array().cast(f"array<{row_type}>").alias("found"))
-
-    def step(state: Column, one: Column) -> Column:
-        late = state["last"].isNull() | (one["us"] >= state["last"] + F.lit(span))
-        return F.when(
-            late, F.struct(one["us"].alias("last"), F.concat(state["found"], F.array(one)).alias("found"))
-        ).otherwise(state)
-
-    return by_key.select("key", "rows", F.aggregate("rows", start, step, lambda state: state["found"]).alias("found"))
-
-
-def _by_bucket(timed: DataFrame, last: DataFrame | None, span: int, frequent: list) -> DataFrame:
-    """Misses of heavy keys, one aggregate per bucket of time."""
-    bucket = slice_of(F.col("us"), F.lit(span))
-    # Written by bucket, so that each round reads its own rows only.
-    rows = cut(timed.withColumn("bucket", bucket), "buckets", "bucket")
-    # As many values as the log spans lifetimes.
-    filled = rows.agg(F.sort_array(F.collect_set("bucket")).alias("filled")).first()["filled"]
-    parts: list[DataFrame] = []
-    for number in filled:
-        before = last
-        if parts:
-            recent = parts[-1].where(F.col("bucket") == number - 1).select("key", F.col("us").alias("last_us"))
-            before = recent if last is None else _newer(last, recent)
-        own = rows.where(F.col("bucket") == number)
-        parts.append(cut(_first_late_rows(own, before, span, frequent), "misses"))
-    return reduce(DataFrame.unionByName, parts).select("key", "ts", "request_id")
-
-
-def _newer(one: DataFrame, other: DataFrame) -> DataFrame:
-    return one.unionByName(other).groupBy("key").agg(F.max("last_us").alias("last_us"))
-
-
-def _first_late_rows(rows: DataFrame, before: DataFrame | None, span: int, frequent: list) -> DataFrame:
-    """Per key the earliest row that is not covered by the previous entry."""
-    if before is not None:
-        rows = join_on_key(rows, before, "key", "left", frequent)
-        rows = rows.where(F.col("last_us").isNull() | (F.col("us") >= F.col("last_us") + F.lit(span)))
-    first = F.min(F.struct("us", "request_id", "ts", "bucket")).alias("first")
-    return rows.groupBy("key").agg(first).select("key", "first.*")
+    found = _flagged(requests.select("request_id", "key", "ts"), ttl * 1_000_000, prior, partitions)
+    return found.where(~F.col("hit")).select("key", "ts", "request_id")
 
 
 def with_hits(
-    requests: DataFrame,
-    ttl: int = MEMO_TTL_SECONDS,
-    prior: DataFrame | None = None,
-    light_rows: int = LIGHT_ROWS,
+    requests: DataFrame, ttl: int = MEMO_TTL_SECONDS, prior: DataFrame | None = None, partitions: int | None = None
 ) -> DataFrame:
     """Every request with `hit`: false where it misses.
 
-    For bare requests the fold gives the flags along with the misses.  Where
-    there are more columns, and for heavy keys, the flag comes back by request
-    id, which is unique: that join is even however uneven the keys are.
+    Where there are more columns than `request_id, key, ts` the flag comes back by
+    request id, which is unique: that join is even however uneven the keys are.
     """
-    if set(requests.columns) != {"request_id", "key", "ts"}:
-        return _joined(requests, misses(requests, ttl, prior, light_rows))
-    span = ttl * 1_000_000
-    light, rest, frequent = _split(requests, light_rows)
-    last = _last_entries(prior)
-    folded = _folded(light, last, span).withColumn("ids", F.transform("found", lambda f: f["request_id"]))
-    row = F.transform(
-        "rows",
-        lambda r: F.struct(r["request_id"], r["ts"], (~F.array_contains("ids", r["request_id"])).alias("hit")),
-    )
-    flagged = folded.select("key", F.inline(row)).select(*requests.columns, "hit")
-    if rest is None:
-        return flagged
-    return flagged.unionByName(_joined(rest.select(*requests.columns), _by_bucket(rest, last, span, frequent)))
-
-
-def _joined(requests: DataFrame, found: DataFrame) -> DataFrame:
-    flags = found.select("request_id", F.lit(False).alias("_hit"))
+    if set(requests.columns) == {"request_id", "key", "ts"}:
+        return _flagged(requests, ttl * 1_000_000, prior, partitions).select(*requests.columns, "hit")
+    flags = misses(requests, ttl, prior, partitions).select("request_id", F.lit(False).alias("_hit"))
     flagged = requests.join(flags, "request_id", "left")
     return flagged.select(*[flagged[c] for c in requests.columns], F.coalesce("_hit", F.lit(True)).alias("hit"))
 
 
-def looked_up(
-    requests: DataFrame,
-    entries: DataFrame,
-    ttl: int = MEMO_TTL_SECONDS,
-    frequent: list | None = None,
-) -> DataFrame:
+def looked_up(requests: DataFrame, entries: DataFrame, ttl: int = MEMO_TTL_SECONDS, partitions: int | None = None) -> DataFrame:
     """Every request with the live entry it finds: `written_at, result`, or nulls.
 
     `requests` has `request_id, key, ts`; `entries` has `key, written_at,
     result` and may have `entry_id`, the request that wrote it (an entry is seen
     by requests after that one; without an id also at its very instant).
-
-    An as-of join without pairing rows up: time is cut into slices and each
-    entry is copied to the slices it can be alive in, keeping only the last one
-    per key and slice except in its own slice.  Requests and entries of one key
-    and slice then meet in one window.  Frequent keys get much finer slices, so
-    none of their groups is large.
+    At one instant come entries without id, then by id, a request before the entry it wrote.
     """
-    frequent = frequent_keys(requests, "key") if frequent is None else frequent
-    span = ttl * 1_000_000
-    coarse, fine = span, max(span // 168, 1)
-    width = F.when(F.col("key").isin(frequent), F.lit(fine)).otherwise(F.lit(coarse)) if frequent else F.lit(coarse)
-
-    asked = requests.withColumn("_us", micros(F.col("ts")))
-    asked = asked.withColumn("_slice", slice_of(F.col("_us"), width))
-
-    result_type = entries.schema["result"].dataType
     id_type = requests.schema["request_id"].dataType
     entry_id = F.col("entry_id").cast(id_type) if "entry_id" in entries.columns else F.lit(None).cast(id_type)
     written = entries.select(
-        "key", "written_at", "result", entry_id.alias("entry_id"), micros(F.col("written_at")).alias("_us")
-    ).withColumn("_slice", slice_of(F.col("_us"), width))
-    entry = F.struct("_us", "entry_id", "written_at", "result")
-    # The entries of a request's own slice, and the last entry of earlier ones.
-    own = written.select("key", "_slice", entry.alias("entry"))
-    end = slice_of(F.col("_us") + F.lit(span - 1), width)
-    carried = (
-        written.where(end > F.col("_slice"))
-        .withColumn("_slice", F.explode(F.sequence(F.col("_slice") + 1, end)))
-        .withColumn(
-            "_rank",
-            F.row_number().over(
-                Window.partitionBy("key", "_slice").orderBy(F.desc("_us"), F.desc_nulls_last("entry_id"))
-            ),
-        )
-        .where("_rank = 1")
-        .select("key", "_slice", entry.alias("entry"))
-    )
-    extra = [c for c in requests.columns if c not in ("request_id", "key", "ts")]
-    payload = F.struct("ts", *extra)
-    empty_entry = F.lit(None).cast(own.schema["entry"].dataType)
-    line = asked.select(
-        "key", "_slice", "_us", F.col("request_id").alias("_id"), payload.alias("request"), empty_entry.alias("entry")
-    ).unionByName(
-        own.unionByName(carried).select(
-            "key",
-            "_slice",
-            F.col("entry._us").alias("_us"),
-            F.col("entry.entry_id").alias("_id"),
-            F.lit(None).cast(asked.select(payload.alias("p")).schema["p"].dataType).alias("request"),
-            "entry",
-        )
+        "key", micros(F.col("written_at")).alias("us"), entry_id.alias("id"), F.struct("written_at", "result").alias("entry")
     )
-    # At one instant: entries without id, then by id, a request before the entry it wrote.
-    in_order = (
-        Window.partitionBy("key", "_slice")
-        .orderBy("_us", F.asc_nulls_first("_id"), F.col("entry").isNotNull())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = requests.select(
+        "key", micros(F.col("ts")).alias("us"), F.col("request_id").alias("id"),
+        F.struct(*[c for c in requests.columns if c != "key"]).alias("request"),
     )
-    seen = line.withColumn("entry", F.last("entry", ignorenulls=True).over(in_order))
-    alive = F.col("_us") < F.col("entry._us") + F.lit(span)
-    found = F.when(alive, F.col("entry"))
-    return seen.where(F.col("request").isNotNull()).select(
-        F.col("_id").alias("request_id"),
-        "key",
-        "request.*",
-        found["written_at"].alias("written_at"),
-        found["result"].cast(result_type).alias("result"),
-        F.coalesce(alive, F.lit(False)).alias("hit"),
+    found = last_entries(asked, written, ["us", "id"], partitions)
+    alive = micros(F.col("request.ts")) < micros(F.col("entry.written_at")) + F.lit(ttl * 1_000_000)
+    entry = F.when(alive, F.col("entry"))
+    return found.select(
+        F.col("request.request_id").alias("request_id"), "key", "request.ts",
+        *[F.col("request")[c].alias(c) for c in requests.columns if c not in ("request_id", "key", "ts")],
+        entry["written_at"].alias("written_at"), entry["result"].alias("result"), F.coalesce(alive, F.lit(False)).alias("hit"),
     )
 
 

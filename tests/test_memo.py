@@ -39,17 +39,17 @@ def rows():
     return made
 
 
-@pytest.mark.parametrize("light_rows", [100_000, 30, 1])
-def test_hits_equal_a_request_by_request_memo(spark, rows, light_rows):
-    got = {r.request_id: r.hit for r in memo.with_hits(frame(spark, rows), light_rows=light_rows).collect()}
+@pytest.mark.parametrize("partitions", [None, 3, 40])
+def test_hits_equal_a_request_by_request_memo(spark, rows, partitions):
+    got = {r.request_id: r.hit for r in memo.with_hits(frame(spark, rows), partitions=partitions).collect()}
     assert got == brute_force(rows)
 
 
-@pytest.mark.parametrize("light_rows", [100_000, 30])
-def test_entries_from_before_the_batch(spark, rows, light_rows):
+@pytest.mark.parametrize("partitions", [2, 30])
+def test_entries_from_before_the_batch(spark, rows, partitions):
     prior = [("hot", START - 3 * DAY), ("hot", START - 9 * DAY), ("k1", START - 7 * DAY), ("k2", START - 6 * DAY), ("zz", START)]
     before = spark.createDataFrame(prior, "key string, written_at timestamp_ntz")
-    got = {r.request_id: r.hit for r in memo.with_hits(frame(spark, rows), prior=before, light_rows=light_rows).collect()}
+    got = {r.request_id: r.hit for r in memo.with_hits(frame(spark, rows), prior=before, partitions=partitions).collect()}
     assert got == brute_force(rows, prior=prior)
 
 
@@ -60,19 +60,46 @@ def test_lifetime_is_fixed_and_ends_exactly(spark):
     assert got == {0: False, 1: True, 2: False, 3: True, 9: False, 10: False}
 
 
+def test_a_minute_to_live_over_a_month(spark):
+    """One key with nearly all requests, over many tasks: 43,200 lifetimes, and pieces both longer and shorter than one."""
+    rnd = random.Random(8)
+    made = [(i, "hot" if i % 50 else None, START + dt.timedelta(seconds=rnd.randrange(30 * 86400))) for i in range(6000)]
+    made += [(10_000 + i, "hot", START + 40 * DAY + dt.timedelta(seconds=i % 150)) for i in range(3000)]
+    got = {r.request_id: r.hit for r in memo.with_hits(frame(spark, made), ttl=60, partitions=25).collect()}
+    assert got == brute_force(made, ttl=dt.timedelta(seconds=60))
+
+
+@pytest.mark.parametrize("ttl", [1, 3, 10])
+def test_many_equal_times(spark, ttl):
+    rnd = random.Random(ttl)
+    made = [(i, rnd.choice("ab"), START + dt.timedelta(seconds=rnd.randrange(40))) for i in range(400)]
+    got = {r.request_id: r.hit for r in memo.with_hits(frame(spark, made), ttl=ttl, partitions=15).collect()}
+    assert got == brute_force(made, ttl=dt.timedelta(seconds=ttl))
+
+
+def test_no_task_holds_much_of_a_heavy_key(spark):
+    """90 % of the requests have one key, and 90 % of the entries another."""
+    asked = spark.range(20_000).selectExpr("id as request_id", "if(id % 10 = 0, 'b', 'a') as key", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id) as ts")
+    written = asked.selectExpr("if(key = 'a', 'b', 'a') as key", "ts as written_at", "struct(request_id as v) as result")
+    found = memo.looked_up(asked, written, partitions=20)
+    assert found.count() == 20_000 and found.where("hit").count() > 19_000
+    sizes = [r["n"] for r in asked.repartitionByRange(20, "key", "ts").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2_500
+
+
 def test_no_requests(spark):
     assert memo.with_hits(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("frequent", [[], ["hot"], ["hot", "k1", "k2"]])
-def test_lookup_finds_the_last_live_entry(spark, rows, frequent):
+@pytest.mark.parametrize("partitions", [None, 7, 60])
+def test_lookup_finds_the_last_live_entry(spark, rows, partitions):
     rnd = random.Random(6)
     writes = [(rnd.choice(["hot", "k1", "k2", "k3", "none"]), START + dt.timedelta(hours=rnd.randrange(24 * 80))) for _ in range(150)]
     writes = sorted(set(writes))
     entries = spark.createDataFrame(writes, "key string, written_at timestamp_ntz").select(
         "key", "written_at", F.struct(F.col("written_at").cast("string").alias("v")).alias("result")
     )
-    got = memo.looked_up(frame(spark, rows).withColumn("extra", F.lit(1)), entries, frequent=frequent).collect()
+    got = memo.looked_up(frame(spark, rows).withColumn("extra", F.lit(1)), entries, partitions=partitions).collect()
     assert len(got) == len(rows)
     for r in got:
         seen = [at for key, at in writes if key == r.key and at <= r.ts]
