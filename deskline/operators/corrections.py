@@ -10,14 +10,15 @@ from deskline.operators.intake import correction_problem
 from deskline.operators.skew import join_on_key
 
 
-def _checked(corrections: DataFrame) -> DataFrame:
+def checked(corrections: DataFrame) -> DataFrame:
+    """Adds `problem`, null for a valid correction."""
     return corrections.withColumn(
         "problem", correction_problem(F.col("corrected_category"), F.col("feedback"))
     )
 
 
 def valid(corrections: DataFrame) -> DataFrame:
-    return _checked(corrections).where(F.col("problem").isNull()).drop("problem")
+    return checked(corrections).where(F.col("problem").isNull()).drop("problem")
 
 
 def latest_per_ticket(corrections: DataFrame) -> DataFrame:
@@ -50,9 +51,21 @@ def feedback_rows(tickets: DataFrame, corrections: DataFrame) -> DataFrame:
 
     old_label is the prediction, also for the second correction of a ticket.
     """
-    known = tickets.select(F.col("id").alias("ticket_id"), F.col("predicted_category").alias("old_label"))
-    logged = join_on_key(valid(corrections), known, "ticket_id", "inner")
-    return logged.select(
+    return log_rows(with_label(tickets, valid(corrections)).where("known"))
+
+
+def with_label(tickets: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Corrections with `old_label`, the prediction of their ticket, and `known`: whether there is one."""
+    label = tickets.select(
+        F.col("id").alias("ticket_id"), F.col("predicted_category").alias("old_label"), F.lit(True).alias("known")
+    )
+    joined = join_on_key(corrections, label, "ticket_id", "left")
+    return joined.withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def log_rows(labelled: DataFrame) -> DataFrame:
+    """The feedback log of corrections `with_label`."""
+    return labelled.select(
         F.col("correction_id").alias("id"),
         "ticket_id",
         "old_label",
@@ -62,13 +75,24 @@ def feedback_rows(tickets: DataFrame, corrections: DataFrame) -> DataFrame:
     )
 
 
+def as_corrections(log: DataFrame) -> DataFrame:
+    """The feedback log as the corrections it was made of."""
+    return log.select(
+        F.col("id").alias("correction_id"),
+        "ticket_id",
+        F.col("new_label").alias("corrected_category"),
+        "feedback",
+        F.col("created_at").alias("corrected_at"),
+    )
+
+
 def refused_corrections(tickets: DataFrame, corrections: DataFrame) -> DataFrame:
     """Corrections that were not applied, with the reason in `problem`."""
     known = tickets.select(F.col("id").alias("ticket_id"))
     unknown = join_on_key(valid(corrections), known, "ticket_id", "left_anti").withColumn(
         "problem", F.lit("ticket not found")
     )
-    return _checked(corrections).where(F.col("problem").isNotNull()).unionByName(unknown)
+    return checked(corrections).where(F.col("problem").isNotNull()).unionByName(unknown)
 
 
 def feedback_of_known(feedback: DataFrame, tickets: DataFrame) -> DataFrame:

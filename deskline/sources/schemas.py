@@ -80,3 +80,27 @@ MEMO = T.StructType(
         T.StructField("result", RESULT),
     ]
 )
+
+# ---- the store: the tables above as they are written, batch by batch ---------------
+
+# An update of a vector: the row that counts from `batch` on; a deleted one has only its id.
+VECTOR_UPDATES = T.StructType(VECTORS.fields + [T.StructField("deleted", T.BooleanType()), T.StructField("batch", T.LongType())])
+
+# Tickets and corrections that were not taken, as they came in, with the reason.
+REFUSED = T.StructType(
+    [
+        T.StructField("kind", T.StringType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("content", T.StringType()),
+        T.StructField("problem", T.StringType()),
+    ]
+)
+
+MANIFEST = T.StructType(
+    [
+        T.StructField("batch", T.LongType()),
+        T.StructField("attempt", T.LongType()),
+        T.StructField("base", T.BooleanType()),
+        T.StructField("files", T.MapType(T.StringType(), T.StringType())),
+    ]
+)

@@ -1,9 +1,10 @@
 """Reading and writing the stores as plain parquet tables.
 
-Tickets, feedback, vectors and memo entries are append-only below a day
-partition, so date filters prune files.  A changed table (corrections, upserts)
-is written as a new version beside the old one: a path is never overwritten
-while it is read, and a repeated batch rewrites only its own version.
+Tables that are filled once are appended to below a day partition, so date
+filters prune files; appending again appends again.  A changed table is written
+as a new version beside the old one: a path is never overwritten while it is
+read, and writing a version again replaces only it.  Jobs that have to be
+repeatable, or write several tables together, use `sources.store`.
 """
 
 from __future__ import annotations

@@ -154,6 +154,11 @@ decided as (select l.id, l.created_at, l.title, l.description, l.embedding, l.me
     case when l.source_id is null then l.key_indicators else s.key_indicators end as key_indicators
   from linked l left join judged s on s.id = l.source_id)"""
 
+# The batch's own tickets and the given vectors, as they stand in the store.
+_STORED = f"""{_REMEMBERED},
+stored as (select cast(id as varchar) as id, category, embedding, created_at from decided
+  union all select 'v' || cast(id as varchar), category, embedding, created_at from vectors)"""
+
 _PREVIEWED = f"""{_JUDGED},
 decided as (select *, false as writes, cast(null as bigint) as source_id, false as cached from judged)"""
 
@@ -315,17 +320,20 @@ from (select i.id, i.title, i.description, coalesce(l.lines, {_text(C.NO_NEIGHBO
         ),
         "vector_upsert": _with(
             "vectors",
-            """select id, document, category, origin, embedding[1]::double as first_value from (
-  select *, row_number() over (partition by id order by new desc) as rn from (
-    select id, document, category, 'none' as origin, embedding, 0 as new from vectors
+            """select cast(id as varchar) as id, document, category, origin, embedding[1]::double as first_value from (
+  select *, row_number() over (partition by id order by batch desc, turn desc) as rn from (
+    select id, document, category, 'none' as origin, embedding, 0 as batch, 0 as turn from vectors
     union all
-    select vec_id + 250, 'revised ' || cast(vec_id as varchar), case when label > 4 then 'revised' end, 'import', embedding, 1
-    from embeddings)) where rn = 1""",
+    select vec_id + 250, 'revised ' || cast(vec_id as varchar) || '.' || cast(turn as varchar), case when label > 4 then 'revised' end,
+      'import', embedding, case when turn = 1 then 2 else 1 end, turn
+    from embeddings, (select unnest([0, 1, 2]) as turn)
+    where turn = 0 or (turn = 2 and label % 2 = 1) or (turn = 1 and label < 3))) where rn = 1""",
         ),
         "vector_delete": _with(
             "vectors",
-            """select id, document, category, 'none' as origin, embedding[1]::double as first_value from vectors
-where id not in (select doc_id from labels)""",
+            """select cast(id as varchar) as id, case when again then 'again' else document end as document, category, 'none' as origin, embedding[1]::double as first_value
+from (select *, id in (select doc_id from labels where quality = 1 and toxic = 0) as again from vectors)
+where again or id not in (select doc_id from labels)""",
         ),
         "category_examples": _with(
             "vectors",
@@ -397,27 +405,34 @@ from (select r.*, m.written_at, m.label, coalesce(r.ts < m.written_at + interval
         "classify_end_to_end": _classified(_REMEMBERED, "vectors", _OUTCOME_COLUMNS),
         "classify_preview": _classified(_PREVIEWED, "vectors", _OUTCOME_COLUMNS),
         "stored_tickets": _classified(
-            _REMEMBERED,
-            "decided",
+            _STORED,
+            "stored",
             f"""select cast(id as varchar) as id, {_STORED_TITLE} as title, description, category as predicted_category,
   cast(null as varchar) as actual_category, confidence as confidence_score, reasoning, 'classified' as status,
   created_at, created_at as updated_at from outcome""",
         ),
         "stored_vectors": _classified(
-            _REMEMBERED,
-            "decided",
-            f"select cast(id as varchar) as id, {_STORED_TITLE} || '. ' || description as document, category from outcome",
+            _STORED,
+            "stored",
+            f"""select cast(id as varchar) as id, {_STORED_TITLE} || '. ' || description as document, category from outcome
+union all select 'v' || cast(id as varchar), document, category from vectors""",
         ),
         "stored_memo": _classified(
-            _REMEMBERED,
-            "decided",
+            _STORED,
+            "stored",
             """select memo_key as key, created_at as written_at, category, confidence, similar_tickets
 from outcome where writes""",
+        ),
+        "stored_refused": _with(
+            "intake",
+            f"""select 'ticket' as kind, cast(id as varchar) as id, problem, title from (select *, {_PROBLEM} as problem from intake)
+where problem is not null""",
         ),
         "ticket_records": _classified(
-            _REMEMBERED,
-            "decided",
-            f"""select cast(id as varchar) as id, {_STORED_TITLE} as title, 'classified' as status, category, cached
+            _STORED,
+            "stored",
+            f"""select cast(id as varchar) as id, {_STORED_TITLE} as title, 'classified' as status, category, cached,
+  cast(case when similar_tickets = '' then 0 else length(similar_tickets) - length(replace(similar_tickets, ';', '')) + 1 end as bigint) as n_similar
 from outcome""",
         ),
         "stream_intake": _with(
@@ -427,9 +442,21 @@ from texts t join kw k on k.id = t.id""",
             f"texts as (select *, {_FULL_TEXT} as full_text from intake where {_PROBLEM} is null),\n"
             + _keyword_ctes("texts", "full_text", V.LANGUAGE_RULES),
         ),
-        "stream_corrections": _with("tickets corrections", _APPLIED, _LATEST),
+        "stream_corrections": _with("tickets corrections", f"select * replace (cast(id as varchar) as id) from ({_APPLIED})", _LATEST),
+        "stream_refused": _with(
+            "tickets corrections",
+            f"""select 'correction' as kind, correction_id, cast(ticket_id as varchar) as ticket_id, problem from (
+  select *, case when corrected_category not in ({_CATEGORY_LIST}) then 'unknown category'
+    when length(feedback) > 1000 then 'feedback too long'
+    when ticket_id not in (select id from tickets) then 'ticket not found' end as problem from corrections)
+where problem is not null""",
+        ),
         "stream_memo": _with("requests", "select request_id, key, ts, hit from flagged", _FLAGGED, recursive=True),
-        "stream_dedup": _with("requests", "select distinct key from requests"),
+        "stream_dedup": _with(
+            "requests",
+            """select key, period_start, min(ts) as ts
+from (select key, ts, time_bucket(interval '7 days', ts, timestamp '1970-01-01') as period_start from requests) group by all""",
+        ),
         "stream_window": _with("tickets", _PERIOD.format(p="week")),
         "stream_totals": _with(
             "tickets",

@@ -11,11 +11,13 @@ from deskline.constants import CATEGORIES, CONTEXT_NEIGHBOURS
 from deskline.functions.answers import answer_fields, fields_of, parsed
 from deskline.operators import analytics, corrections, intake, keywords, listing, memo, similar, vectors
 from deskline.plans import classify as classify_plan
+from deskline.plans import store as store_plan
 from deskline.plans.overview import overview_flat
 from deskline.session import work_dir
+from deskline.sources.store import Store
 from deskline.sources.tables import status_of
 from deskline.streaming import jobs
-from registered.views import CORRECTIONS, INTAKE, LANGUAGE_RULES, REQUESTS, TICKETS, Given
+from registered.views import INTAKE, LANGUAGE_RULES, TICKETS, Given
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registered: dict[str, Query] = {}
@@ -215,22 +217,43 @@ def _stored_vectors(given: Given) -> DataFrame:
     return vectors.vector_rows(given.vectors())
 
 
+def _vector_store(given: Given) -> Store:
+    store = Store(given.spark, work_dir(given.spark, "vectors"))
+    store_plan.store_vectors(store, 0, _stored_vectors(given))
+    return store
+
+
 @query
 def vector_upsert(given: Given) -> DataFrame:
+    """Updates of half of the ids, each id several times, folded over the stored rows."""
     updates = given.table("embeddings").select(
+        F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("turn"),
+        F.col("label"),
         (F.col("vec_id") + 250).alias("id"),
-        F.concat(F.lit("revised "), F.col("vec_id").cast("string")).alias("document"),
+        F.concat(F.lit("revised "), F.col("vec_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("document"),
         F.when(F.col("label") > 4, F.lit("revised")).alias("category"),
         F.create_map(F.lit("origin"), F.lit("import")).alias("own"),
         "embedding",
     )
-    return _vector_columns(vectors.upserted(_stored_vectors(given), vectors.vector_rows(updates, "own"), "document"))
+    store = _vector_store(given)
+    # Odd labels have a third update in the first batch; the second batch has one more for low ones.
+    for batch, part in ((1, "turn = 0 or (turn = 2 and label % 2 = 1)"), (2, "turn = 1 and label < 3")):
+        chosen = updates.where(part)
+        rows = vectors.vector_rows(chosen, "own").join(chosen.select("id", "document", "turn"), ["id", "document"])
+        store_plan.store_vectors(store, batch, rows, "turn")
+    return _vector_columns(store.vectors())
 
 
 @query
 def vector_delete(given: Given) -> DataFrame:
-    gone = given.table("labels").select(F.col("doc_id").alias("id"))
-    return _vector_columns(vectors.without_ids(_stored_vectors(given), gone))
+    """Deletions beside the rows, some ids stored again later, then all written as one batch."""
+    store = _vector_store(given)
+    gone = given.table("labels")
+    store_plan.delete_vectors(store, 1, gone.select(F.col("doc_id").alias("id")))
+    again = _stored_vectors(given).join(gone.where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    store_plan.store_vectors(store, 2, again.withColumn("document", F.lit("again")))
+    store.compact()
+    return _vector_columns(store.vectors())
 
 
 @query
@@ -364,40 +387,61 @@ def classify_preview(given: Given) -> DataFrame:
     )
 
 
-def _stored(given: Given) -> classify_plan.Stored:
-    """The whole intake into empty stores: only the batch's own tickets are neighbours."""
-    empty = given.vectors().where(F.lit(False))
-    return classify_plan.create_and_classify(_asked(given), empty, given.answers())
+def _seeds(given: Given) -> DataFrame:
+    """The given vectors under ids of their own."""
+    return vectors.vector_rows(given.vectors().withColumn("id", F.concat(F.lit("v"), F.col("id").cast("string"))))
+
+
+def _stored(given: Given) -> Store:
+    """A store with the given vectors, then the intake in two halves, the second reading what the first has left."""
+    store = Store(given.spark, work_dir(given.spark, "store"))
+    store_plan.store_vectors(store, 0, _seeds(given))
+    asked = given.intake().join(given.table("embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+    at = memo.micros(F.col("created_at"))
+    middle = asked.agg(((F.min(at) + F.max(at)) / 2).alias("at")).first()["at"]
+    for batch, part in enumerate((at < F.lit(middle), at >= F.lit(middle)), start=1):
+        store_plan.store_tickets(store, batch, asked.where(part), given.answers())
+    return store
 
 
 @query
 def stored_tickets(given: Given) -> DataFrame:
-    return _stored(given).tickets
+    return _stored(given).tickets()
 
 
 @query
 def stored_vectors(given: Given) -> DataFrame:
-    return _stored(given).vectors.select("id", "document", "category")
+    return _stored(given).vectors().select("id", "document", "category")
 
 
 @query
 def stored_memo(given: Given) -> DataFrame:
-    flat = _stored(given).memo.select("key", "written_at", "result.*")
-    ref = F.transform("similar_tickets", lambda r: F.concat_ws(":", r["id"], r["category"], r["similarity"].cast("string")))
+    flat = _stored(given).read("memo").select("key", "written_at", "result.*")
+    ref = F.transform(
+        "similar_tickets",
+        lambda r: F.concat_ws(":", r["id"], F.coalesce(r["category"], F.lit("None")), r["similarity"].cast("string")),
+    )
     return flat.select(
         "key", "written_at", "category", "confidence", F.array_join(ref, ";").alias("similar_tickets")
     )
 
 
+@query
+def stored_refused(given: Given) -> DataFrame:
+    refused = _stored(given).read("refused")
+    return refused.select("kind", "id", "problem", F.get_json_object("content", "$.title").alias("title"))
+
+
 @query
 def ticket_records(given: Given) -> DataFrame:
     """The nested records, read field by field."""
-    return _stored(given).records.select(
+    return classify_plan.create_and_classify(_asked(given), _seeds(given), given.answers()).records.select(
         F.col("ticket.id").alias("id"),
         F.col("ticket.title").alias("title"),
         F.col("ticket.status").alias("status"),
         F.col("classification.category").alias("category"),
         F.col("classification.cached").alias("cached"),
+        F.size("classification.similar_tickets").cast("bigint").alias("n_similar"),
     )
 
 
@@ -426,27 +470,58 @@ def stream_intake(given: Given) -> DataFrame:
     return rows.select("id", "memo_key", F.col("kw_category").alias("category"), F.col("kw_confidence").alias("confidence"), "status")
 
 
+FILES = 4
+
+
+def _in_files(given: Given, rows: DataFrame, by: str, name: str) -> DataFrame:
+    """rows as a stream of FILES files in the order of `by`, one file a batch."""
+    folder = work_dir(given.spark, name)
+    parts = rows.withColumn("_at", memo.micros(F.col(by)))
+    low, high = parts.agg(F.min("_at"), F.max("_at")).first()
+    step = (high - low) / FILES
+    for k in range(FILES):
+        chosen = (F.col("_at") >= low + k * step) if k else F.lit(True)
+        if k < FILES - 1:
+            chosen &= F.col("_at") < low + (k + 1) * step
+        parts.where(chosen).drop("_at").coalesce(1).write.mode("append").parquet(folder)
+    return jobs.file_stream(given.spark, folder, rows.schema, files_per_batch=1)
+
+
 @query
 def stream_corrections(given: Given) -> DataFrame:
-    out, checkpoint = _folders(given, "corrections")
-    feed = _sql_over(given, CORRECTIONS, lineitem=_stream(given, "lineitem"))
-    jobs.corrections(feed, given.tickets(), out, checkpoint).awaitTermination()
-    return jobs.current_tickets(given.tickets(), given.spark.read.parquet(out))
+    """Tickets and corrections come in side by side, many corrections before their tickets."""
+    return _corrected_store(given).tickets()
+
+
+@query
+def stream_refused(given: Given) -> DataFrame:
+    store = _corrected_store(given)
+    refused = store.read("refused").unionByName(store_plan.still_pending(store))
+    return refused.select("kind", F.col("id").alias("correction_id"), F.get_json_object("content", "$.ticket_id").alias("ticket_id"), "problem")
+
+
+def _corrected_store(given: Given) -> Store:
+    store = Store(given.spark, work_dir(given.spark, "corrected"))
+    tickets = _in_files(given, given.tickets(), "created_at", "tickets")
+    feed = _in_files(given, given.corrections(), "corrected_at", "corrections")
+    jobs.store_corrections(tickets, feed, store, f"{store.root}/checkpoint").awaitTermination()
+    return store
 
 
 @query
 def stream_memo(given: Given) -> DataFrame:
     out, checkpoint = _folders(given, "memo")
-    jobs.memo(_sql_over(given, REQUESTS, events=_stream(given, "events")), out, checkpoint).awaitTermination()
-    return given.spark.read.parquet(out).select("request_id", "key", "ts", "hit")
+    jobs.memo(_in_files(given, given.requests(), "ts", "requests"), out, checkpoint).awaitTermination()
+    return given.spark.read.parquet(f"{out}/hits").select("request_id", "key", "ts", "hit")
 
 
 @query
 def stream_dedup(given: Given) -> DataFrame:
     out, checkpoint = _folders(given, "dedup")
-    requests = _sql_over(given, REQUESTS, events=_stream(given, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
-    jobs.first_seen(requests, out, checkpoint).awaitTermination()
-    return given.spark.read.parquet(out).select("key")
+    requests = given.requests().withColumn("ts", F.col("ts").cast("timestamp"))
+    jobs.first_seen(_in_files(given, requests, "ts", "requests"), out, checkpoint).awaitTermination()
+    seen = jobs.first_seen_now(given.spark, out)
+    return seen.select("key", F.col("period_start").cast("timestamp_ntz").alias("period_start"), F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 def _ticket_stream(given: Given) -> DataFrame:

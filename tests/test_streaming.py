@@ -1,3 +1,4 @@
+import datetime as dt
 import time
 
 import pytest
@@ -42,8 +43,13 @@ def test_memo_over_several_batches_equals_batch(spark, given, tmp_path):
     stream = jobs.file_stream(spark, source, requests.schema, files_per_batch=1)
     query = jobs.memo(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out" / "hits"))
     assert got.select("batch").distinct().count() == 4
+    # The state has one row per key, and none that is gone by the end of its batch.
+    state = spark.read.parquet(str(tmp_path / "out" / "alive" / "batch=3"))
+    now = requests.agg(F.max("ts")).first()[0]
+    assert state.groupBy("key").count().where("count > 1").isEmpty() and 0 < state.count() <= requests.select("key").distinct().count()
+    assert state.where(F.col("written_at") <= F.lit(now - dt.timedelta(days=7))).isEmpty()
     want = memo.with_hits(requests)
     assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
 
@@ -65,7 +71,9 @@ def test_first_seen_keeps_one_row_per_key(spark, given, tmp_path):
     source = files_in_time_order(requests, "request_id", str(tmp_path / "in"))
     stream = jobs.file_stream(spark, source, requests.schema, files_per_batch=1)
     jobs.first_seen(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "60 days").awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
+    windows = jobs.first_seen_now(spark, str(tmp_path / "out"))
+    assert windows.groupBy("key", "period_start").count().where("count > 1").isEmpty()
+    got = windows.groupBy("key").agg(F.min("ts").alias("ts"))
     want = requests.groupBy("key").agg(F.min("ts").alias("ts"))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
