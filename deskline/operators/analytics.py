@@ -23,9 +23,9 @@ def _is_correct() -> Column:
     return F.col("predicted_category") == F.col("actual_category")
 
 
-def totals_by_category(tickets: DataFrame) -> DataFrame:
-    """One row per predicted category (null included) with every base figure."""
-    return tickets.groupBy(F.col("predicted_category").alias("category")).agg(
+def totals_by_category(tickets: DataFrame, *by: Column) -> DataFrame:
+    """One row per predicted category (null included), and what else is in `by`, with every base figure."""
+    return tickets.groupBy(*by, F.col("predicted_category").alias("category")).agg(
         F.count("*").alias("tickets"),
         F.count("actual_category").alias("reviewed"),
         F.count_if(_is_correct()).alias("correct"),
@@ -72,7 +72,11 @@ def api_distribution(tickets: DataFrame) -> DataFrame:
 
 def overview_figures(tickets: DataFrame) -> DataFrame:
     """One row with the ticket part of the overview."""
-    by_category = totals_by_category(tickets)
+    return figures_of(totals_by_category(tickets))
+
+
+def figures_of(by_category: DataFrame) -> DataFrame:
+    """The ticket part of the overview from base figures, a row per category."""
     shared = by_category.withColumn("whole", F.greatest(_over_all(F.sum("tickets")), F.lit(1)))
     entry = F.struct(
         F.col("category"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskline.constants import PAGE_LIMIT_DEFAULT, PAGE_LIMIT_MAX, RECENT_LIMIT
@@ -70,6 +70,43 @@ def page_after(
     return chosen.orderBy(F.desc("created_at"), "id").limit(limit)
 
 
+def day_counts(tickets: DataFrame) -> DataFrame:
+    """`day, status, predicted_category, n`: how many tickets each day has of each kind.
+
+    A rank index for deep pages, a few rows per day; the counts of several batches add up.
+    """
+    return tickets.groupBy(F.to_date("created_at").alias("day"), "status", "predicted_category").agg(F.count("*").alias("n"))
+
+
+def page_by_counts(
+    tickets: DataFrame,
+    counts: DataFrame,
+    page: int = 1,
+    limit: int = PAGE_LIMIT_DEFAULT,
+    status: str | None = None,
+    category: str | None = None,
+) -> DataFrame:
+    """The same rows as `page`, for pages however deep, from tickets stored by `day`.
+
+    The days that the page's rows are of are found in `day_counts`; only those are
+    read, and within them the page is at most a day's tickets deep.
+    """
+    _check(page, limit)
+    first = (page - 1) * limit
+    per_day = filtered(counts, status, category).groupBy("day").agg(F.sum("n").alias("n"))
+    # One row per day by now; tickets without a time come last.
+    upto = F.sum("n").over(Window.orderBy(F.desc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, 0))
+    days = per_day.withColumn("upto", upto).where((F.col("upto") > first) & (F.col("upto") - F.col("n") < first + limit))
+    span = days.agg(
+        F.min("day").alias("low"), F.max("day").alias("high"), F.min(F.col("upto") - F.col("n")).alias("before"), F.count_if(F.col("day").isNull()).alias("nulls")
+    ).first()
+    if span["before"] is None:
+        return public(filtered(tickets, status, category)).where(F.lit(False))
+    here = F.col("day").between(F.lit(span["low"]), F.lit(span["high"])) if span["low"] is not None else F.lit(False)
+    chosen = public(filtered(tickets.where(here | F.col("day").isNull() if span["nulls"] else here), status, category))
+    return chosen.orderBy(F.desc("created_at"), "id").offset(first - span["before"]).limit(limit)
+
+
 def page_totals(
     tickets: DataFrame,
     page: int = 1,

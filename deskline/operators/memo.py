@@ -268,11 +268,13 @@ def hit_rate(flagged: DataFrame) -> DataFrame:
     counted = flagged.agg(
         F.count_if(F.col("hit")).alias("hits"), F.count_if(~F.col("hit")).alias("misses")
     )
-    rate = F.coalesce(
-        F.bround(F.try_divide(F.col("hits").cast("double"), (F.col("hits") + F.col("misses")).cast("double")) * 100.0, 1),
-        F.lit(0.0),
-    )
-    return counted.withColumn("hit_rate", rate)
+    return counted.withColumn("hit_rate", rate_of(F.col("hits"), F.col("misses")))
+
+
+def rate_of(hits: Column, misses: Column) -> Column:
+    """The hit rate in percent (1 decimal); 0 without requests."""
+    share = F.try_divide(hits.cast("double"), (hits + misses).cast("double"))
+    return F.coalesce(F.bround(share * 100.0, 1), F.lit(0.0))
 
 
 def cache_stats(flagged: DataFrame, entries: DataFrame, at: Column, ttl: int = MEMO_TTL_SECONDS) -> DataFrame:

@@ -372,6 +372,23 @@ def with_documents(neighbours: DataFrame, corpus: DataFrame) -> DataFrame:
     return join_on_key(neighbours, corpus.select("id", "document"), "id", "left")
 
 
+def vote(neighbours: DataFrame) -> DataFrame:
+    """The category that a query's neighbours speak for: `query_id, category, votes, confidence`.
+
+    A neighbour counts by its similarity.  The category with the largest sum wins (to
+    RANK_DIGITS decimals), of equal ones the first by name; confidence is
+    its share of all similarity, to 2 decimals, 0 where all similarities are 0.
+    Neighbours without a category count for none; a query with only such has no row.
+    """
+    summed = neighbours.where(F.col("category").isNotNull()).groupBy("query_id", "category").agg(
+        F.sum("similarity").alias("weight"), F.count("*").alias("votes")
+    )
+    order = F.struct(-F.round("weight", RANK_DIGITS), F.col("category"))
+    best = summed.groupBy("query_id").agg(F.min_by(F.struct("category", "votes", "weight"), order).alias("best"), F.sum("weight").alias("whole"))
+    share = F.coalesce(F.try_divide(F.col("best.weight"), F.col("whole")), F.lit(0.0))
+    return best.select("query_id", "best.category", "best.votes", F.round(share, 2).alias("confidence"))
+
+
 def neighbour_refs(neighbours: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per query: `similar_tickets`, best first, similarity to 2 decimals.
 

@@ -96,6 +96,22 @@ REFUSED = T.StructType(
     ]
 )
 
+# What batches add to the overview, by day and category.
+FIGURES = T.StructType(
+    [
+        T.StructField("day", T.DateType()),
+        T.StructField("category", T.StringType()),
+        T.StructField("tickets", T.LongType()),
+        T.StructField("reviewed", T.LongType()),
+        T.StructField("correct", T.LongType()),
+        T.StructField("confidence_sum", T.DoubleType()),
+        T.StructField("confidence_n", T.LongType()),
+        T.StructField("hits", T.LongType()),
+        T.StructField("misses", T.LongType()),
+        T.StructField("vectors", T.LongType()),
+    ]
+)
+
 MANIFEST = T.StructType(
     [
         T.StructField("batch", T.LongType()),

@@ -33,6 +33,7 @@ TABLES: dict[str, T.StructType] = {
     "memo": schemas.MEMO,
     "refused": schemas.REFUSED,
     "pending": schemas.CORRECTIONS,
+    "figures": schemas.FIGURES,
 }
 
 
@@ -126,6 +127,6 @@ class Store:
             "vectors": self.vectors().withColumns({"deleted": F.lit(False), "batch": F.lit(last)}),
             "pending": self.pending(),
         }
-        rows |= {name: self.read(name) for name in ("feedback", "memo", "refused")}
+        rows |= {name: self.read(name) for name in ("feedback", "memo", "refused", "figures")}
         written = reduce(lambda names, m: names | m["files"].keys(), known, set())
         self.commit(last, {name: df for name, df in rows.items() if name in written}, base=True)

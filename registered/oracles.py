@@ -235,6 +235,20 @@ from tickets where predicted_category is not null group by predicted_category"""
     from tickets where predicted_category is not null group by 1)) as categories,
   round_even(coalesce(avg(confidence_score), 0.0::double) * 100.0::double, 1) as avg_confidence,
   (select {_pct1('count(*) filter (where hit)', 'count(*)')} from flagged) as cache_hit_rate,
+  (select count(*) from vectors) as vector_store_count from tickets""",
+            _FLAGGED,
+            recursive=True,
+        ),
+        "overview_kept": _with(
+            "tickets requests vectors",
+            f"""select count(*) as total_tickets, count(actual_category) as total_reviewed,
+  count(*) filter (where predicted_category = actual_category) as correct_predictions,
+  {_pct1('count(*) filter (where predicted_category = actual_category)', 'count(actual_category)')} as accuracy_percentage,
+  (select string_agg(c || '=' || cast(n as varchar) || '=' || printf('%.1f', p), ';' order by c) from (
+    select predicted_category as c, count(*) as n, {_pct1('count(*)', '(select count(*) from tickets)')} as p
+    from tickets where predicted_category is not null group by 1)) as categories,
+  round_even(coalesce(avg(confidence_score), 0.0::double) * 100.0::double, 1) as avg_confidence,
+  (select {_pct1('count(*) filter (where hit)', 'count(*)')} from flagged) as cache_hit_rate,
   (select count(*) from vectors) as vector_store_count from tickets""",
             _FLAGGED,
             recursive=True,
@@ -273,6 +287,11 @@ from tickets where predicted_category is not null group by predicted_category"""
             "tickets",
             f"""select {_LISTED} from (select * from tickets where {_FILTER}
   order by created_at desc, cast(id as varchar) limit {Q.LIMIT} offset {(Q.PAGE - 1) * Q.LIMIT})""",
+        ),
+        "list_page_deep": _with(
+            "tickets",
+            f"""select {_LISTED} from (select *, row_number() over (order by created_at desc, cast(id as varchar)) as n, count(*) over () as total from tickets)
+where n > total // 2 // {Q.DEEP_LIMIT} * {Q.DEEP_LIMIT} and n <= total // 2 // {Q.DEEP_LIMIT} * {Q.DEEP_LIMIT} + {Q.DEEP_LIMIT}""",
         ),
         "list_page_after": _with(
             "tickets",
@@ -309,6 +328,16 @@ from tickets where predicted_category is not null group by predicted_category"""
         "similar_topk": _nearest(5, "c.id <> q.id"),
         "similar_topk_filtered": _nearest(5, "c.id <> q.id and c.category = 'label_3'"),
         "similar_asof": _nearest(3, "c.id < q.id"),
+        "neighbour_vote": _with(
+            "vectors",
+            f"""select query_id, category, votes, round(coalesce(weight / nullif(whole, 0), 0.0::double), 2) as confidence from (
+  select *, row_number() over (partition by query_id order by round(weight, 9) desc, category) as place, sum(weight) over (partition by query_id) as whole
+  from (select query_id, category, sum(similarity) as weight, count(*) as votes from (
+    select query_id, category, least(greatest(sim, 0.0::double), 1.0::double) as similarity,
+      row_number() over (partition by query_id order by sim desc, stored, id) as rank
+    from (select q.id as query_id, c.id, c.id as stored, c.category, round({_SIM.format(a='q.embedding', b='c.embedding')}, 9) as sim
+      from vectors q join vectors c on c.id < q.id)) where rank <= 3 and category is not null group by 1, 2)) where place = 1""",
+        ),
         "prompt_context": _with(
             "intake vectors",
             f"""select id, context, {_text(C.PROMPT_HEAD + C.CATEGORY_DEFINITIONS + C.PROMPT_NEIGHBOURS)} || context

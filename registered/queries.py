@@ -12,10 +12,10 @@ from deskline.functions.answers import answer_fields, fields_of, parsed
 from deskline.operators import analytics, corrections, intake, keywords, listing, memo, similar, vectors
 from deskline.plans import classify as classify_plan
 from deskline.plans import store as store_plan
-from deskline.plans.overview import overview_flat
-from deskline.session import work_dir
+from deskline.plans.overview import day_figures, flat, folded, overview_flat, overview_of
+from deskline.session import cut, work_dir
 from deskline.sources.store import Store
-from deskline.sources.tables import status_of
+from deskline.sources.tables import append, status_of
 from deskline.streaming import jobs
 from registered.views import INTAKE, LANGUAGE_RULES, TICKETS, Given
 
@@ -24,6 +24,7 @@ _registered: dict[str, Query] = {}
 
 LOOKUP_ID = 42
 PAGE, LIMIT, STATUS, CATEGORY = 3, 20, "corrected", "Network Issue"
+DEEP_LIMIT = 50
 ALIVE_AT = "2024-01-20 00:00:00"
 
 
@@ -65,6 +66,24 @@ def overview(given: Given) -> DataFrame:
     return overview_flat(given.tickets(), memo.with_hits(given.requests()), given.vectors())
 
 
+@query
+def overview_kept(given: Given) -> DataFrame:
+    """The overview from what batches have added to it, without their tables."""
+    store = Store(given.spark, work_dir(given.spark, "figures"))
+    day = F.dayofyear("ts")
+    last = given.requests().agg(F.max(day).alias("d")).first()["d"]
+    written = None
+    for batch, (low, high) in enumerate([(0, last // 3), (last // 3, last // 2), (last // 2, 400)]):
+        within = lambda c: (F.dayofyear(c) > low) & (F.dayofyear(c) <= high)  # noqa: B023, E731
+        flagged = cut(memo.with_hits(given.requests().where(within("ts")), prior=written), "flagged")
+        missed = flagged.where("not hit").select("key", F.col("ts").alias("written_at"))
+        written = missed if written is None else written.unionByName(missed)
+        tickets, new = (df.where(within("created_at")) for df in (given.tickets(), given.vectors()))
+        store.commit(batch, {"figures": day_figures(tickets, flagged, new)})
+    store.compact()
+    return flat(overview_of(folded(store.read("figures"))))
+
+
 @query
 def accuracy_by_week(given: Given) -> DataFrame:
     return analytics.accuracy_by_period(given.tickets(), "week")
@@ -104,6 +123,17 @@ def list_page(given: Given) -> DataFrame:
     return listing.page(given.tickets(), PAGE, LIMIT, STATUS, CATEGORY)
 
 
+@query
+def list_page_deep(given: Given) -> DataFrame:
+    """A page in the middle of all tickets, found by the counts per day."""
+    path = work_dir(given.spark, "listed")
+    append(given.tickets(), path)
+    stored = given.spark.read.parquet(path)
+    counts = cut(listing.day_counts(stored), "counts")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"]
+    return listing.page_by_counts(stored, counts, total // 2 // DEEP_LIMIT + 1, DEEP_LIMIT)
+
+
 @query
 def list_page_after(given: Given) -> DataFrame:
     return listing.page_after(given.tickets(), ALIVE_AT, "0", LIMIT, STATUS)
@@ -193,6 +223,11 @@ def similar_asof(given: Given) -> DataFrame:
     return _neighbours(given, k=CONTEXT_NEIGHBOURS, as_of=True)
 
 
+@query
+def neighbour_vote(given: Given) -> DataFrame:
+    return similar.vote(_neighbours(given, k=CONTEXT_NEIGHBOURS, as_of=True))
+
+
 @query
 def prompt_context(given: Given) -> DataFrame:
     stored = given.vectors()

@@ -262,3 +262,38 @@ def test_every_store_reads_with_its_schema(spark, tmp_path):
     lines = tmp_path / "a.jsonl"
     lines.write_text('{"ticket_id": "1", "raw": "{}"}\n')
     assert tables.read_answers(spark, str(lines), "json").first().raw == "{}"
+
+
+def test_deep_pages_by_counts_equal_plain_pages(spark, tmp_path):
+    rows = [(str(i), "t", "d", "Network Issue" if i % 3 else None, None, None, None, "open" if i % 2 else "classified", None if i % 11 == 0 else f"2024-01-{1 + i * 7 % 19:02d} 0{i % 5}:00:00") for i in range(200)]
+    names = "id string, title string, description string, predicted_category string, actual_category string, confidence_score double, reasoning string, status string, at string"
+    df = spark.createDataFrame(rows, names).withColumn("created_at", F.col("at").cast("timestamp_ntz")).withColumn("updated_at", F.col("created_at")).drop("at")
+    tables.append(df, str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    counts = listing.day_counts(stored)
+    for kind in ({}, {"status": "open"}, {"status": "open", "category": "Network Issue"}, {"status": "none"}):
+        for number in (1, 2, 5, 9, 10, 11, 40):
+            got = listing.page_by_counts(stored, counts, number, 20, **kind).collect()
+            assert got == listing.page(stored, number, 20, **kind).collect(), (kind, number)
+    deep = listing.page_by_counts(stored, counts, 4, 20)
+    assert "PartitionFilters: [isnotnull(day" in plan_of(deep)
+
+
+def test_kept_figures_equal_the_overview(spark, seeds):
+    from deskline.plans import overview as o
+
+    requests = spark.createDataFrame([(1, "k", True), (2, "k", False), (3, "l", False)], "request_id long, key string, hit boolean").withColumn("ts", F.lit("2024-01-05").cast("timestamp_ntz"))
+    vectors = spark.createDataFrame([("a", "2024-01-01"), ("b", None)], "id string, at string").withColumn("created_at", F.col("at").cast("timestamp_ntz"))
+    parts = o.day_figures(seeds.where("id < 3"), requests).unionByName(o.day_figures(seeds.where("id >= 3"), vectors=vectors)).unionByName(o.day_figures(seeds.where("false")))
+    for figures in (parts, o.folded(parts)):
+        assert o.overview_of(figures).collect() == o.overview(seeds, requests, vectors).collect()
+    empty = o.overview_of(parts.where("false")).first()
+    assert empty == o.overview(seeds.where("false"), requests.where("false"), vectors.where("false")).first()
+
+
+def test_neighbours_vote_by_similarity(spark):
+    from deskline.operators import similar
+
+    rows = [(1, 1, "a", "X", 0.9), (1, 2, "b", "Y", 0.5), (1, 3, "c", "Y", 0.5), (2, 1, "a", "Y", 0.4), (2, 2, "b", "X", 0.4), (3, 1, "a", None, 0.9), (4, 1, "a", "Z", 0.0), (4, 2, "a", None, 0.0)]
+    got = similar.vote(spark.createDataFrame(rows, "query_id int, rank long, id string, category string, similarity double"))
+    assert sorted(map(tuple, got.collect())) == [(1, "Y", 2, 0.53), (2, "X", 1, 0.5), (4, "Z", 1, 0.0)]
