@@ -10,10 +10,15 @@ text.  Tasks count their own text and emit each n-gram once; counts, contexts
 and continuation counts are aggregates and joins in Spark, sharded by n-gram or
 context.  The resulting table (2 bytes an entry, 32 MB at most) is what every
 task looks its documents' n-grams up in.
+
+A document is judged twice, by its words and by its spelling: it has to stay
+below the language's quantile of trusted documents in both.  Words tell real words in
+senseless order, spelling tells strange strings, which to the words are only unknown.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +34,8 @@ from deskline.session import cut
 ORDER = 4
 BITS = 6  # of a symbol
 SYMBOLS = 1 << BITS
-QUANTILE = 0.99  # of trusted documents of a language
-MARGIN = 2.0  # of the distance from the median to that quantile, beyond it
+QUANTILE = 0.999  # of trusted documents of a language, for words and for spelling
+TAIL = 0.1  # the share of them whose excess tells where that quantile lies
 PRIOR = 400  # symbols at the language's median that every document is given
 STEPS = 2000  # per bit; 16 bits hold 32 bits of surprise
 
@@ -128,9 +133,9 @@ def train(documents: DataFrame) -> np.ndarray:
 
 
 def surprise(documents: DataFrame, model: np.ndarray) -> DataFrame:
-    """All columns and `_bits` (spelling of what precedes the first word), `_symbols` (of the whole text)."""
+    """All columns and `_bits` (spelling of what precedes the first word), `_spelled` (of the whole text), `_symbols`."""
     shared = documents.sparkSession.sparkContext.broadcast(model.tobytes())
-    schema = documents.limit(0).withColumns({"_bits": F.lit(0.0), "_symbols": F.lit(0).cast("long")}).schema
+    schema = documents.limit(0).withColumns({"_bits": F.lit(0.0), "_spelled": F.lit(0.0), "_symbols": F.lit(0).cast("long")}).schema
 
     def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint16)
@@ -142,8 +147,9 @@ def surprise(documents: DataFrame, model: np.ndarray) -> DataFrame:
             stop = offsets[1:].copy()
             stop[some] = words.start[words.first[:-1][some]]
             bits = (total[stop] - total[offsets[:-1]]) / STEPS
-            columns = [*part.columns, pa.array(bits), pa.array(np.diff(offsets))]
-            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "_bits", "_symbols"])
+            spelled = (total[offsets[1:]] - total[offsets[:-1]]) / STEPS
+            columns = [*part.columns, pa.array(bits), pa.array(spelled), pa.array(np.diff(offsets))]
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "_bits", "_spelled", "_symbols"])
 
     return mapped(documents, score, schema)
 
@@ -158,23 +164,37 @@ def _lang() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(""))
 
 
-def _thresholds(scores: DataFrame, quantile: float, margin: float) -> tuple[DataFrame, float, float]:
-    """(`_lang, median, threshold`, and the two over all languages) from trusted documents' `_lang, _bits, _symbols`."""
-    mean = F.col("_bits") / F.col("_symbols")
+MODELS = ("bits", "spelled")
+
+
+def _thresholds(scores: DataFrame, quantile: float) -> tuple[DataFrame, dict]:
+    """(`_lang` and per model `median, threshold`; the same over all languages) from trusted documents' scores.
+
+    A threshold is the quantile as the tail tells it: scores beyond the upper tenth are
+    taken to fall off exponentially, so few trusted documents give one too.
+    """
     with_text = cut(scores.where(F.col("_symbols") > 0), "trusted-scores")
-    over_all = with_text.agg(F.percentile_approx(mean, 0.5, 10_000)).first()[0] or 0.0
-    median = with_text.groupBy("_lang").agg(F.percentile_approx(mean, 0.5, 10_000).alias("median"))
-    shrunk = with_text.join(median, "_lang").withColumn("score", _score("median"))
-    high = shrunk.groupBy("_lang", "median").agg(F.percentile_approx("score", quantile, 10_000).alias("high"))
-    by_lang = high.select(
-        "_lang", "median", (F.col("high") + margin * F.greatest(F.col("high") - F.col("median"), F.lit(0.0))).alias("threshold")
-    )
-    top = with_text.withColumn("median", F.lit(over_all)).agg(F.percentile_approx(_score("median"), quantile, 10_000)).first()[0]
-    return by_lang, over_all, float("inf") if top is None else top + margin * max(top - over_all, 0.0)
+    mean = {m: F.percentile_approx(F.col(f"_{m}") / F.col("_symbols"), 0.5, 10_000).alias(f"median_{m}") for m in MODELS}
+    def limits(rows: DataFrame, *by: str) -> DataFrame:
+        scored = rows.withColumns({f"score_{m}": _score(m) for m in MODELS})
+        tail = scored.groupBy(*by).agg(*[F.percentile_approx(f"score_{m}", 1 - TAIL, 10_000).alias(f"tail_{m}") for m in MODELS])
+        beyond = scored.join(tail, list(by)) if by else scored.withColumns({f"tail_{m}": tail.select(f"tail_{m}").scalar() for m in MODELS})
+        excess = {m: F.avg(F.when(F.col(f"score_{m}") > F.col(f"tail_{m}"), F.col(f"score_{m}") - F.col(f"tail_{m}"))) for m in MODELS}
+        reach = math.log(TAIL / (1 - quantile))
+        return beyond.groupBy(*by).agg(
+            *[(F.max(f"tail_{m}") + F.coalesce(e, F.lit(0.0)) * reach).alias(f"threshold_{m}") for m, e in excess.items()]
+        )
+
+    median = with_text.groupBy("_lang").agg(*mean.values())
+    by_lang = limits(with_text.join(median, "_lang"), "_lang", *median.columns[1:])
+    over_all = {k: 0.0 if v is None else v for k, v in with_text.agg(*mean.values()).first().asDict().items()}
+    top = limits(with_text.withColumns({k: F.lit(v) for k, v in over_all.items()})).first().asDict()
+    return by_lang, over_all | {k: float("inf") if v is None else v for k, v in top.items()}
 
 
-def _score(median: str) -> Column:
-    return (F.col("_bits") + PRIOR * F.col(median)) / (F.col("_symbols") + PRIOR)
+def _score(model: str) -> Column:
+    """Mean surprise per symbol, PRIOR symbols of the language's median included."""
+    return (F.col(f"_{model}") + PRIOR * F.col(f"median_{model}")) / (F.col("_symbols") + PRIOR)
 
 
 def _model(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, DataFrame]:
@@ -186,23 +206,25 @@ def _model(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarr
     return trusted, model, word_ngrams.bits(documents.select("text"), word_ngrams.train(own), model, STEPS, _grams)
 
 
-def _judged(scored: DataFrame, limits: tuple[DataFrame, float, float]) -> DataFrame:
-    """Adds `_score, _limit, _kept` to rows with `_bits, _symbols, _lang`."""
-    by_lang, median, threshold = limits
+def _judged(scored: DataFrame, limits: tuple[DataFrame, dict]) -> DataFrame:
+    """Adds per model `score` and `threshold`, and `_kept`, to rows with `_bits, _spelled, _symbols, _lang`."""
+    by_lang, over_all = limits
     joined = matched(scored, cut(by_lang, "thresholds"), "_lang", "left")
-    joined = joined.withColumns({"median": F.coalesce("median", F.lit(median)), "_limit": F.coalesce("threshold", F.lit(threshold))})
-    return joined.withColumn("_score", _score("median")).withColumn("_kept", F.col("_score") <= F.col("_limit"))
+    joined = joined.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in over_all.items()})
+    joined = joined.withColumns({f"score_{m}": _score(m) for m in MODELS})
+    below = [F.col(f"score_{m}") <= F.col(f"threshold_{m}") for m in MODELS]
+    return joined.withColumn("_kept", below[0] & below[1])
 
 
-def quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """`doc_id, lang, n_symbols, perplexity, threshold, kept` per document.
+def quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """`doc_id, lang, n_symbols, perplexity, threshold, spelling_perplexity, spelling_threshold, kept` per document.
 
-    Trusted documents are those with labels.quality = 1.  The score is the mean
+    Trusted documents are those with labels.quality = 1.  A score is the mean
     surprise per symbol, PRIOR symbols of the language's median included, so that
-    short texts differ little from it; perplexity is 2 to its power.  A language's
-    threshold lies `margin` times the distance from the median to the quantile
-    beyond the quantile of its trusted documents.  A language without trusted
-    documents (null is a language) takes the threshold over all of them; without
+    short texts differ little from it; perplexity is 2 to its power.  A threshold is
+    the quantile of the scores of the language's trusted documents, estimated from their
+    upper tenth, for the words and for the spelling; a document is kept if it is above neither.  A language without trusted
+    documents (null is a language) takes the thresholds over all of them; without
     any trusted document all are kept.  Null and empty texts have no symbols and
     are kept.  Repeated rows give a row each; of several labels of an id one 1 is
     enough; labels without an id count for nothing.
@@ -210,22 +232,26 @@ def quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     trusted, model, words = _model(documents, labels)
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", _lang().alias("_lang"), F.xxhash64("text").alias("_key"))
     scores = cut(_with_words(surprise(slim, model).drop("text"), words), "scores")
-    limits = _thresholds(matched(scores, trusted, "doc_id", "left_semi"), quantile, margin)
+    limits = _thresholds(matched(scores, trusted, "doc_id", "left_semi"), quantile)
+    power = lambda c: F.pow(F.lit(2.0), c)
     return _judged(scores, limits).select(
         "doc_id",
         "lang",
         F.col("_symbols").alias("n_symbols"),
-        F.pow(F.lit(2.0), "_score").alias("perplexity"),
-        F.pow(F.lit(2.0), "_limit").alias("threshold"),
-        F.col("_kept").alias("kept"),
+        power("score_bits").alias("perplexity"),
+        power("threshold_bits").alias("threshold"),
+        power("score_spelled").alias("spelling_perplexity"),
+        power("threshold_spelled").alias("spelling_threshold"),
+        (F.col("_kept") | (F.col("_symbols") == 0)).alias("kept"),
     )
 
 
-def of_good_quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def of_good_quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The documents, all columns, that `quality` keeps."""
     trusted, model, words = _model(documents, labels)
     own = matched(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", _lang().alias("_lang"), F.xxhash64("text").alias("_key")), trusted, "doc_id", "left_semi")
-    limits = _thresholds(_with_words(surprise(own, model).drop("text"), words), quantile, margin)
+    limits = _thresholds(_with_words(surprise(own, model).drop("text"), words), quantile)
     # The row travels as one value, so no name in it can clash.
     rows = documents.select(F.struct(*documents.columns).alias("row"), "text", _lang().alias("_lang"), F.xxhash64("text").alias("_key"))
-    return _judged(_with_words(surprise(rows, model).drop("text"), words), limits).where("_kept").select(*[F.col("row")[c].alias(c) for c in documents.columns])
+    kept = _judged(_with_words(surprise(rows, model).drop("text"), words), limits).where(F.col("_kept") | (F.col("_symbols") == 0))
+    return kept.select(*[F.col("row")[c].alias(c) for c in documents.columns])
