@@ -24,59 +24,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskline.llm.frames import arrow_schema, mapped
+from deskline.llm.words import LOWER, Spans, bounds, bytes_of, slices
 from deskline.session import cut
 
 CAPACITY = 4096
 END = 1  # the id that ends a document
 OPEN_BINS = 64
 MERGE = 16  # packers whose open bins one packer of the next round takes
-CACHE_WORDS = 400_000  # words whose ids a task remembers, and as many of the time before
+CACHE_WORDS = 1_500_000  # words whose ids a task remembers, about 40 bytes each
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_NO_BREAK = np.ones(256, bool)  # bytes of words
+_NO_BREAK[[0x0A, 0x20]] = False
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long, is_open boolean"
 
 
-class _Ids(dict):
-    """Word -> its ids as little-endian bytes; words are split at ASCII space and newline, which no token crosses."""
+class _Ids:
+    """Ids of words by the hash of their lower-case bytes, as sorted arrays that grow with the words seen.
+
+    Words are split at ASCII space and newline, which no token crosses, and the
+    tokenizer does not tell cases apart.  Beyond CACHE_WORDS the table starts anew.
+    """
 
     def __init__(self, tokenizer):
-        super().__init__()
         self.tokenizer = tokenizer
-        self.old: dict[str, bytes] = {}  # the generation before: words used again move up
-
-    def learn(self, words: list[str]) -> None:
-        if len(self) > CACHE_WORDS:
-            self.old = dict(self)
+        self.marks = {ord(m): np.array(tokenizer.encode(m, add_special_tokens=False).ids, "<u4") for m in ".,"}
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts = np.zeros(0, np.int64)  # where a word's ids begin in `ids`, and how many there are
+        self.counts = np.zeros(0, np.int64)
+        self.ids = np.concatenate([self.marks[m] for m in sorted(self.marks)])
+
+    def mark(self, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, counts) of the ids of marks, which come first in `ids`."""
+        sizes = [len(self.marks[m]) for m in sorted(self.marks)]
+        which = np.searchsorted(sorted(self.marks), byte)
+        return np.array([0, sizes[0]])[which], np.array(sizes)[which]
+
+    def places(self, hashes: np.ndarray, text) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, counts) of the ids of sorted distinct hashes; text(i) is the word of the i-th."""
+        if len(self.hashes) > CACHE_WORDS:
             self.clear()
-        new = set()
-        for word in {w for w in words if w not in self}:
-            known = self.old.get(word)
-            if known is None:
-                new.add(word)
-            else:
-                self[word] = known
-        # A mark after letters is a token of its own, and letters alone are one unit to the
-        # tokenizer: many such words are encoded as one text and told apart afterwards.
-        marked = {w for w in new if w[-1:] in (".", ",") and _LETTERS.fullmatch(w, 0, len(w) - 1)}
-        plain = {w[:-1] for w in marked} | {w for w in new - marked if _LETTERS.fullmatch(w)}
-        plain = [w for w in plain if w not in self]
-        for i in range(0, len(plain), 2000):
-            self._letters(plain[i : i + 2000])
-        rest = [w for w in (new - marked) | ({".", ","} if marked else set()) if w not in self]
-        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self[word] = np.array(found.ids, "<u4").tobytes()
-        for word in marked:
-            self[word] = self[word[:-1]] + self[word[-1]]
-
-    def _letters(self, words: list[str]) -> None:
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        units = np.array(found.word_ids)
-        edges = (np.searchsorted(units, np.arange(len(words) + 1)) * 4).tolist()
-        data = np.array(found.ids, "<u4").tobytes()
-        if len(units) == 0 or units[-1] + 1 != len(words):
-            raise ValueError("this tokenizer does not take letters as one unit")
-        for word, start, stop in zip(words, edges, edges[1:]):
-            self[word] = data[start:stop]
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        new = np.flatnonzero(self.hashes[at] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(new):
+            found, counts = self._encoded([text(i) for i in new.tolist()])
+            starts = len(self.ids) + np.cumsum(counts) - counts
+            self.ids = np.concatenate([self.ids, found])
+            where = np.searchsorted(self.hashes, hashes[new])
+            self.hashes = np.insert(self.hashes, where, hashes[new])
+            self.starts = np.insert(self.starts, where, starts)
+            self.counts = np.insert(self.counts, where, counts)
+            at = np.searchsorted(self.hashes, hashes)
+        return self.starts[at], self.counts[at]
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all words, how many each has).
+
+        Letters alone are one unit to the tokenizer: many such words are encoded as one text and told apart afterwards.
+        """
+        ids: list[np.ndarray] = [np.zeros(0, "<u4")] * len(words)
+        letters = [i for i, w in enumerate(words) if _LETTERS.fullmatch(w)]
+        for i in range(0, len(letters), 2000):
+            some = letters[i : i + 2000]
+            found = self.tokenizer.encode(" ".join([words[k] for k in some]), add_special_tokens=False)
+            units, data = np.array(found.word_ids), np.array(found.ids, "<u4")
+            if len(units) == 0 or units[-1] + 1 != len(some):
+                raise ValueError("this tokenizer does not take letters as one unit")
+            edges = np.searchsorted(units, np.arange(len(some) + 1)).tolist()
+            for k, start, stop in zip(some, edges, edges[1:]):
+                ids[k] = data[start:stop]
+        rest = [i for i, w in enumerate(words) if not _LETTERS.fullmatch(w)]
+        for k, found in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
+            ids[k] = np.array(found.ids, "<u4")
+        return np.concatenate(ids), np.array([len(x) for x in ids])
 
 
 _tokenizers: dict[str, _Ids] = {}
@@ -90,16 +115,28 @@ def _ids(path: str) -> _Ids:
     return _tokenizers[path]
 
 
-def token_bytes(text: str | None, ids: _Ids) -> bytes:
-    """All ids of a text as bytes, without the end."""
-    words = text.replace("\n", " ").split(" ") if text else []
-    step = 50_000  # of a very long text so many words at a time
-    out = []
-    for i in range(0, len(words), step):
-        some = words[i : i + step]
-        ids.learn(some)
-        out.append(b"".join(map(ids.__getitem__, some)))
-    return b"".join(out)
+def token_ids(texts: pa.Array, ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids of all texts, where each text's begin and end), without the ends of documents."""
+    data, offsets = bytes_of(texts)
+    first, start, end = bounds(data, offsets, _NO_BREAK)
+    # A mark after an ASCII letter, at a word's end, is a unit of its own.
+    last = data[end - 1]
+    marked = np.flatnonzero((end - start > 1) & ((last == ord(".")) | (last == ord(","))) & _IS_LETTER[data[end - 2]])
+    end[marked] -= 1
+    hashes, some, which = np.unique(Spans(data, LOWER).hash(start, end), return_index=True, return_inverse=True)
+    low, high = start[some].tolist(), end[some].tolist()
+    raw = data.tobytes()
+    places, counts = ids.places(hashes, lambda i: raw[low[i] : high[i]].decode())
+    # Words and marks in order: a place in the table of ids and a number of ids each.
+    has_mark = np.zeros(len(start), np.int64)
+    has_mark[marked] = 1
+    unit = np.arange(len(start)) + np.cumsum(has_mark) - has_mark
+    unit_place, unit_count = np.empty((2, len(start) + len(marked)), np.int64)
+    unit_place[unit], unit_count[unit] = places[which], counts[which]
+    unit_place[unit[marked] + 1], unit_count[unit[marked] + 1] = ids.mark(last[marked])
+    upto = np.concatenate([[0], np.cumsum(unit_count)])
+    out = ids.ids[np.arange(upto[-1]) + np.repeat(unit_place - upto[:-1], unit_count)]
+    return out, upto[np.append(unit, len(unit_count))[first]]
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -110,11 +147,14 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Da
         ids = _ids(tokenizer)
         end = np.array([END], "<u4").tobytes()
         rows: list[tuple] = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            all_ids = token_bytes(text, ids) + end
-            for number, start in enumerate(range(0, len(all_ids), capacity * 4)):
-                part = all_ids[start : start + capacity * 4]
-                rows.append((doc, number, start // 4, len(part) // 4, zlib.crc32(part)))
+        for some in slices(batch, "text"):
+            found, edges = token_ids(some.column("text"), ids)
+            raw, edges = found.tobytes(), (edges * 4).tolist()
+            for doc, begin, stop in zip(some.column("doc_id").to_pylist(), edges, edges[1:]):
+                all_ids = raw[begin:stop] + end
+                for number, start in enumerate(range(0, len(all_ids), capacity * 4)):
+                    part = all_ids[start : start + capacity * 4]
+                    rows.append((doc, number, start // 4, len(part) // 4, zlib.crc32(part)))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut_up, _PIECES)
@@ -226,7 +266,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS)
 def packed_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """One row per piece: `doc_id, piece, start, length, ids_crc32, sequence_id, offset`.
 
-    The tokenizer must drop white space and take a run of letters as one unit.
+    The tokenizer must drop white space, fold cases and take a run of letters as one unit.
+    Of two bins that fit a piece equally tightly the one filled last takes it.
     Only documents of more than `capacity` tokens (the end included) are cut.  A
     null or empty text is the end alone.  Repeated rows are packed once each; a
     null doc_id stays null.  Other columns are ignored.
