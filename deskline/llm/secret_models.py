@@ -10,6 +10,7 @@ random model explains better by enough bits each is a secret as well.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,37 @@ SYMBOLS = 128  # ASCII
 SMOOTH = 0.5  # added to each transition
 
 
+SPANS = "array<struct<start:int,stop:int,kind:int,value:string>>"
+CHUNK = 256  # elements of an array scanned before its results are put to those before
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, also where lambda functions use it many times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scanned(array: Column, zero: Column, step: Callable[[Column, Column], Column], element: str) -> Column:
+    """The outputs of a running state over an array: step(state, x) is struct(state, out); out is of type `element`.
+
+    Results of a chunk are gathered by themselves: adding each to one long array would copy that every time.
+    """
+    none = F.array().cast(f"array<{element}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        return _let(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["state"].alias("state"), none.alias("out"))
+        return _let(F.aggregate(part, start, one), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def whole(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda k: F.slice(x, k * CHUNK + 1, F.lit(CHUNK)))
+        begin = F.struct(zero.alias("state"), F.array().cast(f"array<array<{element}>>").alias("out"))
+        return F.flatten(F.aggregate(parts, begin, chunk)["out"])
+
+    return F.when(F.size(array) > 0, _let(array, whole)).otherwise(none)
+
+
 def _places(text: Column, pattern: str, kind: str) -> Column:
     """array<start, end, kind, value> of the leftmost non-overlapping matches, in code points.
 
@@ -36,18 +68,38 @@ def _places(text: Column, pattern: str, kind: str) -> Column:
     earlier pieces and matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,stop:int,kind:int,value:string>>")
-    steps = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    steps = _let(found, lambda m: F.zip_with(m, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), lambda x, g: F.struct(x.alias("m"), g.alias("g"))))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
+    def add(at: Column, x: Column) -> Column:
+        start = at + F.length(x["g"])
         stop = start + F.length(x["m"])
         span = F.struct(start.alias("start"), stop.alias("stop"), F.lit(KINDS.index(kind)).alias("kind"), x["m"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        return F.struct(stop.alias("state"), span.alias("out"))
+
+    return _scanned(steps, F.lit(0), add, SPANS[6:-1])
+
+
+def _outside(words: Column, base: Column) -> Column:
+    """The words that no base span touches; both are sorted by start.
+
+    Seen from the front, a base span before a word reaches into it if the furthest
+    end so far lies behind the word's start; seen from the back, one after it begins before the word's end.
+    """
+    markov = KINDS.index("markov")
+    far = F.lit(1 << 30)
+
+    def forward(reach: Column, x: Column) -> Column:
+        free = F.when((x["kind"] != markov) | (reach <= x["start"]), x)
+        return F.struct(F.when(x["kind"] != markov, F.greatest(reach, x["stop"])).otherwise(reach).alias("state"), free.alias("out"))
+
+    def backward(next_: Column, x: Column) -> Column:
+        free = F.when((x["kind"] == markov) & (x["stop"] <= next_), x)
+        return F.struct(F.when(x["kind"] != markov, x["start"]).otherwise(next_).alias("state"), free.alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, zero, add)["spans"]).otherwise(empty)
+    both = F.array_sort(F.concat(base, words))
+    ahead = F.filter(_scanned(both, F.lit(0), forward, SPANS[6:-1]), lambda x: x.isNotNull())
+    behind = F.filter(_scanned(F.reverse(ahead), far, backward, SPANS[6:-1]), lambda x: x.isNotNull())
+    return F.when((F.size(words) == 0) | (F.size(base) == 0), words).otherwise(F.reverse(behind))
 
 
 def _base_spans(documents: DataFrame) -> DataFrame:
@@ -62,21 +114,21 @@ def _base_spans(documents: DataFrame) -> DataFrame:
     assign = F.when(text.rlike(r"(?i)password|passwd|secret|token|api_?key"), long_enough)
     access = F.when(F.contains(text, F.lit("AKIA")), _places(text, ACCESS, "access"))
     hexes = F.when(text.rlike(HEX), _places(text, HEX, "hex"))
-    empty = F.array().cast("array<struct<start:int,stop:int,kind:int,value:string>>")
+    empty = F.array().cast(SPANS)
     spans = F.array_sort(F.concat(*[F.coalesce(c, empty) for c in (assign, access, hexes)]))
     return own.withColumn("base", spans)
 
 
 def _candidates(text: Column) -> Column:
     return F.when(text.rlike(CANDIDATE), _places(text, CANDIDATE, "markov")).otherwise(
-        F.array().cast("array<struct<start:int,stop:int,kind:int,value:string>>")
+        F.array().cast(SPANS)
     )
 
 
 def _transitions(samples: DataFrame) -> DataFrame:
     """`random (boolean), pair (of characters), n` from `random, value`."""
-    value = F.col("value")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.substring(value, i, F.lit(2)))
+    chars = F.split("value", "")
+    pairs = _let(chars, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.concat(a, b)))
     return samples.where(F.length("value") > 1).select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n"))
 
 
@@ -97,21 +149,21 @@ def _ratios(counts: DataFrame) -> list[float]:
 
 
 def train(spans: DataFrame) -> list[float]:
-    """From `base, words` of all documents: the values of base spans against the words outside them."""
-    # A value counts without the name before it.
-    values = F.transform("base", lambda s: F.element_at(F.split(s["value"], r"""["'\x20:=]+"""), -1))
-    clear = F.filter("words", lambda w: ~F.exists("base", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
+    """From `base, outside` of all documents: the values of base spans against the words outside them."""
+    # Of an assignment the value counts, without the name before it.
+    assigned = lambda s: F.when(s["kind"] == KINDS.index("assign"), F.regexp_extract(s["value"], ASSIGN, 2)).otherwise(s["value"])
+    values = F.transform("base", assigned)
     random = spans.select(F.lit(True).alias("random"), F.explode(values).alias("value"))
-    plain = spans.select(F.lit(False).alias("random"), F.explode(F.transform(clear, lambda w: w["value"])).alias("value"))
+    plain = spans.select(F.lit(False).alias("random"), F.explode(F.transform("outside", lambda w: w["value"])).alias("value"))
     return _ratios(cut(_transitions(random.unionByName(plain)), "transitions"))
 
 
 def _bits(value: Column, table: Column) -> Column:
     """Sum of the log ratios over the characters' transitions."""
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
-    steps = F.sequence(F.lit(1), F.length(value) - 1)
-    one = lambda i: F.element_at(table, F.element_at(codes, i) * SYMBOLS + F.element_at(codes, i + 1) + 1)
-    return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + one(i))
+    one = lambda a, b: F.element_at(table, a * SYMBOLS + b + 1)
+    steps = _let(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), one))
+    return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def secrets(documents: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
@@ -125,12 +177,11 @@ def secrets(documents: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
     is known of random strings, and the method adds none.
     """
     found = _base_spans(documents).withColumn("words", _candidates(F.col("text"))).drop("text")
-    found = cut(found, "secret-spans")
+    found = cut(found.select("doc_id", "base", _outside(F.col("words"), F.col("base")).alias("outside")), "secret-spans")
     ratios = train(found)
     known = any(ratios)
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
-    outside = F.filter("words", lambda w: ~F.exists("base", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
-    extra = F.filter(outside, lambda w: F.lit(known) & (_bits(w["value"], table) >= min_bits * (F.length(w["value"]) - 1)))
+    extra = F.filter("outside", lambda w: F.lit(known) & (_bits(w["value"], table) >= min_bits * (F.length(w["value"]) - 1)))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     out = found.select("doc_id", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
     return out.select("doc_id", *[count(k) for k in KINDS[:3]], (F.size("spans") - F.size("base")).cast("long").alias("n_markov"), "base", "spans")
