@@ -51,7 +51,7 @@ def plain(docs):
 
 def test_all_spans_equal_plain_ones(spark):
     rng = random.Random(2)
-    secret = lambda n=24: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    secret = lambda n=24: "".join(rng.choices("BCDEFGHJLMNPRSTUVW", k=n))
     made = [(1000 + i, f"é token={secret()}== secret:{secret()} password={secret(60)} longidentifiername_{i % 7} AKIA{'Q' * 16}, {'pass ' + secret(40) if i < 10 else ''} {string.ascii_letters + string.digits}") for i in range(100)]
     made += [(2000, "token=abcdef" * 60), (2001, "password: aaaaaaaaaaaaaaaaaaaaaaaa=bb" + " x" * 300), (2002, None), (2003, "")]
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + made
