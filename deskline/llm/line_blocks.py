@@ -30,38 +30,115 @@ from deskline.llm.frames import mapped
 WINDOW = 3  # lines
 SURGE = 80  # characters in a window at least, or
 SURGE_SHARE = 0.25  # of the page's fullest window, if that is less
+FEW = 60  # characters of text that a list of buttons may have
 MAX_LINK_SHARE = 0.5  # of a line outside articles; more is a menu
 
 _BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-# Parts whose text is never the article's.
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|button|object|canvas|audio|video|head(?=[\\s>])"
+# Elements whose text is never the article's.  Without an end tag the first two go on to the end of the page, the others to the next block.
+_SCRIPTS = {"script", "style"}
+_SKIPPED = _SCRIPTS | set("noscript template textarea title iframe svg math select button object canvas audio video".split())
 _PARTS = {"nav", "footer", "aside", "form", "menu", "dialog"}
 _PARTS_OUTSIDE = {"header"}
 _CONTAINERS = {"div", "section", "aside", "ul", "ol", "dl", "p", "span", "table", "li", "header", "figure", "a", "details"}
 _NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices banner "
     "popup modal overlay newsletter subscribe signup sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer footnav "
-    "copyright share sharing social related recommended recommendations comment comments commentlist respond disqus pagination pager toolbar".split()
+    "copyright share sharing social related recommended recommendations comment comments commentlist respond replies reply disqus pagination pager toolbar".split()
 )
+# Of these names the part is taken out however much text it has.
+_COMMENTS = {"comment", "comments", "commentlist", "respond", "replies", "reply", "disqus"}
+# These are lists of links or buttons; a part of that name with other text is none of them.
+_LINK_LISTS = {"share", "sharing", "social", "related", "recommended", "recommendations", "widget"}
 _NAMES_OUTSIDE = {"header", "masthead", "topbar", "search", "login", "hidden", "side", "skip"}
 _ARTICLES = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 _LEAVES = _HEADINGS | {"p", "br", "hr"}  # hold no other blocks
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</(?:\1)\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""",
-    re.S | re.I,
-)
+_MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+# Attributes up to the tag's end.  A quoted value with a "<" in it is read within LONG characters: what never
+# ends must not be read to the end of the page from each tag anew.
+_ATTRIBUTES = re.compile(r"""((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>""")
+_ATTRIBUTES_LONG = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_UP_TO_TAG = re.compile(r"[^<>]*+>?")
+LONG = 2048
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(_BLOCKS))})\b", re.I)
+
+
+class Token(NamedTuple):
+    start: int
+    stop: int
+    tag: str  # "" for what is no tag, or an element that is skipped whole
+    closing: bool
+    attributes: str
+
+
+def tokens_of(page: str) -> list[Token]:
+    """The tags of a page in one scan from its beginning to its end."""
+    found: list[Token] = []
+    last_end: dict[str, int] = {}  # where the last end tag of a skipped element is
+    lower = page.lower()
+    if len(lower) != len(page):  # a few letters grow when folded; places have to stay the same
+        lower = "".join(c.lower() if c.isascii() else c for c in page)
+    head: int | None = None  # where the head that is being skipped began
+    at = 0
+    while mark := _MARK.search(page, at):
+        start, at = mark.start(), mark.end()
+        if head is not None and mark[3]:  # its end tag may be left out
+            tag = mark[3].lower()
+            if tag == "head" and mark[2]:
+                head_end = at = _UP_TO_TAG.match(page, at).end()
+            elif tag in _BLOCKS - {"html", "head"} and not mark[2]:
+                head_end = start
+            else:
+                head_end = None
+            if head_end is not None:
+                found.append(Token(head, head_end, "", False, ""))
+                head = None
+                if head_end == at:
+                    continue
+        if mark[1]:
+            stop = page.find("-->", at)
+            at = len(page) if stop < 0 else stop + 3
+            if head is None:
+                found.append(Token(start, at, "", False, ""))
+            continue
+        rest = None
+        if mark[3]:
+            rest = _ATTRIBUTES.match(page, at) or _ATTRIBUTES_LONG.match(page, at, min(len(page), at + LONG))
+        attributes = rest[1] if rest else ""
+        at = rest.end() if rest else _UP_TO_TAG.match(page, at).end()
+        tag, closing = (mark[3] or "").lower(), bool(mark[2])
+        if tag == "head" and not closing:
+            head = start if head is None else head
+            continue
+        if closing or attributes.endswith("/") or tag not in _SKIPPED:
+            if head is None:
+                found.append(Token(start, at, tag if tag not in _SKIPPED else "", closing, attributes))
+            continue
+        if tag not in last_end:
+            last_end[tag] = lower.rfind(f"</{tag}")
+        if last_end[tag] >= at:
+            at = _UP_TO_TAG.match(page, lower.index(f"</{tag}", at) + 1).end()
+        else:
+            end = None if tag in _SCRIPTS else _BLOCK.search(page, at)
+            at = end.start() if end else len(page)
+        if head is None:
+            found.append(Token(start, at, "", False, ""))
+    if head is not None:
+        found.append(Token(head, len(page), "", False, ""))
+    return found
+
+
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-def _is_part(tag: str, attributes: str, inside: bool) -> bool:
+def _is_part(tag: str, attributes: str, inside: bool, most: bool, linked: bool) -> bool:
+    """Whether an element is taken out; `most`: it has most of the page's text; `linked`: most of its own is in links, or there is little."""
     if tag in _PARTS or (tag in _PARTS_OUTSIDE and not inside):
         return True
     if tag not in _CONTAINERS or not attributes:
@@ -69,7 +146,12 @@ def _is_part(tag: str, attributes: str, inside: bool) -> bool:
     if _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", lambda m: m[0] if "none" in m[0] or "true" in m[0] else '""', attributes)):
         return True
     words = {w for value in _ATTRIBUTE.findall(attributes) for w in _WORD.findall(value.lower())}
-    return bool(words & _NAMES) or (not inside and bool(words & _NAMES_OUTSIDE))
+    if words & _COMMENTS:
+        return True
+    if most:
+        return False
+    named = words & _NAMES
+    return bool(named if linked else named - _LINK_LISTS) or (not inside and bool(words & _NAMES_OUTSIDE))
 
 
 class Line(NamedTuple):
@@ -81,20 +163,37 @@ class Line(NamedTuple):
     apart: bool  # something was taken out before it
 
 
-def _ends(tokens: list[re.Match[str]]) -> dict[int, int]:
+def _ends(tokens: list[Token]) -> dict[int, int]:
     """The token that ends an element, by the one that begins it; not of unclosed elements."""
     ends: dict[int, int] = {}
     begun: dict[str, list[int]] = {}
     for i, token in enumerate(tokens):
-        tag = (token[3] or "").lower()
-        if tag and not token[2]:
-            if not token[4].endswith("/"):
+        tag = token.tag
+        if tag and not token.closing:
+            if not token.attributes.endswith("/"):
                 begun.setdefault(tag, []).append(i)
         elif begun.get(tag):
             ends[begun[tag].pop()] = i
     return ends
 
 
+def _sizes(page: str, tokens: list[Token]) -> tuple[list[int], list[int]]:
+    """How many characters of text, and of text in links, come before each token and before the end."""
+    size, in_links = [], []
+    text = linked = depth = at = 0
+    for token in tokens:
+        n = len("".join(page[at : token.start].split()))
+        at = token.stop
+        text += n
+        linked += n if depth else 0
+        if token.tag == "a":
+            depth = 0 if token.closing else 1
+        size.append(text)
+        in_links.append(linked)
+    n = len("".join(page[at:].split()))
+    return [*size, text + n], [*in_links, linked + (n if depth else 0)]
+
+
 def lines_of(page: str, whole_parts: bool = True) -> list[Line]:
     """The lines of text.  A part is left out up to its own end; without one, up to where an article begins or ends.
 
@@ -107,9 +206,10 @@ def lines_of(page: str, whole_parts: bool = True) -> list[Line]:
     apart, heading = False, False
     open_: list[tuple[str, int]] = [("", 0)]
     count: Counter[str] = Counter()
-    tokens = list(_TOKEN.finditer(page))
+    tokens = tokens_of(page)
     ends = _ends(tokens)
-    marks = [i for i, token in enumerate(tokens) if (token[3] or "").lower() in _ARTICLES]
+    size, in_links = _sizes(page, tokens)
+    marks = [i for i, token in enumerate(tokens) if token.tag in _ARTICLES]
     limits = [len(tokens)]  # where the open articles end; no part in one goes on beyond it
     until = -1  # the token that ends the part being left out
     part = False  # in one without an end
@@ -134,24 +234,26 @@ def lines_of(page: str, whole_parts: bool = True) -> list[Line]:
     at = 0
     for i, token in enumerate(tokens):
         if i <= until:
-            at = token.end()
+            at = token.stop
             continue
-        add(page[at : token.start()])
-        at = token.end()
-        tag = (token[3] or "").lower()
+        add(page[at : token.start])
+        at = token.stop
+        tag = token.tag
         if not tag:
             continue
-        closing = bool(token[2])
+        closing = token.closing
         if part:
             if not (tag in _ARTICLES and closing == (articles > 0)):
                 continue
             part = False
-        attributes = token[4]
-        if not closing and not attributes.endswith("/") and _is_part(tag, attributes, articles > 0):
+        attributes = token.attributes
+        stop = ends.get(i, len(tokens))
+        own = size[stop] - size[i]
+        linked_part = own < FEW or 2 * (in_links[stop] - in_links[i]) > own
+        if not closing and not attributes.endswith("/") and _is_part(tag, attributes, articles > 0, 2 * own > size[-1], linked_part):
             if tag in _BLOCKS:
                 end()
                 apart = True
-            stop = ends.get(i, len(tokens))
             if stop >= limits[-1] or (not whole_parts and bisect_right(marks, i) < bisect_right(marks, stop)):
                 part = True
             else:
