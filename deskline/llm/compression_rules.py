@@ -71,8 +71,10 @@ def _bands(compressor: zstandard.ZstdCompressor, data: bytes) -> tuple[float | N
         return None, 0.0, True
     whole = _ratio(compressor, data)
     low, high = next((low, high) for below, low, high in WHOLE_BANDS if len(data) < below)
-    chunks = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
-    ratios = [_ratio(compressor, c) for c in chunks if len(c) * 2 >= CHUNK]
+    # A last chunk of less than half the size goes with the one before, so that all of the text is judged.
+    edges = [*range(0, max(len(data) - CHUNK // 2, 1), CHUNK), len(data)]
+    chunks = [data[i:j] for i, j in zip(edges, edges[1:])]
+    ratios = [_ratio(compressor, c) for c in chunks if len(c) * 2 >= CHUNK]  # a text of one short chunk has its whole ratio only
     bad = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in ratios) / len(ratios) if ratios else 0.0
     return whole, bad, low <= whole <= high and bad <= MAX_BAD_CHUNKS
 
@@ -90,7 +92,8 @@ def judged(documents: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent:
     `min_words` words, or more than `max_repeat_percent` % of them in 3-word windows
     that occur again in the text.  kept: not base_failed, and neither the whole
     text's compression ratio nor more than a third of its chunks' lie outside
-    their bands (too low: repetitive; too high: incompressible).  `ratio` is null
+    their bands (too low: repetitive; too high: incompressible).  A last chunk of under
+    half the size counts with the one before it.  `ratio` is null
     for a text without bytes.  A null text has no words.  Every row gives one row.
     """
 

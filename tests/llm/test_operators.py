@@ -142,6 +142,13 @@ def test_compression_bands():
     half = prose * 1 + b"again and " * 900  # whole ratio passes or not, the chunks tell
     assert not compression_rules._bands(compressor, half)[2]
     assert compression_rules._bands(compressor, b"") == (None, 0.0, True)
+    size = compression_rules.CHUNK
+    for length in (1, size // 2 - 1, size // 2, size, size + 1, size + size // 2 - 1, size + size // 2, 3 * size - 1, 3 * size + 5):
+        seen = []
+        probe = type("Probe", (), {"compress": lambda self, data: seen.append(len(data)) or b"x" * (len(data) // 2)})()
+        compression_rules._bands(probe, b"a" * length)
+        judged = seen[1:]  # after the whole text
+        assert sum(judged) == (length if 2 * length >= size else 0) and all(size <= 2 * n < 3 * size for n in judged)
 
 
 def test_segments_are_maximal():
