@@ -72,7 +72,7 @@ def _bands(compressor: zstandard.ZstdCompressor, data: bytes) -> tuple[float | N
     whole = _ratio(compressor, data)
     low, high = next((low, high) for below, low, high in WHOLE_BANDS if len(data) < below)
     # A last chunk of less than half the size goes with the one before, so that all of the text is judged.
-    edges = [*range(0, max(len(data) - CHUNK // 2, 1), CHUNK), len(data)]
+    edges = [*range(0, max(len(data) - CHUNK // 2 + 1, 1), CHUNK), len(data)]
     chunks = [data[i:j] for i, j in zip(edges, edges[1:])]
     ratios = [_ratio(compressor, c) for c in chunks if len(c) * 2 >= CHUNK]  # a text of one short chunk has its whole ratio only
     bad = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in ratios) / len(ratios) if ratios else 0.0
