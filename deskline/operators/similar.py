@@ -21,7 +21,8 @@ first, then lower id, so it does not depend on how the work was split.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,15 @@ SLACK = 1e-6  # on similarities, far above rounding and arccos error
 BLOCK_ELEMENTS = 4_000_000  # similarities computed at a time in a task
 
 
+class Cells(NamedTuple):
+    """Pivots; per cell the number of its vectors (or more) and between which angles from its pivot they lie."""
+
+    pivots: np.ndarray
+    sizes: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
 # ---- small helpers used inside tasks ---------------------------------------
 
 
@@ -228,13 +238,37 @@ def _counts(df: DataFrame) -> dict[int, int]:
     return {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
 
 
-def _pivots(corpus: DataFrame, wanted: int) -> np.ndarray:
+def cells_wanted(size: int, chunk_rows: int) -> int:
+    return max(1, min(MAX_CELLS, math.isqrt(size) // 4, size), min(MAX_CELLS, -(-size // chunk_rows)))
+
+
+def pivots_of(corpus: DataFrame, wanted: int) -> np.ndarray:
     """At most `wanted` corpus vectors, picked by a hash of the id."""
     rows = corpus.orderBy(F.xxhash64("id"), "id").limit(wanted).select("c_vec").toArrow()
     return np.unique(_unit(rows["c_vec"]), axis=0)
 
 
-def _first_copies(corpus: DataFrame, keep: int, timed: bool) -> DataFrame:
+def in_cells(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds `cell`, the nearest pivot of `c_vec`, and `angle`, the one between them."""
+    spread = T.StructType(corpus.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+    return corpus.mapInArrow(_assign_cells(pivots, _arrow(spread)), spread)
+
+
+def cell_stats(spread: DataFrame) -> DataFrame:
+    """`cell, n, low, high`, a row per cell."""
+    return spread.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+
+
+def cells_of(pivots: np.ndarray, stats: DataFrame) -> Cells:
+    """The cells with the statistics of all parts of the corpus; at most MAX_CELLS rows reach the driver."""
+    folded = stats.groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    sizes, low, high = np.zeros(len(pivots), np.int64), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    for r in folded.collect():
+        sizes[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
+    return Cells(pivots, sizes, low, high)
+
+
+def first_copies(corpus: DataFrame, keep: int, timed: bool) -> DataFrame:
     """Of vectors that are exactly equal only the first `keep` can be among the best.
 
     They tie in every query, so the earlier or lower ids win.  Hashes that occur
@@ -242,10 +276,10 @@ def _first_copies(corpus: DataFrame, keep: int, timed: bool) -> DataFrame:
     only rows with such a hash are ranked, by the whole vector, and thinned in
     each map task before their shuffle.  All other rows stay where they are.
     """
-    hashed = corpus.withColumn("_hash", F.xxhash64("c_vec"))
+    hashed = corpus if "_hash" in corpus.columns else corpus.withColumn("_hash", F.xxhash64("c_vec"))
     crowded = cut(hashed.groupBy("_hash").count().where(F.col("count") > keep).select("_hash"), "crowded")
     if crowded.isEmpty():
-        return corpus
+        return hashed.drop("_hash")
     order = [F.asc("c_at"), F.asc("id")] if timed else [F.asc("id")]
     copies = Window.partitionBy("_hash", "c_vec").orderBy(*order)
     frequent = frequent_keys(hashed, "_hash")
@@ -254,14 +288,14 @@ def _first_copies(corpus: DataFrame, keep: int, timed: bool) -> DataFrame:
     return join_on_key(hashed, crowded, "_hash", "left_anti", frequent).unionByName(first).drop("_hash")
 
 
-def _length(corpus: DataFrame) -> int | None:
+def length_of(corpus: DataFrame) -> int | None:
     """The length that most vectors of the corpus have."""
     counts = corpus.where(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("n")).count()
     row = counts.orderBy(F.desc("count"), "n").first()
     return row["n"] if row else None
 
 
-def _is_usable(length: int | None) -> Column:
+def is_usable(length: int | None) -> Column:
     if not length:
         return F.lit(False)
     return F.coalesce((F.size("embedding") == length) & ~F.exists("embedding", lambda x: x.isNull()), F.lit(False))
@@ -269,7 +303,7 @@ def _is_usable(length: int | None) -> Column:
 
 def refused_vectors(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     """The rows whose `embedding` a search of the corpus leaves out."""
-    return rows.where(~_is_usable(_length(corpus)))
+    return rows.where(~is_usable(length_of(corpus)))
 
 
 def nearest(
@@ -295,53 +329,67 @@ def nearest(
     if category is not None:
         corpus = corpus.where(F.col("category") == category)
     at = F.col("at").cast("bigint") if as_of else F.lit(0).cast("bigint")
-    length = _length(corpus)
-    q = queries.where(_is_usable(length)).select(
+    length = length_of(corpus)
+    q = queries.where(is_usable(length)).select(
         "query_id", F.col("embedding").alias("q_vec"), at.alias("q_at")
     )
-    c = corpus.where(_is_usable(length)).select(
+    c = corpus.where(is_usable(length)).select(
         "id", F.col("embedding").alias("c_vec"), at.alias("c_at"), "category"
     )
     if as_of:  # without a time nothing is known to be earlier
         q, c = q.where(F.col("q_at").isNotNull()), c.where(F.col("c_at").isNotNull())
     need = k + 1 if exclude_self else k
     size = c.count()
-    found = _search_cells(q, c, need, size, as_of, exclude_self, chunk_rows)
+    pivots = pivots_of(c, cells_wanted(size, chunk_rows))
+    if len(pivots):
+        # Written once: both passes have to see the same cells.
+        c = cut(in_cells(first_copies(c, need, as_of), pivots), "cells")
+        found, _ = search_cells(q, lambda _: c, cells_of(pivots, cell_stats(c)), need, as_of, exclude_self, chunk_rows)
+    else:  # nothing to find
+        block = {name: F.lit(0) for name in ("cell", "c_chunk", "q_chunk")}
+        found = _search(q.withColumns(block), c.withColumns(block), need, as_of)
+    return best_of(found, k, as_of, exclude_self)
+
+
+def best_of(found: DataFrame, k: int, timed: bool, exclude_self: bool) -> DataFrame:
+    """`query_id, rank, id, category, similarity` from what the blocks found."""
     if exclude_self:
         found = found.where(F.col("query_id") != F.col("id"))
     similarity = F.least(F.greatest(F.col("sim"), F.lit(0.0)), F.lit(1.0))
-    return _ranked(found, k, as_of).select(
+    return _ranked(found, k, timed).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "id", "category", similarity.alias("similarity")
     )
 
 
-def _search_cells(
-    q: DataFrame, c: DataFrame, need: int, size: int, timed: bool, exclude_self: bool, chunk_rows: int
-) -> DataFrame:
-    pivots = _pivots(c, max(1, min(MAX_CELLS, math.isqrt(size) // 4, size), min(MAX_CELLS, -(-size // chunk_rows))))
-    if not len(pivots):  # nothing to find
-        block = {name: F.lit(0) for name in ("cell", "c_chunk", "q_chunk")}
-        return _search(q.withColumns(block), c.withColumns(block), need, timed)
-    spread = T.StructType(c.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
-    # Written once: both passes have to see the same cells.
-    c = cut(_first_copies(c, need, timed).mapInArrow(_assign_cells(pivots, _arrow(spread)), spread), "cells")
-    stats = {
-        r["cell"]: r
-        for r in c.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-        .collect()
-    }
-    sizes = {cell: r["n"] for cell, r in stats.items()}
-    cell_ids = range(len(pivots))
-    n = np.array([sizes.get(i, 0) for i in cell_ids])
-    low = np.array([stats[i]["low"] if i in stats else np.inf for i in cell_ids])
-    high = np.array([stats[i]["high"] if i in stats else -np.inf for i in cell_ids])
+def search_cells(
+    q: DataFrame,
+    rows_in: Callable[[list[int]], DataFrame],
+    cells: Cells,
+    need: int,
+    timed: bool,
+    exclude_self: bool,
+    chunk_rows: int,
+) -> tuple[DataFrame, int]:
+    """(what both passes find, the pairs of vectors they compare at most).
+
+    rows_in gives the corpus rows of some cells, each with its `cell`; rows of other
+    cells do no harm.  The cells' sizes and angles may be wider than the rows are.
+    """
+    pivots, n, low, high = cells
+    sizes = dict(enumerate(n.tolist()))
+
+    def blocks(asked: DataFrame, counts: dict[int, int]) -> DataFrame:
+        counts = {cell: count for cell, count in counts.items() if sizes[cell]}
+        return _search(*_in_blocks(asked, rows_in(sorted(counts)), _cell_table(q, sizes, counts, chunk_rows)), need, timed)
+
+    def pairs(counts: dict[int, int]) -> int:
+        return sum(count * sizes[cell] for cell, count in counts.items())
 
     with_cells = T.StructType(q.schema.fields + [T.StructField("cells", T.ArrayType(T.IntegerType()))])
     q = cut(q.mapInArrow(_near_cells(pivots, n, need, _arrow(with_cells)), with_cells), "queries")
     near = q.select("query_id", "q_vec", "q_at", F.explode("cells").alias("cell"))
-    first = _search(*_in_blocks(near, c, _cell_table(q, sizes, _counts(near), chunk_rows)), need, timed)
-    first = cut(_ranked(first, need, timed).drop("rank"), "nearest")
+    near_counts = _counts(near)
+    first = cut(_ranked(blocks(near, near_counts), need, timed).drop("rank"), "nearest")
 
     usable = first.where(F.col("query_id") != F.col("id")) if exclude_self else first
     wanted = need - 1 if exclude_self else need
@@ -357,9 +405,8 @@ def _search_cells(
     )
     counts = _counts(rest)
     if not counts:
-        return first
-    second = _search(*_in_blocks(rest, c, _cell_table(q, sizes, counts, chunk_rows)), need, timed)
-    return first.unionByName(second)
+        return first, pairs(near_counts)
+    return first.unionByName(blocks(rest, counts)), pairs(near_counts) + pairs(counts)
 
 
 def with_documents(neighbours: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -120,3 +120,33 @@ MANIFEST = T.StructType(
         T.StructField("files", T.MapType(T.StringType(), T.StringType())),
     ]
 )
+
+# What a vector index consists of: its pivots, and for each batch of the store the folders made from it.
+INDEX_MANIFEST = T.StructType(
+    [
+        T.StructField("attempt", T.LongType()),
+        T.StructField(
+            "generation",
+            T.StructType(
+                [
+                    T.StructField("folder", T.StringType()),
+                    T.StructField("length", T.IntegerType()),
+                    T.StructField("rows", T.LongType()),
+                ]
+            ),
+        ),
+        T.StructField(
+            "parts",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("batch", T.LongType()),
+                        T.StructField("source", T.StringType()),
+                        T.StructField("name", T.StringType()),
+                        T.StructField("rows", T.LongType()),
+                    ]
+                )
+            ),
+        ),
+    ]
+)

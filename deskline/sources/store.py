@@ -73,13 +73,14 @@ class Store:
         manifest = self.spark.createDataFrame([(batch, attempt, base, files)], schemas.MANIFEST)
         manifest.coalesce(1).write.mode("append").parquet(f"{self.root}/manifests")
 
-    def _paths(self, table: str, before: int | None) -> dict[int, str]:
+    def files(self, table: str, before: int | None = None) -> dict[int, str]:
+        """The folder of each batch that has written the table, by number."""
         found = {m["batch"]: m["files"][table] for m in self.manifests() if table in m["files"]}
         return {n: path for n, path in found.items() if before is None or n < before}
 
     def read(self, table: str, before: int | None = None) -> DataFrame:
         """The rows of all batches, or of those with a lower number, as they were written."""
-        return self._rows(table, list(self._paths(table, before).values()))
+        return self._rows(table, list(self.files(table, before).values()))
 
     def _rows(self, table: str, paths: list[str]) -> DataFrame:
         if not paths:
@@ -94,7 +95,7 @@ class Store:
 
     def vectors(self, before: int | None = None) -> DataFrame:
         """One row per id: the update of the highest batch, none where that is a deletion."""
-        paths = self._paths("vectors", before)
+        paths = self.files("vectors", before)
         columns = schemas.VECTORS.fieldNames()
         if not paths:
             return self._rows("vectors", []).select(*columns)
@@ -111,7 +112,7 @@ class Store:
 
     def pending(self, before: int | None = None) -> DataFrame:
         """Corrections that wait for their tickets: those that the last batch with corrections left."""
-        paths = self._paths("pending", before)
+        paths = self.files("pending", before)
         return self._rows("pending", [paths[max(paths)]] if paths else [])
 
     # ---- upkeep ---------------------------------------------------------------------

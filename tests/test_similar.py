@@ -114,12 +114,12 @@ def test_copies_are_thinned_to_the_first_ones(spark):
     same = [r for r in rows if np.array_equal(r[1], rows[0][1])]
     assert len(same) == 80
     for timed, key in ((False, lambda r: r[0]), (True, lambda r: (r[2], r[0]))):
-        thin = similar._first_copies(c, 4, timed)
+        thin = similar.first_copies(c, 4, timed)
         assert thin.count() == 160 + 4
         kept = {r.id for r in thin.collect()} & {r[0] for r in same}
         assert kept == {r[0] for r in sorted(same, key=key)[:4]}
         assert "WindowGroupLimit" in plan_of(thin)
-    assert similar._first_copies(c.where(c.id % 3 != 0), 4, False).count() == 160
+    assert similar.first_copies(c.where(c.id % 3 != 0), 4, False).count() == 160
 
 
 def test_documents_and_references(spark):
