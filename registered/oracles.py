@@ -92,12 +92,13 @@ from tickets t left join latest l on l.ticket_id = t.id"""
 _SIM = "list_cosine_similarity({a}::double[], {b}::double[])"
 
 
-def _nearest(k: int, on: str) -> str:
+def _nearest(k: int, on: str, id_type: str = "bigint") -> str:
     return _with(
         "vectors",
         f"""select query_id, rank, id, category, least(greatest(sim, 0.0::double), 1.0::double) as similarity from (
   select *, row_number() over (partition by query_id order by sim desc, id) as rank from (
-    select q.id as query_id, c.id, c.category, round({_SIM.format(a='q.embedding', b='c.embedding')}, 9) as sim
+    select cast(q.id as {id_type}) as query_id, cast(c.id as {id_type}) as id, c.category,
+      round({_SIM.format(a='q.embedding', b='c.embedding')}, 9) as sim
     from vectors q join vectors c on {on})) where rank <= {k}""",
     )
 
@@ -327,6 +328,7 @@ where n > total // 2 // {Q.DEEP_LIMIT} * {Q.DEEP_LIMIT} and n <= total // 2 // {
         ),
         "similar_topk": _nearest(5, "c.id <> q.id"),
         "similar_topk_filtered": _nearest(5, "c.id <> q.id and c.category = 'label_3'"),
+        "similar_stored": _nearest(5, "c.id <> q.id", "varchar"),
         "similar_asof": _nearest(3, "c.id < q.id"),
         "neighbour_vote": _with(
             "vectors",

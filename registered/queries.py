@@ -16,6 +16,7 @@ from deskline.plans.overview import day_figures, flat, folded, overview_flat, ov
 from deskline.session import cut, work_dir
 from deskline.sources.store import Store
 from deskline.sources.tables import append, status_of
+from deskline.sources.vector_index import VectorIndex
 from deskline.streaming import jobs
 from registered.views import INTAKE, LANGUAGE_RULES, TICKETS, Given
 
@@ -228,6 +229,26 @@ def neighbour_vote(given: Given) -> DataFrame:
     return similar.vote(_neighbours(given, k=CONTEXT_NEIGHBOURS, as_of=True))
 
 
+@query
+def similar_stored(given: Given) -> DataFrame:
+    """Neighbours by the index beside a store, which followed it over four batches: two with vectors, replacements, deletions."""
+    store = Store(given.spark, work_dir(given.spark, "indexed"))
+    index = VectorIndex(store)
+    stored = _stored_vectors(given)
+    part = F.pmod(F.col("id"), F.lit(5))
+    mistaken = stored.where(part == 0).withColumn("embedding", F.transform("embedding", lambda x: -x))
+    withdrawn = stored.where(part == 1).withColumn("id", -F.col("id") - 1)
+    store_plan.store_vectors(store, 0, stored.where(part.isin(1, 2)).unionByName(mistaken).unionByName(withdrawn))
+    index.follow()
+    store_plan.store_vectors(store, 1, stored.where(part > 2))
+    index.follow()
+    store_plan.store_vectors(store, 2, stored.where(part == 0))
+    store_plan.delete_vectors(store, 3, withdrawn)
+    index.follow()
+    asked = stored.select(F.col("id").cast("string").alias("query_id"), "embedding")
+    return index.nearest(asked, exclude_self=True)
+
+
 @query
 def prompt_context(given: Given) -> DataFrame:
     stored = given.vectors()
