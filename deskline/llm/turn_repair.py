@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -321,7 +322,7 @@ def _pieced(rows: DataFrame, conv_field: T.StructField) -> DataFrame:
 
 def _piece(table: pa.Table) -> tuple[list[tuple], list[int], list[str]]:
     """(turn, role, text) rows of a piece in order, their codes and faults."""
-    table = table.filter(pa.compute.invert(table["gone"])).sort_by("place")
+    table = table.filter(pc.invert(table["gone"])).sort_by("place")
     rows = list(zip(*[table[c].to_pylist() for c in ("turn", "role", "text")], strict=True))
     kinds = [_code(role, text, bool(seen)) for (_, role, text), seen in zip(rows, table["seen"].to_pylist(), strict=True)]
     return rows, [c for c, _ in kinds], [f for _, f in kinds]

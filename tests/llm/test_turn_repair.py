@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from tests.llm import brute
 
@@ -67,3 +69,11 @@ def test_repaired_text(spark):
     rows = [(1, 1, "system", "s."), (1, 2, "user", "q?"), (1, 3, "user", "r."), (1, 4, "assistant", "cut"), (1, 5, "user", " ")]
     [got] = turn_repair.repaired(spark.createDataFrame(rows, SCHEMA)).collect()
     assert (got["audit"], got["cost"], got["text"]) == ("KKRDD", 5, "system:s.\nuser:q?\nassistant:r.")
+
+
+def test_piece_of_rows_where_nothing_else_has_imported_compute(monkeypatch):
+    columns = {"gone": [False, True, False], "place": [2, 1, 0], "turn": [1, 0, 0], "role": ["user", "s", "system"], "text": ["a.", "b", "c"], "seen": [False] * 3}
+    table = pa.table(columns)
+    monkeypatch.delattr(pa, "compute")
+    rows, _, faults = turn_repair._piece(table)
+    assert rows == [(0, "system", "c"), (1, "user", "a.")] and faults == ["truncated", ""]
