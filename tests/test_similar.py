@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.conftest import plan_of
@@ -130,3 +133,22 @@ def test_documents_and_references(spark):
     refs = {r.query_id: r.similar_tickets for r in similar.neighbour_refs(found).collect()}
     for q, listed in collected(found).items():
         assert [(int(r.id), r.similarity) for r in refs[q]] == [(i, pytest.approx(s, abs=0.006)) for i, s in listed]
+
+
+@pytest.mark.parametrize("early", [True, False])
+def test_a_group_needs_little_more_than_its_block_where_very_many_tie(early):
+    n, dim = 4096, 8
+    edges = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
+    vectors = np.ones((n, dim)) if not early else np.random.default_rng(1).normal(size=(n, dim))
+    listed = pa.ListArray.from_arrays(edges, pa.array(vectors.ravel()))
+    ids, at = pa.array(np.arange(n)), pa.array(np.arange(n))
+    asked = pa.array(np.full(n, 2 if early else n))  # two rows are earlier, or all of them, which tie
+    queries = pa.table({"query_id": ids, "q_vec": listed, "q_at": asked, "bound": pa.array(np.full(n, -2.0))})
+    corpus = pa.table({"id": ids, "c_vec": listed, "c_at": at, "category": pa.array(["c"] * n)})
+    out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("category", pa.string()), ("at", pa.int64()), ("sim", pa.float64())])
+    tracemalloc.start()
+    found = similar._search_group(3, True, out)(queries, corpus)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == n * (2 if early else 3) and max(found["id"].to_pylist()) == (1 if early else 2)
+    assert peak < 4.5 * 8 * similar.BLOCK_ELEMENTS
