@@ -57,18 +57,27 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(edges, n-grams): one n-gram per byte of each text, before whose start line ends are assumed."""
+def _grams(column: pa.Array, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, n-grams): one n-gram per byte of each text, or per byte of `at`; before a text's start line ends are assumed."""
     data, offsets = W.bytes_of(column)
-    pad = ORDER - 1
-    n = len(offsets) - 1
-    symbols = np.full(len(data) + pad * n, 2, np.int32)
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    place = np.arange(len(data)) + pad * (owner + 1)
-    symbols[place] = _CLASS[data]
-    grams = np.zeros(len(data), np.int32)
-    for k in range(ORDER):
-        grams |= symbols[place - k] << (BITS * k)
+    if at is not None:
+        symbols = _CLASS[data]
+        grams = symbols[at].astype(np.int32)
+        far = np.full(len(data), ORDER, np.uint8)  # from the text's start, ORDER at most
+        for k in range(ORDER - 1, -1, -1):
+            far[offsets[:-1][np.diff(offsets) > k] + k] = k
+        far = far[at]
+        for k in range(1, ORDER):
+            grams |= np.where(far < k, 2, symbols[np.maximum(at - k, 0)]).astype(np.int32) << (BITS * k)
+        return offsets, grams
+    symbols = _CLASS[data].astype(np.int32)
+    grams = symbols.copy()
+    for k in range(1, ORDER):
+        before = np.full(len(data), 2, np.int32)
+        before[k:] = symbols[:-k]
+        for j in range(k):
+            before[offsets[:-1][np.diff(offsets) > j] + j] = 2
+        grams |= before << (BITS * k)
     return offsets, grams
 
 
@@ -201,9 +210,11 @@ def _model(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarr
     """(trusted ids, table of surprises of symbols, `_key, _words` of all documents)"""
     trusted = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id"))
     trusted = cut(trusted.where(F.col("doc_id").isNotNull()).distinct(), "trusted")
-    own = matched(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trusted, "doc_id", "left_semi")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = matched(texts, trusted, "doc_id", "left_semi")
     model = train(own)
-    return trusted, model, word_ngrams.bits(documents.select("text"), word_ngrams.train(own), model, STEPS, _grams)
+    marked = matched(texts, trusted.withColumn("_trusted", F.lit(True)), "doc_id", "left").select("text", F.col("_trusted").isNotNull().alias("_trusted"))
+    return trusted, model, word_ngrams.bits(marked, word_ngrams.train(own), model, STEPS, _grams)
 
 
 def _judged(scored: DataFrame, limits: tuple[DataFrame, dict]) -> DataFrame:

@@ -1,33 +1,55 @@
-"""Word n-grams under interpolated modified Kneser-Ney, as tables that grow with the trusted text.
+"""Word n-grams under interpolated modified Kneser-Ney, which grow with the trusted text.
 
 Words are runs of bytes that are no white space, with the white space after them.
 What no n-gram knows is spelled by the symbol model of `kneser_ney`.  There are
 two models, each of one half of the trusted texts (by a hash of the text): a text
 is scored by the model that has not seen it, so trusted texts and others compare.
-N-grams are 64-bit hashes that also tell the model.  Counting, continuation
-counts, contexts and lookups are aggregates and joins in Spark.
+
+An n-gram of order 3 is dealt to a bucket by its middle word, as three words of 48
+bits in a packed run of its task's n-grams.  In a bucket meet the trusted n-grams
+and those to be looked up, so n-grams, contexts, continuation counts and shares of
+the orders 3 and 2 are found there and never written.  Words alone are counted by
+an aggregate; the commonest go to every task, the others to the buckets that ask
+for them by a join.  Lookups run in rounds, each over the middle words of one
+residue, and a round's shuffle is given back when it ends, so what is on disk at a
+time is a fraction of the n-grams.  A bucket returns a text's bits as one sum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskline.llm import words as W
-from deskline.llm.frames import arrow_schema, mapped, matched
-from deskline.session import cut
+from deskline.llm.frames import BROADCAST_IDS, arrow_schema
+from deskline.session import cut, freed
 
 _CODES = np.random.default_rng(5).integers(1, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_START = np.uint64(0x5851F42D4C957F2D)  # before a text's first word
+_WORD = np.uint64(2**48 - 1)
+_START = np.uint64(0x5851F42D4C957F2D) & _WORD  # before a text's first word
+ROUNDS = 5
+BUCKET_BYTES = 3 << 20  # of text per bucket of a round, about 500,000 n-grams
+TASK_GRAMS = 1 << 20  # n-grams that a task packs together, and
+TASK_TEXTS = 1 << 16  # texts
+_TRUSTED, _LOOKED_UP, _RARE = 0, 1, 2
+_FOR_TRAINING, _FOR_BITS = 1, 2  # uses of a text
+_PACKED = "bucket int, kind int, source long, n int, data binary"
+_COUNTED = "order int, gram long, n long"
+_SUMS = "_key long, _words double"
 
 
 class Tables(NamedTuple):
-    """own: discounted share of a seen n-gram; weight: what a context leaves to the shorter n-gram."""
+    """own: discounted share of a seen n-gram; weight: what a context leaves to the shorter n-gram.
+
+    Computed when asked for; `bits` finds the same numbers in its buckets.
+    """
 
     own3: DataFrame
     weight3: DataFrame
@@ -35,107 +57,445 @@ class Tables(NamedTuple):
     weight2: DataFrame
     own1: DataFrame
     weight1: DataFrame
+    trusted: DataFrame  # fold, text
+    words: DataFrame  # gram (word and model), n
+    discounts: dict[int, list[float]]  # by order
+    totals: dict[int, tuple[float, float]]  # by model: of all words' counts, and what their discounts leave
+
 
+class _Grams(NamedTuple):
+    """For each word w3 after w1 w2."""
 
-class _Places(NamedTuple):
     owner: np.ndarray
     start: np.ndarray
     stop: np.ndarray  # where the next word of the text begins, or its end
-    grams: list[np.ndarray]  # tri, bi, ctx, uni, mid
+    w1: np.ndarray
+    w2: np.ndarray
+    w3: np.ndarray
+
+
+class _Counts(NamedTuple):
+    """The trusted n-grams of a bucket, sorted: hashes that also tell the model, and their counts."""
+
+    tri: np.ndarray
+    n3: np.ndarray
+    ctx: np.ndarray
+    at3: np.ndarray  # an n-gram's place in ctx
+    bi: np.ndarray
+    n2: np.ndarray
+    mid: np.ndarray
+    at2: np.ndarray  # a pair's place in mid
+    gram: np.ndarray  # of a pair, its second word and model
 
 
 def fold(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
 
 
-def _places(column: pa.Array, model: np.ndarray) -> _Places:
-    """For each word w3 after w1 w2: the hashes of w1 w2 w3, w2 w3, w1 w2, w3, w2 in a text's model."""
+# ---- packed runs of n-grams ---------------------------------------------------
+
+
+def _grams(column: pa.Array) -> _Grams:
     words = W.words_of(column)
     _, offsets = W.bytes_of(column)
     owner = np.repeat(np.arange(len(column)), np.diff(words.first))
     place = np.arange(len(owner)) - words.first[owner]
-    before = [words.hash]
+    before = [words.hash & _WORD]
     for k in (1, 2):
         some = np.full(len(owner), _START, np.uint64)
-        some[k:] = words.hash[:-k]
+        some[k:] = before[0][:-k]
         some[place < k] = _START
         before.append(some)
-    w3, w2, w1 = before
-    seed = W.mix(model.astype(np.uint64) + np.uint64(1))[owner]
-    uni, mid = (W.mix(w * _CODES[0] + seed) for w in (w3, w2))
-    bi, ctx = W.mix(uni + w2 * _CODES[1]), W.mix(mid + w1 * _CODES[1])
-    tri = W.mix(bi + w1 * _CODES[2])
     last = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
     stop = np.where(last, offsets[owner + 1], np.append(words.start[1:], 0)[: len(owner)])
-    return _Places(owner, words.start, stop, [tri, bi, ctx, uni, mid])
+    return _Grams(owner, words.start, stop, before[2], before[1], before[0])
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each value, byte by byte, so that those which are mostly 0 take no place when compressed."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _values(data: memoryview, n: int, width: int) -> tuple[np.ndarray, memoryview]:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data[: n * width], np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(n), data[n * width :]
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return values[first], np.diff(np.append(first, len(values)))
+
+
+def _packed(buckets: int, source: int, kind: int, columns: dict[str, np.ndarray], texts: tuple[np.ndarray, ...]) -> Iterator[tuple]:
+    """A row per bucket.  texts: of what `text` counts, key, model and use."""
+    bucket = _bucket(columns["w2"], buckets)
+    order = np.lexsort((columns["w2"], bucket))
+    columns = {k: v[order] for k, v in columns.items()}
+    which, sizes = _runs(bucket[order])
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    for b, lo, hi in zip(which.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        some = {k: v[lo:hi] for k, v in columns.items()}
+        w2, times = _runs(some.pop("w2"))
+        out = [np.array([len(w2)], "<u8").tobytes(), _planes(w2, 6), _planes(times, 4)]
+        if kind == _LOOKED_UP:
+            there, some["text"] = np.unique(some["text"], return_inverse=True)
+            out += [np.array([len(there)], "<u8").tobytes(), *[_planes(t[there], w) for t, w in zip(texts, (8, 1, 1), strict=True)]]
+        out += [_planes(v, _WIDTH[k]) for k, v in some.items()]
+        yield b, kind, source, hi - lo, b"".join(out)
+
+
+_WIDTH = {"w1": 6, "w3": 6, "n": 4, "model": 1, "gram": 7, "text": 4, "spelled": 8}
+_COLUMNS = {_TRUSTED: ("w1", "w3", "n", "model"), _LOOKED_UP: ("w1", "w3", "n", "text", "spelled"), _RARE: ("gram", "n")}
+
+
+def _unpacked(kind: int, n: int, data: bytes) -> dict[str, np.ndarray]:
+    def number() -> int:
+        nonlocal rest
+        found, rest = int(np.frombuffer(rest[:8], "<u8")[0]), rest[8:]
+        return found
+
+    def values(size: int, width: int) -> np.ndarray:
+        nonlocal rest
+        found, rest = _values(rest, size, width)
+        return found
+
+    rest, out = memoryview(data), {}
+    some = number()
+    w2 = values(some, 6)
+    out["w2"] = np.repeat(w2, values(some, 4).astype(np.int64))
+    if kind == _LOOKED_UP:
+        there = number()
+        out["keys"] = values(there, 8)
+        models, uses = values(there, 1), values(there, 1)
+    out |= {k: values(n, _WIDTH[k]) for k in _COLUMNS[kind]}
+    if kind == _LOOKED_UP:
+        out |= {"model": models[out["text"].astype(np.int64)], "use": uses[out["text"].astype(np.int64)]}
+    return out
+
+
+def _round(w2: np.ndarray, rounds: int) -> np.ndarray:
+    return w2 % np.uint64(rounds)
+
+
+def _bucket(w2: np.ndarray, buckets: int) -> np.ndarray:
+    return ((w2 >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size > 1 << 22:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _dealt(texts: DataFrame, kind: int, buckets: int, of: tuple[int, int] = (0, 1), spelling=None, steps: int = 1, symbol_grams=None) -> DataFrame:
+    """Packed n-grams of `fold, text` (and `_key, use` of those looked up) whose middle word is in round `of[0]` of `of[1]`."""
+    schema = arrow_schema(_PACKED)
+
+    def found(part: pa.RecordBatch, table: np.ndarray | None) -> dict[str, np.ndarray]:
+        column, model = part.column("text"), part.column("fold").to_numpy(zero_copy_only=False)
+        at = _grams(column)
+        if of[1] > 1:
+            at = _Grams(*[x[some] for some in [np.flatnonzero(_round(at.w2, of[1]) == of[0])] for x in at])
+        tri = W.mix(W.mix(at.w2 * _CODES[0] + at.w3) * _CODES[1] + at.w1)
+        if kind == _TRUSTED:  # counts for the model of the other half
+            m = (1 - model[at.owner]).astype(np.uint64)
+            _, some, n = np.unique(tri ^ m, return_index=True, return_counts=True)
+            return {"w2": at.w2[some], "w1": at.w1[some], "w3": at.w3[some], "n": n, "model": m[some]}
+        own = W.mix(tri + at.owner.astype(np.uint64) * _CODES[2])  # an n-gram of a text
+        _, some, which, n = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+        sizes = at.stop - at.start
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.arange(edges[-1]) + np.repeat(at.start - edges[:-1], sizes)
+        total = np.concatenate([[0], np.cumsum(table[symbol_grams(column, place)[1]], dtype=np.int64)])
+        spelled = np.zeros(len(n), np.int64)
+        np.add.at(spelled, which, total[edges[1:]] - total[edges[:-1]])
+        return {"w2": at.w2[some], "w1": at.w1[some], "w3": at.w3[some], "n": n, "text": at.owner[some], "spelled": spelled}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        table = np.frombuffer(spelling.value, np.uint16) if spelling else None
+        source = TaskContext.get().partitionId() << 24
+
+        def rows() -> Iterator[tuple]:
+            nonlocal source
+            held: list[dict[str, np.ndarray]] = []
+            texts: list[pa.RecordBatch] = []
+            grams = count = 0
+
+            def packed() -> Iterator[tuple]:
+                if not grams:
+                    return
+                columns = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+                about = ()
+                if kind == _LOOKED_UP:
+                    about = tuple(np.concatenate([t.column(c).to_numpy(zero_copy_only=False) for t in texts]).astype(np.int64).view(np.uint64) for c in ("_key", "fold", "use"))
+                yield from _packed(buckets, source, kind, columns, about)
+
+            for batch in batches:
+                for part in W.slices(batch, "text"):
+                    if grams >= TASK_GRAMS or count + part.num_rows > TASK_TEXTS:
+                        yield from packed()
+                        held, texts, grams, count, source = [], [], 0, 0, source + 1
+                    more = found(part, table)
+                    if "text" in more:
+                        more["text"] = more["text"] + count
+                        texts.append(part.drop_columns(["text"]))
+                    held.append(more)
+                    grams += len(more["w2"])
+                    count += part.num_rows
+            yield from packed()
+
+        yield from _batches(rows(), schema)
 
+    return texts.mapInArrow(run, _PACKED)
 
-def _counted(trusted: DataFrame) -> DataFrame:
-    """`tri, bi, ctx, uni, mid, model, n` over all trusted texts; each counts for the model of the other half."""
-    out = "tri long, bi long, ctx long, uni long, mid long, model int, n long"
-    schema = arrow_schema(out)
 
-    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in W.slices(batch, "text"):
-            model = 1 - part.column("fold").to_numpy(zero_copy_only=False)
-            at = _places(part.column("text"), model)
-            _, some, n = np.unique(at.grams[0], return_index=True, return_counts=True)
-            columns = [pa.array(g[some].view(np.int64)) for g in at.grams]
-            columns += [pa.array(model[at.owner[some]].astype(np.int32)), pa.array(n.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+# ---- counts of a bucket -------------------------------------------------------
 
-    found = mapped(trusted.select("text", fold(F.col("text")).alias("fold")), count, out)
-    return found.groupBy("tri").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("bi", "ctx", "uni", "mid", "model")])
 
+def _read(table: pa.Table, kind: int) -> list[dict[str, np.ndarray]]:
+    some = table.filter(pc.equal(table.column("kind"), kind))
+    return [_unpacked(kind, n, data) for n, data in zip(some.column("n").to_pylist(), some.column("data").to_pylist(), strict=True)]
 
-def _shares(counts: DataFrame, gram: str, context: str, k: int) -> tuple[DataFrame, DataFrame]:
-    n = {i: v or 0 for i, v in enumerate(counts.agg(*[F.count_if(F.col("n") == i) for i in range(1, 5)]).first(), start=1)}
+
+def _joined(runs: list[dict[str, np.ndarray]], *names: str) -> list[np.ndarray]:
+    return [np.concatenate([r[k] for r in runs]) if runs else np.zeros(0, np.uint64) for k in names]
+
+
+def _hashes(model: np.ndarray, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, ...]:
+    """tri, ctx, bi, mid, gram"""
+    mid = W.mix(w2 * np.uint64(2) + model)
+    ctx, bi = W.mix(mid + w1 * _CODES[0]), W.mix(mid + w3 * _CODES[1])
+    return W.mix(bi + w1 * _CODES[2]), ctx, bi, mid, w3 * np.uint64(2) + model
+
+
+def _counts(table: pa.Table) -> _Counts:
+    runs = _read(table, _TRUSTED)
+    for r in _read(table, _LOOKED_UP):
+        some = np.flatnonzero(r["use"] & np.uint64(_FOR_TRAINING))
+        if len(some):
+            runs.append({k: r[k][some] for k in ("w2", "w1", "w3", "n")} | {"model": np.uint64(1) - r["model"][some]})
+    w2, w1, w3, n, model = _joined(runs, "w2", "w1", "w3", "n", "model")
+    tri, ctx, bi, mid, gram = _hashes(model, w1, w2, w3)
+    tri, some, which = np.unique(tri, return_index=True, return_inverse=True)
+    n3 = np.bincount(which, n.astype(np.float64), len(tri)).astype(np.int64)
+    ctx, at3 = np.unique(ctx[some], return_inverse=True)
+    bi, first, n2 = np.unique(bi[some], return_index=True, return_counts=True)
+    first = some[first]
+    mid, at2 = np.unique(mid[first], return_inverse=True)
+    return _Counts(tri, n3, ctx, at3, bi, n2, mid, at2, gram[first])
+
+
+def _discount(n: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(n, 3)]
+
+
+def _shares(n: np.ndarray, at: np.ndarray, contexts: int, d: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(own by n-gram, weight by context)"""
+    total, left = np.bincount(at, n, contexts), np.bincount(at, _discount(n, d), contexts)
+    return (n - _discount(n, d)) / total[at], left / np.maximum(total, 1)
+
+
+def _discounts(n: dict[int, int]) -> list[float]:
+    n = {i: n.get(i) or 0 for i in range(1, 5)}
     y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    d = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i - 0.1) if n[i] and n[i + 1] else 0.5 * i for i in (1, 2, 3)]
-    discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    contexts = cut(counts.groupBy(context).agg(F.sum("n").alias("total"), F.sum(discount).alias("left")), "word-contexts")
-    own = counts.join(contexts, context).select(gram, ((F.col("n") - discount) / F.col("total")).alias(f"own{k}"))
-    return cut(own, "word-shares"), contexts.select(context, (F.col("left") / F.col("total")).alias(f"weight{k}"))
+    return [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i - 0.1) if n[i] and n[i + 1] else 0.5 * i for i in (1, 2, 3)]
+
+
+def _buckets(texts: DataFrame, rounds: int = 1) -> int:
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, round(size / rounds / BUCKET_BYTES))
 
 
 def train(trusted: DataFrame) -> Tables:
-    tri = cut(_counted(trusted), "word-trigrams")
-    bi = cut(tri.groupBy("bi").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("uni", "mid", "model")]), "word-bigrams")
-    uni = cut(bi.groupBy("uni").agg(F.count("*").alias("n"), F.first("model").alias("model")), "word-unigrams")
-    return Tables(*_shares(tri, "tri", "ctx", 3), *_shares(bi, "bi", "mid", 2), *_shares(uni, "uni", "model", 1))
+    trusted = trusted.select(fold(F.col("text")).alias("fold"), "text")
+    dealt = _dealt(trusted, _TRUSTED, _buckets(trusted)).groupBy("bucket")
+    counted = arrow_schema(_COUNTED)
+
+    def count(table: pa.Table) -> pa.Table:
+        """Of order 1: a word's pairs; of the others: how many n-grams are there so often."""
+        c = _counts(table)
+        gram, n1 = np.unique(c.gram, return_counts=True)
+        orders, grams, n = [np.full(len(gram), 1, np.int32)], [gram.view(np.int64)], [n1]
+        for order, some in ((2, c.n2), (3, c.n3)):
+            orders.append(np.full(4, order, np.int32))
+            grams.append(np.arange(1, 5))
+            n.append(np.bincount(np.minimum(some, 5), minlength=6)[1:5])
+        return pa.table([np.concatenate(orders), np.concatenate(grams).astype(np.int64), np.concatenate(n).astype(np.int64)], schema=counted)
+
+    found = dealt.applyInArrow(count, _COUNTED).groupBy("order", "gram").agg(F.sum("n").alias("n"))
+    with freed(trusted.sparkSession):
+        found = cut(found, "word-counts")
+    often = {k: {r["gram"]: r["n"] for r in found.where(F.col("order") == k).collect()} for k in (2, 3)}  # four rows each
+    words = found.where(F.col("order") == 1).select("gram", F.pmod("gram", F.lit(2)).cast("int").alias("model"), "n")
+    d = {k: _discounts(n) for k, n in often.items()}
+    d[1] = _discounts({i: n or 0 for i, n in enumerate(words.agg(*[F.count_if(F.col("n") == i) for i in range(1, 5)]).first(), start=1)})
+    discount = F.element_at(F.array(*map(F.lit, d[1])), F.least("n", F.lit(3)).cast("int"))
+    by_model = words.groupBy("model").agg(F.sum("n").alias("total"), F.sum(discount).alias("left"))
+    totals = {r["model"]: (float(r["total"]), r["left"]) for r in by_model.collect()}  # two rows
+    total = functools.reduce(lambda x, m: x.when(F.col("model") == m, F.lit(totals[m][0])), totals, F.when(F.lit(False), 0.0))
+
+    def shares(name: str, of: Callable[[_Counts], np.ndarray]) -> DataFrame:
+        return dealt.applyInArrow(lambda table: pa.table({name: of(_counts(table))}), f"{name} double")
+
+    order3 = lambda c: _shares(c.n3, c.at3, len(c.ctx), d[3])
+    order2 = lambda c: _shares(c.n2, c.at2, len(c.mid), d[2])
+    return Tables(
+        shares("own3", lambda c: order3(c)[0]),
+        shares("weight3", lambda c: order3(c)[1]),
+        shares("own2", lambda c: order2(c)[0]),
+        shares("weight2", lambda c: order2(c)[1]),
+        words.select("gram", ((F.col("n") - discount) / total).alias("own1")),
+        by_model.select("model", (F.col("left") / F.col("total")).alias("weight1")),
+        trusted,
+        words.select("gram", "n"),
+        d,
+        totals,
+    )
+
+
+# ---- lookups --------------------------------------------------------------------
+
+
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which keys are there, their places)"""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return sorted_keys[at] == keys, at
+
+
+def _taken(values: np.ndarray, found: tuple[np.ndarray, np.ndarray], other: float) -> np.ndarray:
+    there, at = found
+    out = np.full(len(there), other)
+    out[there] = values[at[there]]
+    return out
+
+
+def _common(words: DataFrame) -> tuple[bytes, bytes, DataFrame | None]:
+    """The commonest words, BROADCAST_IDS at most, sorted, with their counts; the others."""
+    limits = [0, *[1 << k for k in range(50)]]
+    above = words.agg(*[F.count_if(F.col("n") > x) for x in limits]).first()
+    limit = next(x for x, n in zip(limits, above, strict=True) if n <= BROADCAST_IDS)
+    most = words.where(F.col("n") > limit).toArrow()
+    gram, n = most.column("gram").to_numpy().astype(np.uint64), most.column("n").to_numpy()
+    order = np.argsort(gram)
+    return gram[order].tobytes(), n[order].tobytes(), words.where(F.col("n") <= limit) if limit else None
+
+
+def _rare(texts: DataFrame, common, words: DataFrame) -> DataFrame:
+    """`w2, gram, n`: words that are not common and known, by the words before them in the texts."""
+    schema = arrow_schema("gram long, w2 long")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(common.value[0], np.uint64)
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                at = _grams(part.column("text"))
+                gram = at.w3 * np.uint64(2) + part.column("fold").to_numpy(zero_copy_only=False).astype(np.uint64)[at.owner]
+                gram, which = np.unique(gram, return_inverse=True)
+                some = np.flatnonzero(~_found(known, gram)[0][which])
+                gram, w2 = gram[which[some]], at.w2[some]
+                _, some = np.unique(W.mix(gram) ^ w2, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in (gram, w2)], schema=schema)
+
+    asked = texts.mapInArrow(ask, "gram long, w2 long")
+    with freed(texts.sparkSession):
+        return cut(asked.join(words, "gram").groupBy("w2", "gram").agg(F.first("n").alias("n")), "rare-words")
+
+
+def _rare_dealt(rare: DataFrame, buckets: int, of: tuple[int, int]) -> DataFrame:
+    schema = arrow_schema(_PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _batches(_packed(buckets, 0, _RARE, {c: batch.column(c).to_numpy().view(np.uint64) for c in ("w2", "gram", "n")}, ()), schema)
+
+    return rare.where(F.col("w2") % of[1] == of[0]).mapInArrow(run, _PACKED)
 
 
 def bits(documents: DataFrame, tables: Tables, spelling: np.ndarray, steps: int, symbol_grams) -> DataFrame:
-    """`_key, _words`: bits of the words of each text by xxhash64 of it; texts without words are not there."""
-    shared = documents.sparkSession.sparkContext.broadcast(spelling.tobytes())
-    out = "_key long, tri long, bi long, ctx long, uni long, mid long, model int, n long, spelled double"
-    schema = arrow_schema(out)
-
-    def distinct(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint16)
-        for part in W.slices(batch, "text"):
-            model = part.column("fold").to_numpy(zero_copy_only=False)
-            at = _places(part.column("text"), model)
-            _, grams = symbol_grams(part.column("text"))
-            total = np.concatenate([[0], np.cumsum(table[grams], dtype=np.int64)])
-            spelled = (total[at.stop] - total[at.start]) / steps
-            own = W.mix(at.grams[0] + at.owner.astype(np.uint64) * _CODES[1])  # an n-gram of a text
-            _, some, which, n = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
-            mean = np.bincount(which, spelled, len(n)) / n if len(n) else np.zeros(0)
-            key = part.column("_key").to_numpy(zero_copy_only=False)
-            columns = [pa.array(key[at.owner[some]]), *[pa.array(g[some].view(np.int64)) for g in at.grams]]
-            columns += [pa.array(model[at.owner[some]].astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(mean)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+    """`_key, _words`: bits of the words of each text by xxhash64 of it; texts without words are not there.
 
+    Where the documents say which are `_trusted`, those are all that the tables are of; else these are dealt beside them.
+    """
+    context = documents.sparkSession.sparkContext
+    shared = context.broadcast(spelling.tobytes())
+    *most, others = _common(tables.words)
+    common = context.broadcast(tuple(most))
+    d, totals = tables.discounts, tables.totals
     texts = documents.select(F.xxhash64("text").alias("_key"), fold(F.col("text")).alias("fold"), "text")
-    found = mapped(texts, distinct, out)
-    for table, key in zip(tables, ("tri", "ctx", "bi", "mid", "uni", "model")):
-        found = matched(found, table, key, "left")
-    own = [F.coalesce(f"own{k}", F.lit(0.0)) for k in (1, 2, 3)]
-    weight = [F.coalesce(f"weight{k}", F.lit(1.0)) for k in (1, 2, 3)]
-    seen = own[2] + weight[2] * (own[1] + weight[1] * own[0])
-    left = weight[0] * weight[1] * weight[2]  # for the spelling
-    each = F.when(seen > 0, -F.log2(seen + left * F.pow(F.lit(2.0), -F.col("spelled")))).otherwise(F.col("spelled") - F.log2(left))
-    sums = found.groupBy("_key").agg(F.sum(F.col("n") * each).alias("_words"))
-    copies = texts.groupBy("_key").agg(F.count("*").alias("copies"))
-    return cut(sums.join(copies, "_key").select("_key", (F.col("_words") / F.col("copies")).alias("_words")), "word-bits")
+    rare = _rare(texts, common, others) if others is not None else None
+    buckets = _buckets(texts, ROUNDS)
+    if "_trusted" in documents.columns:
+        use = F.when(F.col("_trusted"), _FOR_TRAINING | _FOR_BITS).otherwise(_FOR_BITS)
+        dealt_texts = documents.select(F.xxhash64("text").alias("_key"), fold(F.col("text")).alias("fold"), "text", use.alias("use"))
+    else:
+        beside = tables.trusted.select(F.lit(0).cast("long").alias("_key"), "fold", "text", F.lit(_FOR_TRAINING).alias("use"))
+        dealt_texts = texts.withColumn("use", F.lit(_FOR_BITS)).union(beside)
+
+    def look(table: pa.Table) -> pa.Table:
+        runs = _read(table, _LOOKED_UP)
+        sources = table.filter(pc.equal(table.column("kind"), _LOOKED_UP)).column("source").to_pylist()
+        c = _counts(table)
+        own3, weight3 = _shares(c.n3, c.at3, len(c.ctx), d[3])
+        own2, weight2 = _shares(c.n2, c.at2, len(c.mid), d[2])
+        known, often = np.frombuffer(common.value[0], np.uint64), np.frombuffer(common.value[1], np.int64)
+        w2, gram, n = _joined(_read(table, _RARE), "w2", "gram", "n")
+        pair = W.mix(gram) ^ w2
+        order = np.argsort(pair)
+        pair, n = pair[order], n[order]
+        total = np.array([totals.get(m, (1.0, 1.0))[0] for m in (0, 1)])
+        weight1 = np.array([x[1] / x[0] if (x := totals.get(m)) else 1.0 for m in (0, 1)])
+        out = []
+        for r in runs:
+            model = r["model"].astype(np.int64)
+            tri, ctx, bi, mid, gram = _hashes(r["model"], r["w1"], r["w2"], r["w3"])
+            word, which = np.unique(gram, return_inverse=True)
+            n1 = _taken(often, _found(known, word), 0)[which]
+            if len(pair):
+                n1 = np.maximum(n1, _taken(n, _found(pair, W.mix(gram) ^ r["w2"]), 0))
+            own1 = (n1 - _discount(n1.astype(np.int64), d[1])) / total[model]
+            at3, at2 = (_taken(w, _found(k, x), 1.0) for w, k, x in ((weight3, c.ctx, ctx), (weight2, c.mid, mid)))
+            seen = _taken(own3, _found(c.tri, tri), 0.0) + at3 * (_taken(own2, _found(c.bi, bi), 0.0) + at2 * own1)
+            left = at3 * at2 * weight1[model]  # for the spelling
+            times = r["n"].astype(np.float64)
+            spelled = r["spelled"].astype(np.float64) / times / steps
+            some = seen > 0
+            each = spelled - np.log2(left)
+            each[some] = -np.log2(seen[some] + left[some] * np.exp2(-spelled[some]))
+            text = r["text"].astype(np.int64)
+            sums = np.bincount(text, times * each, len(r["keys"]))
+            asked = np.bincount(text, r["use"] & np.uint64(_FOR_BITS), len(r["keys"])) > 0
+            out.append(r["keys"][asked].tobytes() + sums[asked].tobytes())
+        return pa.table({"source": pa.array(sources, pa.int64()), "data": pa.array(out, pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        both = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table.column("data").to_pylist()]
+        key, which = np.unique(np.concatenate([b[0] for b in both]), return_inverse=True)
+        total = np.bincount(which, np.concatenate([b[1] for b in both]).view(np.float64), len(key))
+        return pa.table({"_key": key.view(np.int64), "_words": total.astype(np.float64)})
+
+    parts = []
+    with freed(documents.sparkSession):
+        for k in range(ROUNDS):
+            of = (k, ROUNDS)
+            dealt = _dealt(dealt_texts, _LOOKED_UP, buckets, of, shared, steps, symbol_grams)
+            if rare is not None:
+                dealt = dealt.union(_rare_dealt(rare, buckets, of))
+            looked_up = dealt.groupBy("bucket").applyInArrow(look, "source long, data binary")
+            sums = looked_up.groupBy("source").applyInArrow(add, _SUMS)
+            parts.append(cut(sums.groupBy("_key").agg(F.sum("_words").alias("_words")), "word-bits"))
+        sums = functools.reduce(DataFrame.union, parts).groupBy("_key").agg(F.sum("_words").alias("_words"))
+        copies = texts.groupBy("_key").agg(F.count("*").alias("copies"))
+        return cut(sums.join(copies, "_key").select("_key", (F.col("_words") / F.col("copies")).alias("_words")), "word-bits")
