@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskline.llm import word_ngrams
 from deskline.llm import words as W
 from deskline.llm.frames import arrow_schema, mapped, matched
-from deskline.session import cut
+from deskline.session import cut, freed
 
 ORDER = 4
 BITS = 6  # of a symbol
@@ -91,7 +92,7 @@ def _counted(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: np.ndarray | None = None
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", word_ngrams.SLICE_BYTES):
                 _, grams = _grams(part.column("text"))
                 found, n = np.unique(grams, return_counts=True)
                 if total is None:
@@ -142,16 +143,24 @@ def train(documents: DataFrame) -> np.ndarray:
 
 
 def surprise(documents: DataFrame, model: np.ndarray) -> DataFrame:
-    """All columns and `_bits` (spelling of what precedes the first word), `_spelled` (of the whole text), `_symbols`."""
+    """All columns and `_bits` (spelling of what precedes the first word), `_spelled` (of the whole text), `_symbols`.
+
+    The text is the column `text`, or if there is none, that of the struct `row`.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model.tobytes())
+    inside = None if "text" in documents.columns else documents.schema["row"].dataType.fieldNames().index("text")
     schema = documents.limit(0).withColumns({"_bits": F.lit(0.0), "_spelled": F.lit(0.0), "_symbols": F.lit(0).cast("long")}).schema
 
     def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint16)
-        for part in W.slices(batch, "text"):
-            offsets, grams = _grams(part.column("text"))
+        texts = batch.column("text") if inside is None else pc.struct_field(batch.column("row"), [inside])
+        beside = batch if inside is None else batch.append_column("text", texts)
+        for part in W.slices(beside, "text", word_ngrams.SLICE_BYTES):
+            text = part.column("text")
+            part = part.select(batch.schema.names)
+            offsets, grams = _grams(text)
             total = np.concatenate([[0], np.cumsum(table[grams], dtype=np.int64)])
-            words = W.words_of(part.column("text"))
+            words = W.words_of(text)
             some = np.diff(words.first) > 0
             stop = offsets[1:].copy()
             stop[some] = words.start[words.first[:-1][some]]
@@ -240,9 +249,11 @@ def quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE)
     are kept.  Repeated rows give a row each; of several labels of an id one 1 is
     enough; labels without an id count for nothing.
     """
-    trusted, model, words = _model(documents, labels)
+    with freed(documents.sparkSession):
+        trusted, model, words = _model(documents, labels)
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", _lang().alias("_lang"), F.xxhash64("text").alias("_key"))
-    scores = cut(_with_words(surprise(slim, model).drop("text"), words), "scores")
+    with freed(documents.sparkSession):
+        scores = cut(_with_words(surprise(slim, model).drop("text"), words), "scores")
     limits = _thresholds(matched(scores, trusted, "doc_id", "left_semi"), quantile)
     power = lambda c: F.pow(F.lit(2.0), c)
     return _judged(scores, limits).select(
@@ -259,10 +270,12 @@ def quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE)
 
 def of_good_quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The documents, all columns, that `quality` keeps."""
-    trusted, model, words = _model(documents, labels)
+    with freed(documents.sparkSession):
+        trusted, model, words = _model(documents, labels)
     own = matched(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", _lang().alias("_lang"), F.xxhash64("text").alias("_key")), trusted, "doc_id", "left_semi")
-    limits = _thresholds(_with_words(surprise(own, model).drop("text"), words), quantile)
+    with freed(documents.sparkSession):
+        limits = _thresholds(_with_words(surprise(own, model).drop("text"), words), quantile)
     # The row travels as one value, so no name in it can clash.
-    rows = documents.select(F.struct(*documents.columns).alias("row"), "text", _lang().alias("_lang"), F.xxhash64("text").alias("_key"))
-    kept = _judged(_with_words(surprise(rows, model).drop("text"), words), limits).where(F.col("_kept") | (F.col("_symbols") == 0))
+    rows = documents.select(F.struct(*documents.columns).alias("row"), _lang().alias("_lang"), F.xxhash64("text").alias("_key"))
+    kept = _judged(_with_words(surprise(rows, model), words), limits).where(F.col("_kept") | (F.col("_symbols") == 0))
     return kept.select(*[F.col("row")[c].alias(c) for c in documents.columns])

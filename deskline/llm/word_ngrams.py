@@ -13,17 +13,23 @@ an aggregate; the commonest go to every task, the others to the buckets that ask
 for them by a join.  Lookups run in rounds, each over the middle words of one
 residue, and a round's shuffle is given back when it ends, so what is on disk at a
 time is a fraction of the n-grams.  A bucket returns a text's bits as one sum.
+
+A bucket is read as a stream.  One of more than HELD n-grams, as those of the commonest
+words, is dealt by hash of the n-gram to segments of a temporary file, and counted and
+looked up some segments at a time: n-grams of a context or pair lie in many segments,
+whose counts add up.
 """
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import tempfile
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +40,14 @@ from deskline.session import cut, freed
 _CODES = np.random.default_rng(5).integers(1, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = np.uint64(2**48 - 1)
 _START = np.uint64(0x5851F42D4C957F2D) & _WORD  # before a text's first word
-ROUNDS = 5
+ROUNDS = 7
 BUCKET_BYTES = 3 << 20  # of text per bucket of a round, about 500,000 n-grams
-TASK_GRAMS = 1 << 20  # n-grams that a task packs together, and
+TASK_GRAMS = 1 << 19  # n-grams that a task packs together, and
 TASK_TEXTS = 1 << 16  # texts
+SLICE_BYTES = (1 << 19) - 1  # of text worked on at a time
+HELD = 1 << 19  # n-grams of a bucket in memory at a time, trusted ones and those looked up each
+CHUNK = 1 << 17  # of them looked up at a time
+SEGMENTS = 256  # of a bucket that is not held
 _TRUSTED, _LOOKED_UP, _RARE = 0, 1, 2
 _FOR_TRAINING, _FOR_BITS = 1, 2  # uses of a text
 _PACKED = "bucket int, kind int, source long, n int, data binary"
@@ -74,20 +84,6 @@ class _Grams(NamedTuple):
     w3: np.ndarray
 
 
-class _Counts(NamedTuple):
-    """The trusted n-grams of a bucket, sorted: hashes that also tell the model, and their counts."""
-
-    tri: np.ndarray
-    n3: np.ndarray
-    ctx: np.ndarray
-    at3: np.ndarray  # an n-gram's place in ctx
-    bi: np.ndarray
-    n2: np.ndarray
-    mid: np.ndarray
-    at2: np.ndarray  # a pair's place in mid
-    gram: np.ndarray  # of a pair, its second word and model
-
-
 def fold(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
 
@@ -129,10 +125,10 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _packed(buckets: int, source: int, kind: int, columns: dict[str, np.ndarray], texts: tuple[np.ndarray, ...]) -> Iterator[tuple]:
     """A row per bucket.  texts: of what `text` counts, key, model and use."""
-    bucket = _bucket(columns["w2"], buckets)
-    order = np.lexsort((columns["w2"], bucket))
-    columns = {k: v[order] for k, v in columns.items()}
-    which, sizes = _runs(bucket[order])
+    order = np.argsort(_bucket(columns["w2"], buckets).astype(np.uint64) << np.uint64(48) | columns["w2"])
+    for k in columns:  # one at a time, so that few are held twice
+        columns[k] = columns[k][order]
+    which, sizes = _runs(_bucket(columns["w2"], buckets))
     edges = np.concatenate([[0], np.cumsum(sizes)])
     for b, lo, hi in zip(which.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         some = {k: v[lo:hi] for k, v in columns.items()}
@@ -208,7 +204,7 @@ def _dealt(texts: DataFrame, kind: int, buckets: int, of: tuple[int, int] = (0,
         if kind == _TRUSTED:  # counts for the model of the other half
             m = (1 - model[at.owner]).astype(np.uint64)
             _, some, n = np.unique(tri ^ m, return_index=True, return_counts=True)
-            return {"w2": at.w2[some], "w1": at.w1[some], "w3": at.w3[some], "n": n, "model": m[some]}
+            return {"w2": at.w2[some], "w1": at.w1[some], "w3": at.w3[some], "n": n.astype(np.uint32), "model": m[some].astype(np.uint8)}
         own = W.mix(tri + at.owner.astype(np.uint64) * _CODES[2])  # an n-gram of a text
         _, some, which, n = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
         sizes = at.stop - at.start
@@ -217,7 +213,7 @@ def _dealt(texts: DataFrame, kind: int, buckets: int, of: tuple[int, int] = (0,
         total = np.concatenate([[0], np.cumsum(table[symbol_grams(column, place)[1]], dtype=np.int64)])
         spelled = np.zeros(len(n), np.int64)
         np.add.at(spelled, which, total[edges[1:]] - total[edges[:-1]])
-        return {"w2": at.w2[some], "w1": at.w1[some], "w3": at.w3[some], "n": n, "text": at.owner[some], "spelled": spelled}
+        return {"w2": at.w2[some], "w1": at.w1[some], "w3": at.w3[some], "n": n.astype(np.uint32), "text": at.owner[some].astype(np.uint32), "spelled": spelled}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -234,20 +230,20 @@ def _dealt(texts: DataFrame, kind: int, buckets: int, of: tuple[int, int] = (0,
             def packed() -> Iterator[tuple]:
                 if not grams:
                     return
-                columns = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+                columns = {k: np.concatenate([h.pop(k) for h in held]) for k in [*held[0]]}
                 about = ()
                 if kind == _LOOKED_UP:
                     about = tuple(np.concatenate([t.column(c).to_numpy(zero_copy_only=False) for t in texts]).astype(np.int64).view(np.uint64) for c in ("_key", "fold", "use"))
                 yield from _packed(buckets, source, kind, columns, about)
 
             for batch in batches:
-                for part in W.slices(batch, "text"):
+                for part in W.slices(batch, "text", SLICE_BYTES):
                     if grams >= TASK_GRAMS or count + part.num_rows > TASK_TEXTS:
                         yield from packed()
                         held, texts, grams, count, source = [], [], 0, 0, source + 1
                     more = found(part, table)
                     if "text" in more:
-                        more["text"] = more["text"] + count
+                        more["text"] = more["text"] + np.uint32(count)
                         texts.append(part.drop_columns(["text"]))
                     held.append(more)
                     grams += len(more["w2"])
@@ -255,6 +251,7 @@ def _dealt(texts: DataFrame, kind: int, buckets: int, of: tuple[int, int] = (0,
             yield from packed()
 
         yield from _batches(rows(), schema)
+        _released()
 
     return texts.mapInArrow(run, _PACKED)
 
@@ -262,37 +259,172 @@ def _dealt(texts: DataFrame, kind: int, buckets: int, of: tuple[int, int] = (0,
 # ---- counts of a bucket -------------------------------------------------------
 
 
-def _read(table: pa.Table, kind: int) -> list[dict[str, np.ndarray]]:
-    some = table.filter(pc.equal(table.column("kind"), kind))
-    return [_unpacked(kind, n, data) for n, data in zip(some.column("n").to_pylist(), some.column("data").to_pylist(), strict=True)]
-
-
-def _joined(runs: list[dict[str, np.ndarray]], *names: str) -> list[np.ndarray]:
-    return [np.concatenate([r[k] for r in runs]) if runs else np.zeros(0, np.uint64) for k in names]
-
-
 def _hashes(model: np.ndarray, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, ...]:
     """tri, ctx, bi, mid, gram"""
+    model = model.astype(np.uint64)
     mid = W.mix(w2 * np.uint64(2) + model)
     ctx, bi = W.mix(mid + w1 * _CODES[0]), W.mix(mid + w3 * _CODES[1])
     return W.mix(bi + w1 * _CODES[2]), ctx, bi, mid, w3 * np.uint64(2) + model
 
 
-def _counts(table: pa.Table) -> _Counts:
-    runs = _read(table, _TRUSTED)
-    for r in _read(table, _LOOKED_UP):
-        some = np.flatnonzero(r["use"] & np.uint64(_FOR_TRAINING))
-        if len(some):
-            runs.append({k: r[k][some] for k in ("w2", "w1", "w3", "n")} | {"model": np.uint64(1) - r["model"][some]})
-    w2, w1, w3, n, model = _joined(runs, "w2", "w1", "w3", "n", "model")
-    tri, ctx, bi, mid, gram = _hashes(model, w1, w2, w3)
-    tri, some, which = np.unique(tri, return_index=True, return_inverse=True)
-    n3 = np.bincount(which, n.astype(np.float64), len(tri)).astype(np.int64)
-    ctx, at3 = np.unique(ctx[some], return_inverse=True)
-    bi, first, n2 = np.unique(bi[some], return_index=True, return_counts=True)
-    first = some[first]
-    mid, at2 = np.unique(mid[first], return_inverse=True)
-    return _Counts(tri, n3, ctx, at3, bi, n2, mid, at2, gram[first])
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _released() -> None:
+    """A worker is kept for the next task; what this one freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+class _Runs:
+    """N-grams of a bucket; if they are more than `most`, all lie in a file, by segments of their hash."""
+
+    def __init__(self, kinds: dict[str, str], most: int):
+        self.kinds, self.most = kinds, most
+        self.parts: list[dict[str, np.ndarray]] = []
+        self.held = 0
+        self.sizes = np.zeros(SEGMENTS, np.int64)
+        self.places: list[list[tuple[int, int, int]]] = [[] for _ in range(SEGMENTS)]
+        self.file = None
+
+    def add(self, columns: dict[str, np.ndarray]) -> None:
+        self.parts.append({k: columns[k].astype(kind, copy=False) for k, kind in self.kinds.items()})
+        self.held += len(columns["w2"])
+        if self.held > self.most:
+            self.spill()
+
+    def joined(self) -> dict[str, np.ndarray]:
+        return {k: np.concatenate([p.pop(k) for p in self.parts]) if self.parts else np.zeros(0, kind) for k, kind in self.kinds.items()}
+
+    def spill(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile()  # noqa: SIM115
+        columns = self.joined()
+        self.parts, self.held = [], 0
+        segment = (_hashes(columns["model"], columns["w1"], columns["w2"], columns["w3"])[0] % np.uint64(SEGMENTS)).astype(np.int64)
+        order = np.argsort(segment, kind="stable")
+        columns = {k: v[order] for k, v in columns.items()}
+        sizes = np.bincount(segment, minlength=SEGMENTS)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        for i in np.flatnonzero(sizes).tolist():
+            data = b"".join(v[edges[i] : edges[i + 1]].view(np.uint8).reshape(-1, v.itemsize).T.tobytes() for v in columns.values())
+            packed = pa.compress(data, "lz4", asbytes=True)
+            self.places[i].append((self.file.tell(), len(packed), int(sizes[i])))
+            self.file.write(packed)
+        self.sizes += sizes
+
+    def read(self, lo: int, hi: int) -> dict[str, np.ndarray]:
+        if not self.file:
+            return self.joined()
+        parts = []
+        width = sum(np.dtype(kind).itemsize for kind in self.kinds.values())
+        for at, size, n in (x for i in range(lo, hi) for x in self.places[i]):
+            self.file.seek(at)
+            rest, part = memoryview(pa.decompress(self.file.read(size), n * width, "lz4")), {}
+            for k, kind in self.kinds.items():
+                bytes_ = np.dtype(kind).itemsize
+                part[k] = np.frombuffer(rest[: n * bytes_], np.uint8).reshape(bytes_, n).T.copy().view(kind).reshape(n)
+                rest = rest[n * bytes_ :]
+            parts.append(part)
+        return {k: np.concatenate([p.pop(k) for p in parts]) if parts else np.zeros(0, kind) for k, kind in self.kinds.items()}
+
+
+class _Sums:
+    """Values by key, added up; `first` is the same for all rows of a key."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.rows = self.merged = 0
+
+    def add(self, key: np.ndarray, first: np.ndarray, *sums: np.ndarray) -> None:
+        """Keys come sorted, each once."""
+        self.parts.append((key, first, *sums))
+        self.rows += len(key)
+        if len(self.parts) > 1 and self.rows > 2 * self.merged + self.most:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, ...]:
+        """key, first, sums"""
+        if len(self.parts) > 1:
+            key, first, *sums = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            key, some, which = np.unique(key, return_index=True, return_inverse=True)
+            self.parts = [(key, first[some], *[np.bincount(which, x, len(key)).astype(x.dtype) for x in sums])]
+        self.rows = self.merged = len(self.parts[0][0])
+        return self.parts[0]
+
+
+_SEEN = {"w1": "u8", "w2": "u8", "w3": "u8", "n": "u4", "model": "u1"}
+_ASKED = _SEEN | {"key": "u8", "source": "i8", "spelled": "i8"}
+
+
+class _Bucket:
+    """trusted: n-grams with the model that they count for; asked: to be looked up; rare: `w2, gram, n`."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], most: int):
+        self.most = most
+        self.trusted, self.asked = _Runs(_SEEN, most), _Runs(_ASKED, most)
+        rare: list[dict[str, np.ndarray]] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "source", "n", "data")), strict=True):
+                self._add(rare, *row)
+        self.rare = {k: np.concatenate([r[k] for r in rare]) if rare else np.zeros(0, np.uint64) for k in ("w2", "gram", "n")}
+        self.ranges = [(0, SEGMENTS)]
+        if self.trusted.file or self.asked.file:
+            for r in (self.trusted, self.asked):
+                r.spill()
+            self.ranges, size = [], 0
+            for i, n in enumerate((self.trusted.sizes + self.asked.sizes).tolist()):
+                if self.ranges and size + n <= most:
+                    self.ranges[-1], size = (self.ranges[-1][0], i + 1), size + n
+                else:
+                    self.ranges, size = [*self.ranges, (i, i + 1)], n
+
+    def _add(self, rare: list[dict[str, np.ndarray]], kind: int, source: int, n: int, data: bytes) -> None:
+        r = _unpacked(kind, n, data)
+        if kind == _RARE:
+            rare.append(r)
+            return
+        if kind == _TRUSTED:
+            self.trusted.add(r)
+            return
+        grams = ("w1", "w2", "w3", "n")
+        training = np.flatnonzero(r["use"] & np.uint64(_FOR_TRAINING))
+        if len(training):
+            self.trusted.add({k: r[k][training] for k in grams} | {"model": np.uint64(1) - r["model"][training]})
+        bits = np.flatnonzero(r["use"] & np.uint64(_FOR_BITS))
+        if len(bits):
+            some = {k: r[k][bits] for k in (*grams, "model", "spelled")}
+            self.asked.add(some | {"key": r["keys"][r["text"][bits].astype(np.int64)], "source": np.full(len(bits), source, np.int64)})
+
+    def seen(self, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """tri, n3 (how often), ctx, bi, mid, gram of the different trusted n-grams in these segments."""
+        t = self.trusted.read(lo, hi)
+        if not self.trusted.file:  # it is read once more
+            self.trusted.parts = [{**t}]
+        tri, *others = _hashes(t["model"], t["w1"], t["w2"], t["w3"])
+        tri, some, which = np.unique(tri, return_index=True, return_inverse=True)
+        return tri, np.bincount(which, t["n"], len(tri)).astype(np.int64), *[x[some] for x in others]
+
+    def counts(self, d: list[float] | None = None) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...], np.ndarray]:
+        """(ctx, its mid, counts, what they leave), (bi, its gram, its mid, different words before it), n-grams there 1, 2, 3, 4 times."""
+        ctx, bi, times = _Sums(self.most), _Sums(self.most), np.zeros(4, np.int64)
+        for lo, hi in self.ranges:
+            _, n3, c, b, mid, gram = self.seen(lo, hi)
+            times += np.bincount(np.minimum(n3, 5), minlength=6)[1:5]
+            c, some, at = np.unique(c, return_index=True, return_inverse=True)
+            left = np.bincount(at, _discount(n3, d), len(c)) if d else np.zeros(len(c))
+            ctx.add(c, mid[some], np.bincount(at, n3, len(c)), left)
+            b, some, n2 = np.unique(b, return_index=True, return_counts=True)
+            bi.add(b, np.stack([gram[some], mid[some]], 1), n2)
+        b, first, n2 = bi.merge()
+        return ctx.merge(), (b, first[:, 0], first[:, 1], n2), times
+
+    def pairs(self, bi: tuple[np.ndarray, ...], d: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(own by bi; mid, weight by mid)"""
+        _, _, mid, n2 = bi
+        mid, at = np.unique(mid, return_inverse=True)
+        return *_shares(n2, at, len(mid), d), mid
 
 
 def _discount(n: np.ndarray, d: list[float]) -> np.ndarray:
@@ -319,18 +451,19 @@ def _buckets(texts: DataFrame, rounds: int = 1) -> int:
 def train(trusted: DataFrame) -> Tables:
     trusted = trusted.select(fold(F.col("text")).alias("fold"), "text")
     dealt = _dealt(trusted, _TRUSTED, _buckets(trusted)).groupBy("bucket")
-    counted = arrow_schema(_COUNTED)
+    counted, most = arrow_schema(_COUNTED), HELD
 
-    def count(table: pa.Table) -> pa.Table:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of order 1: a word's pairs; of the others: how many n-grams are there so often."""
-        c = _counts(table)
-        gram, n1 = np.unique(c.gram, return_counts=True)
+        _, (_, gram, _, n2), times = _Bucket(batches, most).counts()
+        gram, n1 = np.unique(gram, return_counts=True)
         orders, grams, n = [np.full(len(gram), 1, np.int32)], [gram.view(np.int64)], [n1]
-        for order, some in ((2, c.n2), (3, c.n3)):
+        for order, some in ((2, np.bincount(np.minimum(n2, 5), minlength=6)[1:5]), (3, times)):
             orders.append(np.full(4, order, np.int32))
             grams.append(np.arange(1, 5))
-            n.append(np.bincount(np.minimum(some, 5), minlength=6)[1:5])
-        return pa.table([np.concatenate(orders), np.concatenate(grams).astype(np.int64), np.concatenate(n).astype(np.int64)], schema=counted)
+            n.append(some)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(kind)) for x, kind in ((orders, np.int32), (grams, np.int64), (n, np.int64))], schema=counted)
+        _released()
 
     found = dealt.applyInArrow(count, _COUNTED).groupBy("order", "gram").agg(F.sum("n").alias("n"))
     with freed(trusted.sparkSession):
@@ -344,16 +477,28 @@ def train(trusted: DataFrame) -> Tables:
     totals = {r["model"]: (float(r["total"]), r["left"]) for r in by_model.collect()}  # two rows
     total = functools.reduce(lambda x, m: x.when(F.col("model") == m, F.lit(totals[m][0])), totals, F.when(F.lit(False), 0.0))
 
-    def shares(name: str, of: Callable[[_Counts], np.ndarray]) -> DataFrame:
-        return dealt.applyInArrow(lambda table: pa.table({name: of(_counts(table))}), f"{name} double")
+    def shares(name: str, of: Callable[[_Bucket], Iterator[np.ndarray]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for found in of(_Bucket(batches, most)):
+                yield pa.RecordBatch.from_arrays([pa.array(found)], [name])
+
+        return dealt.applyInArrow(run, f"{name} double")
+
+    def own3(bucket: _Bucket) -> Iterator[np.ndarray]:
+        ctx, _, total, _ = bucket.counts(d[3])[0]
+        for lo, hi in bucket.ranges:
+            _, n3, c, *_ = bucket.seen(lo, hi)
+            yield (n3 - _discount(n3, d[3])) / total[np.searchsorted(ctx, c)]
+
+    def weight3(bucket: _Bucket) -> Iterator[np.ndarray]:
+        _, _, total, left = bucket.counts(d[3])[0]
+        yield left / np.maximum(total, 1)
 
-    order3 = lambda c: _shares(c.n3, c.at3, len(c.ctx), d[3])
-    order2 = lambda c: _shares(c.n2, c.at2, len(c.mid), d[2])
     return Tables(
-        shares("own3", lambda c: order3(c)[0]),
-        shares("weight3", lambda c: order3(c)[1]),
-        shares("own2", lambda c: order2(c)[0]),
-        shares("weight2", lambda c: order2(c)[1]),
+        shares("own3", own3),
+        shares("weight3", weight3),
+        shares("own2", lambda bucket: [bucket.pairs(bucket.counts()[1], d[2])[0]]),
+        shares("weight2", lambda bucket: [bucket.pairs(bucket.counts()[1], d[2])[1]]),
         words.select("gram", ((F.col("n") - discount) / total).alias("own1")),
         by_model.select("model", (F.col("left") / F.col("total")).alias("weight1")),
         trusted,
@@ -387,7 +532,7 @@ def _common(words: DataFrame) -> tuple[bytes, bytes, DataFrame | None]:
     above = words.agg(*[F.count_if(F.col("n") > x) for x in limits]).first()
     limit = next(x for x, n in zip(limits, above, strict=True) if n <= BROADCAST_IDS)
     most = words.where(F.col("n") > limit).toArrow()
-    gram, n = most.column("gram").to_numpy().astype(np.uint64), most.column("n").to_numpy()
+    gram, n = most.column("gram").to_numpy().astype(np.uint64), most.column("n").to_numpy().astype(np.uint32)
     order = np.argsort(gram)
     return gram[order].tobytes(), n[order].tobytes(), words.where(F.col("n") <= limit) if limit else None
 
@@ -399,7 +544,7 @@ def _rare(texts: DataFrame, common, words: DataFrame) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(common.value[0], np.uint64)
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE_BYTES):
                 at = _grams(part.column("text"))
                 gram = at.w3 * np.uint64(2) + part.column("fold").to_numpy(zero_copy_only=False).astype(np.uint64)[at.owner]
                 gram, which = np.unique(gram, return_inverse=True)
@@ -407,6 +552,7 @@ def _rare(texts: DataFrame, common, words: DataFrame) -> DataFrame:
                 gram, w2 = gram[which[some]], at.w2[some]
                 _, some = np.unique(W.mix(gram) ^ w2, return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in (gram, w2)], schema=schema)
+        _released()
 
     asked = texts.mapInArrow(ask, "gram long, w2 long")
     with freed(texts.sparkSession):
@@ -444,41 +590,57 @@ def bits(documents: DataFrame, tables: Tables, spelling: np.ndarray, steps: int,
         beside = tables.trusted.select(F.lit(0).cast("long").alias("_key"), "fold", "text", F.lit(_FOR_TRAINING).alias("use"))
         dealt_texts = texts.withColumn("use", F.lit(_FOR_BITS)).union(beside)
 
-    def look(table: pa.Table) -> pa.Table:
-        runs = _read(table, _LOOKED_UP)
-        sources = table.filter(pc.equal(table.column("kind"), _LOOKED_UP)).column("source").to_pylist()
-        c = _counts(table)
-        own3, weight3 = _shares(c.n3, c.at3, len(c.ctx), d[3])
-        own2, weight2 = _shares(c.n2, c.at2, len(c.mid), d[2])
-        known, often = np.frombuffer(common.value[0], np.uint64), np.frombuffer(common.value[1], np.int64)
-        w2, gram, n = _joined(_read(table, _RARE), "w2", "gram", "n")
-        pair = W.mix(gram) ^ w2
+    total1 = np.array([totals.get(m, (1.0, 1.0))[0] for m in (0, 1)])
+    weight1 = np.array([x[1] / x[0] if (x := totals.get(m)) else 1.0 for m in (0, 1)])
+    summed, most = arrow_schema("source long, data binary"), HELD
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = _Bucket(batches, most)
+        (ctx, _, total3, left3), pairs, _ = bucket.counts(d[3])
+        own2, weight2, mids = bucket.pairs(pairs, d[2])
+        known, often = np.frombuffer(common.value[0], np.uint64), np.frombuffer(common.value[1], np.uint32)
+        pair = W.mix(bucket.rare["gram"]) ^ bucket.rare["w2"]
         order = np.argsort(pair)
-        pair, n = pair[order], n[order]
-        total = np.array([totals.get(m, (1.0, 1.0))[0] for m in (0, 1)])
-        weight1 = np.array([x[1] / x[0] if (x := totals.get(m)) else 1.0 for m in (0, 1)])
-        out = []
-        for r in runs:
+        pair, times1 = pair[order], bucket.rare["n"][order]
+
+        def bits_of(tri: np.ndarray, n3: np.ndarray, r: dict[str, np.ndarray]) -> np.ndarray:
             model = r["model"].astype(np.int64)
-            tri, ctx, bi, mid, gram = _hashes(r["model"], r["w1"], r["w2"], r["w3"])
+            t, c, b, mid, gram = _hashes(r["model"], r["w1"], r["w2"], r["w3"])
             word, which = np.unique(gram, return_inverse=True)
             n1 = _taken(often, _found(known, word), 0)[which]
             if len(pair):
-                n1 = np.maximum(n1, _taken(n, _found(pair, W.mix(gram) ^ r["w2"]), 0))
-            own1 = (n1 - _discount(n1.astype(np.int64), d[1])) / total[model]
-            at3, at2 = (_taken(w, _found(k, x), 1.0) for w, k, x in ((weight3, c.ctx, ctx), (weight2, c.mid, mid)))
-            seen = _taken(own3, _found(c.tri, tri), 0.0) + at3 * (_taken(own2, _found(c.bi, bi), 0.0) + at2 * own1)
+                n1 = np.maximum(n1, _taken(times1, _found(pair, W.mix(gram) ^ r["w2"]), 0))
+            own1 = (n1 - _discount(n1.astype(np.int64), d[1])) / total1[model]
+            there, at = context = _found(ctx, c)
+            total = _taken(total3, context, 1.0)
+            at3 = _taken(left3, context, 1.0) / total
+            n = _taken(n3, _found(tri, t), 0)
+            own3 = (n - _discount(n.astype(np.int64), d[3])) / total
+            at2 = _taken(weight2, _found(mids, mid), 1.0)
+            seen = own3 + at3 * (_taken(own2, _found(pairs[0], b), 0.0) + at2 * own1)
             left = at3 * at2 * weight1[model]  # for the spelling
             times = r["n"].astype(np.float64)
             spelled = r["spelled"].astype(np.float64) / times / steps
             some = seen > 0
             each = spelled - np.log2(left)
             each[some] = -np.log2(seen[some] + left[some] * np.exp2(-spelled[some]))
-            text = r["text"].astype(np.int64)
-            sums = np.bincount(text, times * each, len(r["keys"]))
-            asked = np.bincount(text, r["use"] & np.uint64(_FOR_BITS), len(r["keys"])) > 0
-            out.append(r["keys"][asked].tobytes() + sums[asked].tobytes())
-        return pa.table({"source": pa.array(sources, pa.int64()), "data": pa.array(out, pa.binary())})
+            return times * each
+
+        for lo, hi in bucket.ranges:
+            tri, n3, *_ = bucket.seen(lo, hi)
+            r = bucket.asked.read(lo, hi)
+            each = [bits_of(tri, n3, {k: v[i : i + CHUNK] for k, v in r.items()}) for i in range(0, len(r["n"]), CHUNK)]
+            if not each:
+                continue
+            _, some, which = np.unique(W.mix(r["key"]) + r["source"].view(np.uint64), return_index=True, return_inverse=True)  # a source's text
+            sums, key, source = np.bincount(which, np.concatenate(each), len(some)), r["key"][some], r["source"][some]
+            order = np.argsort(source, kind="stable")
+            sources, sizes = _runs(source[order])
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            key, sums = key[order], sums[order]
+            data = [key[a:z].tobytes() + sums[a:z].tobytes() for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(sources, pa.int64()), pa.array(data, pa.binary())], schema=summed)
+        _released()
 
     def add(table: pa.Table) -> pa.Table:
         both = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table.column("data").to_pylist()]

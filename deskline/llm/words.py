@@ -75,7 +75,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 2)
+        size = max(n, min(1 << (n - 1).bit_length(), SLICE_BYTES + 2))
         inverse = pow(_BASE, -1, 2**64)
         out = []
         for base in (_BASE, inverse):
