@@ -35,13 +35,16 @@ from pyspark.sql import functions as F
 
 from deskline.llm import words as W
 from deskline.llm.frames import BROADCAST_IDS, arrow_schema
-from deskline.session import cut, freed
+from deskline.session import cut, freed, removed
 
 _CODES = np.random.default_rng(5).integers(1, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight
+_LONG = 64  # bytes of a word, beyond which all its bytes are hashed at once
 _WORD = np.uint64(2**48 - 1)
 _START = np.uint64(0x5851F42D4C957F2D) & _WORD  # before a text's first word
-ROUNDS = 7
-BUCKET_BYTES = 3 << 20  # of text per bucket of a round, about 500,000 n-grams
+ROUNDS = 8
+TRAIN_ROUNDS = 2  # of the trusted texts alone
+BUCKET_BYTES = 2 << 20  # of text per bucket of a round, about 330,000 n-grams: most are held
 TASK_GRAMS = 1 << 19  # n-grams that a task packs together, and
 TASK_TEXTS = 1 << 16  # texts
 SLICE_BYTES = (1 << 19) - 1  # of text worked on at a time
@@ -91,30 +94,50 @@ def fold(text: Column) -> Column:
 # ---- packed runs of n-grams ---------------------------------------------------
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Equal for equal bytes; eight of them at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    left = end - start
+    out = W.mix((eight[start] & _BYTES[np.minimum(left, 8)]) * _CODES[0] + left.astype(np.uint64))
+    some = np.flatnonzero(left > 8)
+    for k in range(8, _LONG, 8):
+        out[some] = W.mix(out[some] + (eight[start[some] + k] & _BYTES[np.minimum(left[some] - k, 8)]) * _CODES[0])
+        some = some[left[some] > k + 8]
+    if len(some):
+        out[some] = W.Spans(data).hash(start[some], end[some])
+    return out
+
+
 def _grams(column: pa.Array) -> _Grams:
-    words = W.words_of(column)
-    _, offsets = W.bytes_of(column)
-    owner = np.repeat(np.arange(len(column)), np.diff(words.first))
-    place = np.arange(len(owner)) - words.first[owner]
-    before = [words.hash & _WORD]
+    data, offsets = W.bytes_of(column)
+    starts, start, end = W.bounds(data, offsets, W.NOT_SPACE)
+    owner = np.repeat(np.arange(len(column)), np.diff(starts))
+    place = np.arange(len(owner)) - starts[owner]
+    before = [_word_hashes(data, start, end) & _WORD]
     for k in (1, 2):
         some = np.full(len(owner), _START, np.uint64)
         some[k:] = before[0][:-k]
         some[place < k] = _START
         before.append(some)
     last = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
-    stop = np.where(last, offsets[owner + 1], np.append(words.start[1:], 0)[: len(owner)])
-    return _Grams(owner, words.start, stop, before[2], before[1], before[0])
+    stop = np.where(last, offsets[owner + 1], np.append(start[1:], 0)[: len(owner)])
+    return _Grams(owner, start, stop, before[2], before[1], before[0])
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
     """The low `width` bytes of each value, byte by byte, so that those which are mostly 0 take no place when compressed."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    each = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    out = np.empty((width, len(values)), np.uint8)
+    for i in range(width):
+        out[i] = each[:, i]
+    return out.tobytes()
 
 
 def _values(data: memoryview, n: int, width: int) -> tuple[np.ndarray, memoryview]:
     out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data[: n * width], np.uint8).reshape(width, n).T
+    for i in range(width):
+        out[:, i] = np.frombuffer(data[i * n : (i + 1) * n], np.uint8)
     return out.view("<u8").reshape(n), data[n * width :]
 
 
@@ -445,12 +468,12 @@ def _discounts(n: dict[int, int]) -> list[float]:
 
 def _buckets(texts: DataFrame, rounds: int = 1) -> int:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, round(size / rounds / BUCKET_BYTES))
+    return min(max(1, round(size / rounds / BUCKET_BYTES)), 65_535)  # sorted by 16 bits of bucket
 
 
 def train(trusted: DataFrame) -> Tables:
     trusted = trusted.select(fold(F.col("text")).alias("fold"), "text")
-    dealt = _dealt(trusted, _TRUSTED, _buckets(trusted)).groupBy("bucket")
+    buckets = _buckets(trusted)
     counted, most = arrow_schema(_COUNTED), HELD
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,9 +488,13 @@ def train(trusted: DataFrame) -> Tables:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(kind)) for x, kind in ((orders, np.int32), (grams, np.int64), (n, np.int64))], schema=counted)
         _released()
 
-    found = dealt.applyInArrow(count, _COUNTED).groupBy("order", "gram").agg(F.sum("n").alias("n"))
+    by = lambda found: found.groupBy("order", "gram").agg(F.sum("n").alias("n"))
     with freed(trusted.sparkSession):
-        found = cut(found, "word-counts")
+        rounds = [_dealt(trusted, _TRUSTED, -(-buckets // TRAIN_ROUNDS), (k, TRAIN_ROUNDS)).groupBy("bucket") for k in range(TRAIN_ROUNDS)]
+        parts = [cut(by(dealt.applyInArrow(count, _COUNTED)), "word-counts") for dealt in rounds]
+        found = cut(by(functools.reduce(DataFrame.union, parts)), "word-counts")
+        removed(*parts)
+    dealt = _dealt(trusted, _TRUSTED, buckets).groupBy("bucket")
     often = {k: {r["gram"]: r["n"] for r in found.where(F.col("order") == k).collect()} for k in (2, 3)}  # four rows each
     words = found.where(F.col("order") == 1).select("gram", F.pmod("gram", F.lit(2)).cast("int").alias("model"), "n")
     d = {k: _discounts(n) for k, n in often.items()}

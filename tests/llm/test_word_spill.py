@@ -82,3 +82,26 @@ def test_texts_go_to_python_in_batches_of_few_bytes(spark):
     with freed(spark):
         assert max(r["n"] for r in df.mapInArrow(sizes, "n long").collect()) < 1.5 * ARROW_BYTES
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_words_of_any_length_have_hashes_of_their_own():
+    rng = random.Random(5)
+    made = sorted({"".join(rng.choice("ab") for _ in range(n)) for n in [*range(1, 80), 200, 500] for _ in range(4)})
+    texts = [" ".join(rng.sample(made, len(made))) for _ in range(3)]
+    grams = word_ngrams._grams(pa.array(texts))
+    hashes = {}
+    for owner, words in enumerate(t.split() for t in texts):
+        for word, h in zip(words, grams.w3[grams.owner == owner].tolist(), strict=True):
+            assert hashes.setdefault(word, h) == h
+    assert len(set(hashes.values())) == len(hashes) == len(made)
+
+
+def test_parts_that_are_summed_up_are_taken_away(spark):
+    from deskline.session import cut, removed
+
+    one, other = cut(spark.range(5), "part"), cut(spark.range(7), "part")
+    folder = one.inputFiles()[0].rpartition("/")[0]
+    removed(one)
+    assert other.count() == 7
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
